@@ -119,7 +119,8 @@ def spreadsheet_safe(text: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """Last part of a path; slashes at its end do not count."""
+    return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
 
 
 def file_stem(path: Column) -> Column:

@@ -99,18 +99,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
         (F.sum("_n").over(along) - F.col("_n")).alias("_below"),
     )
-    # 1e-9 guards against float noise in p * (n - 1)
-    place = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    if method == "linear":
-        wanted = F.array(*[
-            F.struct(F.lit(float(p)).alias("prob"), F.floor(x + 1e-9).alias("lo"),
-                     F.ceil(x - 1e-9).alias("hi"), x.alias("at"))
-            for p, x in zip(probs, place)])
-    else:
-        wanted = F.array(*[
-            F.struct(F.lit(float(p)).alias("prob"), F.ceil(x - 1e-9).alias("lo"),
-                     F.ceil(x - 1e-9).alias("hi"), x.alias("at"))
-            for p, x in zip(probs, place)])
+    def want(p: Column) -> Column:
+        at = p * (F.col("_total") - 1)
+        hi = F.ceil(at - 1e-9)  # 1e-9 guards against float noise in p * (n - 1)
+        lo = hi if method == "higher" else F.floor(at + 1e-9)
+        return F.struct(p.alias("prob"), lo.alias("lo"), hi.alias("hi"), at.alias("at"))
+
+    wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]), want)
     top = F.col("_below") + F.col("_n")
 
     def touches(w: Column) -> Column:

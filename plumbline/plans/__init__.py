@@ -1 +1,14 @@
+"""Queries over the supplied tables."""
 
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+
+def load():
+    """Import every query module and return the registry."""
+    for module in pkgutil.iter_modules(__path__):
+        if module.name.endswith("_queries"):
+            importlib.import_module(f"{__name__}.{module.name}")
+    return importlib.import_module(f"{__name__}.registry")

@@ -31,18 +31,22 @@ ALLOWED = {
 }
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(),
+          "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _table(text: str) -> T.StructType:
     """Schema from "name type" items; a trailing ? marks a nullable column."""
     fields = []
     for item in text.split(","):
         name, kind = item.split()
-        fields.append(T.StructField(name, T._parse_datatype_string(kind.rstrip("?")),
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("?")],
                                     kind.endswith("?")))
     return T.StructType(fields)
 
 
 def tables() -> dict[str, T.StructType]:
-    """The logical tables. Needs a running session, which parses the type names."""
+    """The logical tables by name."""
     return {
         "files": _table(
             "dataset_id string, relative_path string, sha256 string, width int, height int,"

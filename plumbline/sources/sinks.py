@@ -33,13 +33,16 @@ def flat_report(results: DataFrame) -> DataFrame:
     return results.select(*columns)
 
 
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_csv_report(results: DataFrame, path: str) -> None:
     flat_report(results).write.mode("errorifexists").option("header", "true").option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+        "timestampFormat", TIMESTAMP_FORMAT).csv(path)
 
 
 def write_json_report(results: DataFrame, path: str) -> None:
-    results.write.mode("errorifexists").json(path)
+    results.write.mode("errorifexists").option("timestampFormat", TIMESTAMP_FORMAT).json(path)
 
 
 def append(rows: DataFrame, path: str) -> None:
