@@ -230,7 +230,7 @@ def register_models(t: Tables):
 _REQUESTS = f"""requests AS (
   SELECT 'm' || l_orderkey AS model_id, CASE l_returnflag WHEN 'A' THEN 'VALIDATED'
     WHEN 'N' THEN 'ACTIVE_BENCHMARK' ELSE 'RETIRED' END AS to_status, count(*) AS n
-  FROM lineitem WHERE l_linenumber >= 5 GROUP BY 1, 2),
+  FROM lineitem GROUP BY 1, 2),
 edges(a, z) AS (VALUES {", ".join(f"('{a}', '{x}')" for a, ts in rules.LIFECYCLE.items() for x in ts)}),
 latest AS (SELECT model_id, status FROM models WHERE o_totalprice >= 100000)"""
 
@@ -238,7 +238,7 @@ latest AS (SELECT model_id, status FROM models WHERE o_totalprice >= 100000)"""
 def _requests(t: Tables):
     to = F.when(F.col("l_returnflag") == "A", "VALIDATED").when(
         F.col("l_returnflag") == "N", "ACTIVE_BENCHMARK").otherwise("RETIRED")
-    return t.lineitem.where("l_linenumber >= 5").select(
+    return t.lineitem.select(
         F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("model_id"),
         to.alias("to_status")).distinct().withColumn("event_at", b.stamp())
 
@@ -253,7 +253,7 @@ def promote(t: Tables):
 
 
 @query(f"""WITH {b.MODELS}, latest AS (SELECT * FROM models WHERE o_totalprice >= 100000),
-requests AS (SELECT DISTINCT 'm' || l_orderkey AS model_id FROM lineitem WHERE l_linenumber >= 5)
+requests AS (SELECT DISTINCT 'm' || l_orderkey AS model_id FROM lineitem)
 SELECT model_id, status AS from_status, CASE WHEN status IS NULL THEN 'UNKNOWN_MODEL'
   WHEN status IN ('RETIRED', 'REJECTED') THEN 'NOT_ALLOWED' ELSE 'ACCEPTED' END AS result
 FROM requests LEFT JOIN latest USING (model_id)""")
@@ -280,7 +280,7 @@ def promote_and_retire(t: Tables):
 
 
 _ROLL = """req AS (SELECT DISTINCT 'm' || l_orderkey AS from_model_id, 'm' || l_partkey AS to_model_id
-  FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <> l_partkey),
+  FROM lineitem WHERE l_orderkey <> l_partkey),
 latest AS (SELECT model_id FROM models WHERE o_totalprice >= 100000),
 known AS (SELECT * FROM req WHERE from_model_id IN (SELECT model_id FROM latest)
   AND to_model_id IN (SELECT model_id FROM latest))"""
@@ -289,7 +289,7 @@ known AS (SELECT * FROM req WHERE from_model_id IN (SELECT model_id FROM latest)
 def _rollback(t: Tables):
     latest = b.models(t).where("o_totalprice >= 100000")
     key = {"from_model_id": "l_orderkey", "to_model_id": "l_partkey"}
-    req = t.lineitem.where("l_linenumber = 1 and l_orderkey <> l_partkey").select(
+    req = t.lineitem.where("l_orderkey <> l_partkey").select(
         *[F.concat(F.lit("m"), F.col(c).cast("string")).alias(n) for n, c in key.items()]
     ).distinct().select("*", F.lit("RECALL_DROP").alias("reason"),
                         F.lit("monitor").alias("triggered_by"),
