@@ -8,6 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A lambda variable is a value, while a column used several times may be inlined by the
+    optimizer and then computed anew inside every loop.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(length: Column, tile: Column, overlap: float) -> Column:
     """Tile starts along one axis, with a last tile anchored at the border."""
     size = F.least(length, tile)
@@ -57,11 +66,13 @@ def map_mean(pixels: Column) -> Column:
 
 def normalize(pixels: Column) -> Column:
     """Min-max to whole numbers 0..255; all zero for a flat map."""
-    stats = F.struct(F.array_min(pixels).cast("double").alias("lo"),
-                     F.array_max(pixels).cast("double").alias("hi"))
-    return F.flatten(F.transform(F.array(stats), lambda s: F.transform(
-        pixels, lambda v: F.when(s["hi"] > s["lo"], F.floor(
-            (v.cast("double") - s["lo"]) * 255.0 / (s["hi"] - s["lo"]))).otherwise(0).cast("int"))))
+    def scale(px: Column) -> Column:
+        span = F.struct(F.array_min(px).cast("double").alias("lo"),
+                        F.array_max(px).cast("double").alias("hi"))
+        return bind(span, lambda s: F.transform(px, lambda v: F.when(s["hi"] > s["lo"], F.floor(
+            (v.cast("double") - s["lo"]) * 255.0 / (s["hi"] - s["lo"]))).otherwise(0).cast("int")))
+
+    return bind(pixels, scale)
 
 
 def array_quantile(ordered: Column, p: float) -> Column:
@@ -74,9 +85,11 @@ def array_quantile(ordered: Column, p: float) -> Column:
 
 def stretch(pixels: Column, low: float = 0.005, high: float = 0.995) -> Column:
     """Percentile stretch to whole numbers 0..255; all zero for a flat image."""
-    ordered = F.transform(F.array(F.sort_array(pixels)), lambda s: F.struct(
-        array_quantile(s, low).alias("lo"), array_quantile(s, high).alias("hi")))
-    return F.flatten(F.transform(ordered, lambda s: F.transform(
-        pixels, lambda v: F.when(s["hi"] > s["lo"], F.floor(F.least(F.greatest(
-            (v.cast("double") - s["lo"]) * 255.0 / (s["hi"] - s["lo"]), F.lit(0.0)),
-            F.lit(255.0)))).otherwise(0).cast("int"))))
+    def scale(px: Column) -> Column:
+        span = bind(F.sort_array(px), lambda o: F.struct(
+            array_quantile(o, low).alias("lo"), array_quantile(o, high).alias("hi")))
+        return bind(span, lambda s: F.transform(px, lambda v: F.when(s["hi"] > s["lo"], F.floor(
+            F.least(F.greatest((v.cast("double") - s["lo"]) * 255.0 / (s["hi"] - s["lo"]),
+                               F.lit(0.0)), F.lit(255.0)))).otherwise(0).cast("int")))
+
+    return bind(pixels, scale)

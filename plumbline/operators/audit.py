@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.maps import bind
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -109,22 +111,29 @@ def average_hash(pixels: Column, height: int, width: int, size: int = 8) -> Colu
     if height % size or width % size or (size * size) % 4:
         raise ValueError("image sides must be multiples of the hash size")
     bh, bw = height // size, width // size
-    if bh == bw == 1:
-        blocks = F.transform(pixels, lambda v: v.cast("double"))
-    else:
-        blocks = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda b: F.aggregate(
+
+    def block_mean(px: Column, b: Column) -> Column:
+        return F.aggregate(
             F.sequence(F.lit(0), F.lit(bh * bw - 1)), F.lit(0.0),
-            lambda acc, i: acc + F.get(pixels, (
+            lambda acc, i: acc + F.get(px, (
                 (F.floor(b / size) * bh + F.floor(i / bw)) * width
-                + (b % size) * bw + i % bw).cast("int")).cast("double")) / (bh * bw))
-    mean = F.aggregate(blocks, F.lit(0.0), lambda a, v: a + v) / (size * size)
-    # the mean is computed once and travels in a struct beside the blocks
-    packed = F.struct(blocks.alias("b"), mean.alias("m"))
-    bits = F.transform(F.array(packed), lambda p: F.array_join(
-        F.transform(p["b"], lambda v: F.when(v >= p["m"], "1").otherwise("0")), ""))[0]
-    nibbles = [F.lower(F.conv(F.substring(bits, 4 * i + 1, 4), 2, 16))
-               for i in range(size * size // 4)]
-    return F.concat(*nibbles)
+                + (b % size) * bw + i % bw).cast("int")).cast("double")) / (bh * bw)
+
+    def block_means(px: Column) -> Column:
+        if bh == bw == 1:
+            return F.transform(px, lambda v: v.cast("double"))
+        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)),
+                           lambda b: block_mean(px, b))
+
+    def to_bits(blocks: Column) -> Column:
+        mean = F.aggregate(blocks, F.lit(0.0), lambda a, v: a + v) / (size * size)
+        return bind(mean, lambda m: F.array_join(F.transform(
+            blocks, lambda v: F.when(v >= m, "1").otherwise("0")), ""))
+
+    bits = bind(pixels, lambda px: bind(block_means(px), to_bits))
+    return bind(bits, lambda text: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(size * size // 4 - 1)),
+        lambda i: F.lower(F.conv(F.substring(text, i * 4 + 1, F.lit(4)), 2, 16))), ""))
 
 
 def hash_groups(df: DataFrame, item: str, digest: str) -> DataFrame:

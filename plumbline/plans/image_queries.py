@@ -293,22 +293,22 @@ def analyze_images(t: Tables):
     return rounded(out, "score", "area_ratio")
 
 
-@query(f"""WITH RECURSIVE {_ANALYZE}, dig AS (SELECT image_id, label,
-  string_agg(CASE WHEN p >= 128 THEN 1 ELSE 0 END, '' ORDER BY y, x)[1:4] AS digest
-  FROM img GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {_ANALYZE},
+quarter AS (SELECT image_id, label, (y // 4) * 2 + x // 4 AS k, avg(p) AS m FROM img GROUP BY 1, 2, 3),
+qbit AS (SELECT *, CASE WHEN m >= avg(m) OVER (PARTITION BY image_id) THEN 1 ELSE 0 END AS bit
+  FROM quarter),
+dig AS (SELECT image_id, label, string_agg(bit, '' ORDER BY k) AS digest FROM qbit GROUP BY 1, 2),
 ok AS (SELECT image_id, row_number() OVER (PARTITION BY digest ORDER BY
   lpad(CAST(image_id AS VARCHAR), 9, '0')) AS r FROM dig WHERE label <> 9)
 SELECT o.image_id, CASE WHEN r > 1 THEN 'WV_DUPLICATE_INPUT' END AS error_code,
   CASE WHEN r = 1 THEN decision END AS decision FROM ok o JOIN result USING (image_id)
 UNION ALL SELECT image_id, 'WV_IMAGE_INVALID', NULL FROM dig WHERE label = 9""")
 def analyze_batch(t: Tables):
-    """Label 9 stands for broken files; images with the same first four bits count as copies."""
-    bits = F.concat(*[F.when(F.get("pixels", F.lit(i)) >= 128, "1").otherwise("0")
-                      for i in range(4)])
+    """Label 9 stands for broken files; images with the same 2 x 2 average hash count as copies."""
     rows = b.images(t).join(t.embeddings.select(F.col("vec_id").alias("image_id"), "label"),
                             "image_id")
     rows = rows.withColumns({
-        "sha256": bits, "path": F.lpad(F.col("image_id").cast("string"), 9, "0")})
+        "sha256": audit.average_hash(F.col("pixels"), 8, 8, size=2), "path": F.lpad(F.col("image_id").cast("string"), 9, "0")})
     broken = rows.where("label = 9").select("image_id", F.lit("WV_IMAGE_INVALID").alias(
         "error_code"))
     first, copies = images.unique_images(rows.where("label <> 9"))
