@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import is_finite
 from plumbline.operators.metrics import best_row, cumulative_counts
-from plumbline.operators.ordered import exact_quantiles
+from plumbline.operators.ordered import count_at_most, exact_quantiles, search_index
 
 
 def only_split(df: DataFrame, split: str, wanted: str) -> DataFrame:
@@ -103,9 +103,11 @@ def pixel_f1_threshold(pixels: DataFrame, keys: Sequence[str], label: str, score
     number = Window.partitionBy(*keys).orderBy("prob")
     candidates = candidates.withColumn("_i", F.row_number().over(number))
     # n_candidates entries per key
-    lists = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list("quantile")).alias("_q"))
-    reached = F.size(F.filter("_q", lambda q: q <= F.col(score)))
-    counts = pixels.join(lists, keys).groupBy(*keys, reached.alias("_i")).agg(
+    lists = candidates.groupBy(*keys).agg(
+        F.sort_array(F.collect_list("quantile")).alias("_a")).select(
+        *keys, search_index("_a", 16).alias("_q"))
+    reached = count_at_most(pixels.join(lists, keys), "_q", score, 16, "_i")
+    counts = reached.groupBy(*keys, "_i").agg(
         F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
     totals = counts.groupBy(*keys).agg(F.sum("_p").alias("_P"))
     from_top = Window.partitionBy(*keys).orderBy(F.col("_i").desc()).rowsBetween(

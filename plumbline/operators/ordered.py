@@ -8,47 +8,52 @@ cut points; every result below stays exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_FAN = 16
 _SLICE = "_slice"
 
 
-def slice_cuts(df: DataFrame, value: str, fan: int | None = None) -> tuple[Column, int]:
-    """Cut points of ``value`` as a one-row scalar subquery, and the fan used.
+def default_fan(df: DataFrame) -> int:
+    """Fan for about four slices per shuffle partition, between 64 and 4096 slices.
 
-    The number of slices is ``fan**2``. Raise ``plumbline.rank.fan`` in the session for tables
-    of many billion rows.
+    A cluster sized for a large table has many shuffle partitions and so gets many slices.
     """
-    if fan is None:
-        fan = int(df.sparkSession.conf.get("plumbline.rank.fan", str(DEFAULT_FAN)))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(64, max(8, math.ceil(math.sqrt(4 * partitions))))
+
+
+def search_index(ordered: str, fan: int) -> Column:
+    """A sorted array column with every ``fan``-th entry apart, for :func:`count_at_most`."""
+    return F.expr(f"""struct({ordered} AS fine, transform(
+        filter(sequence(0, int(size({ordered}) div {fan})), i -> i > 0),
+        i -> element_at({ordered}, i * {fan})) AS coarse)""")
+
+
+def count_at_most(df: DataFrame, index: str, value: str, fan: int, name: str) -> DataFrame:
+    """Add how many entries of the indexed array are at most ``value``: two short searches."""
+    return df.withColumn("_c", F.expr(f"size(filter({index}.coarse, s -> s <= {value}))")
+                         ).withColumn(name, F.expr(
+        f"_c * {fan} + size(filter(slice({index}.fine, _c * {fan} + 1, {fan - 1}), "
+        f"s -> s <= {value}))")).drop("_c")
+
+
+def slice_cuts(df: DataFrame, value: str, fan: int | None = None) -> tuple[Column, int]:
+    """Cut points of ``value`` for ``fan**2`` slices as a one-row scalar subquery, and the fan."""
+    fan = fan or default_fan(df)
     slices = fan * fan
-    cuts = df.agg(
-        F.percentile_approx(value, [i / slices for i in range(1, slices)], 10000).alias("fine")
-    ).select(
-        F.struct(
-            "fine",
-            F.transform(F.sequence(F.lit(1), F.lit(fan - 1)),
-                        lambda i: F.element_at("fine", (i * fan).cast("int"))).alias("coarse"),
-        ).alias("cuts")
-    )
-    return cuts.scalar(), fan
+    probs = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
+    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({probs}), {max(1000, 4 * slices)})"
+                         ).alias("fine"))
+    return cuts.select(search_index("fine", fan).alias("cuts")).scalar(), fan
 
 
 def with_slice(df: DataFrame, value: str, cuts: Column, fan: int, name: str = _SLICE) -> DataFrame:
-    """Add the slice number: how many cut points lie at or below the value.
-
-    Two short searches of ``fan`` steps instead of one of ``fan**2``.
-    """
-    v = F.col(value)
-    out = df.withColumn("_cuts", cuts).withColumn(
-        "_c", F.size(F.filter(F.col("_cuts.coarse"), lambda s: s <= v)))
-    fine = F.filter(F.slice("_cuts.fine", F.col("_c") * fan + 1, F.lit(fan - 1)), lambda s: s <= v)
-    # an empty table has NULL cuts; size(NULL) is -1 and no rows reach this point anyway
-    return out.withColumn(name, F.col("_c") * fan + F.size(fine)).drop("_cuts", "_c")
+    """Add the slice number: how many cut points lie at or below the value."""
+    return count_at_most(df.withColumn("_cuts", cuts), "_cuts", value, fan, name).drop("_cuts")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, totals: Sequence[str],
@@ -59,20 +64,18 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, totals: Seque
     table of slice sums gives the amount carried in from earlier slices.
     """
     keys = list(keys)
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    inside = Window.partitionBy(*keys, slice_col).orderBy(direction(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy(direction(slice_col)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, slice_col).agg(*[F.sum(c).alias(f"_s_{c}") for c in totals])
-    carry = sums.select(
-        *keys, slice_col,
-        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_in_{c}") for c in totals])
-    local = df.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in totals])
-    out = local.join(carry, [*keys, slice_col])
-    for c in totals:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"_l_{c}") + F.col(f"_in_{c}"))
-    return out.drop(*[f"_l_{c}" for c in totals], *[f"_in_{c}" for c in totals])
+    order_sql = f"{order} DESC" if descending else order
+    slice_sql = f"{slice_col} DESC" if descending else slice_col
+    key_list = ", ".join(f"`{k}`" for k in keys)
+    sums = df.groupBy(*keys, slice_col).agg(*[F.expr(f"sum({c}) AS _s_{c}") for c in totals])
+    carry = sums.selectExpr(*[f"`{k}`" for k in keys], slice_col, *[
+        f"coalesce(sum(_s_{c}) OVER (PARTITION BY {key_list} ORDER BY {slice_sql} "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _in_{c}" for c in totals])
+    local = df.selectExpr("*", *[
+        f"sum({c}) OVER (PARTITION BY {key_list}, {slice_col} ORDER BY {order_sql} "
+        f"ROWS UNBOUNDED PRECEDING) AS _l_{c}" for c in totals])
+    return local.join(carry, [*keys, slice_col]).selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"_l_{c} + _in_{c} AS {c}{suffix}" for c in totals])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -92,54 +95,38 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     cuts, fan = slice_cuts(rows, "_v", fan)
     sliced = with_slice(rows, "_v", cuts, fan)
 
-    counts = sliced.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*keys).orderBy(_SLICE)
-    counts = counts.select(
-        "*",
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
-        (F.sum("_n").over(along) - F.col("_n")).alias("_below"),
-    )
-    def want(p: Column) -> Column:
-        at = p * (F.col("_total") - 1)
-        hi = F.ceil(at - 1e-9)  # 1e-9 guards against float noise in p * (n - 1)
-        lo = hi if method == "higher" else F.floor(at + 1e-9)
-        return F.struct(p.alias("prob"), lo.alias("lo"), hi.alias("hi"), at.alias("at"))
-
-    wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]), want)
-    top = F.col("_below") + F.col("_n")
-
-    def touches(w: Column) -> Column:
-        return ((w["lo"] >= F.col("_below")) & (w["lo"] < top)) | (
-            (w["hi"] >= F.col("_below")) & (w["hi"] < top))
+    key_list = ", ".join(f"`{k}`" for k in keys)
+    array = ", ".join(f"{float(p)!r}D" for p in probs)
+    # 1e-9 guards against float noise in p * (n - 1)
+    lo = "ceil(p * (_total - 1) - 1e-9D)" if method == "higher" else "floor(p * (_total - 1) + 1e-9D)"
+    counts = sliced.groupBy(*keys, _SLICE).agg(F.expr("count(*) AS _n")).selectExpr(
+        "*", f"sum(_n) OVER (PARTITION BY {key_list}) AS _total",
+        f"sum(_n) OVER (PARTITION BY {key_list} ORDER BY {_SLICE}) - _n AS _below")
+    wanted = counts.withColumn("_want", F.expr(f"""filter(
+        transform(array({array}), p -> struct(p AS prob, {lo} AS lo,
+            ceil(p * (_total - 1) - 1e-9D) AS hi, p * (_total - 1) AS at)),
+        w -> (w.lo >= _below AND w.lo < _below + _n) OR (w.hi >= _below AND w.hi < _below + _n))"""))
+    targets = wanted.where("size(_want) > 0").drop("_n")
 
-    targets = counts.select(*keys, _SLICE, "_below", "_total",
-                            F.filter(wanted, touches).alias("_want")).where(F.size("_want") > 0)
-
-    inside = Window.partitionBy(*keys, _SLICE).orderBy("_v")
     picked = (
-        sliced.join(targets.select(*keys, _SLICE), [*keys, _SLICE], "left_semi")
-        .groupBy(*keys, _SLICE, "_v").agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_end", F.sum("_m").over(inside))
-        .join(targets, [*keys, _SLICE])
-        .withColumn("_to", F.col("_below") + F.col("_end"))
-        .withColumn("_from", F.col("_to") - F.col("_m"))
+        # at most one target row per (keys, slice), so the join only filters
+        sliced.join(targets, [*keys, _SLICE])
+        .groupBy(*keys, _SLICE, "_v").agg(F.expr("count(*) AS _m"), *[
+            F.first(c).alias(c) for c in ("_below", "_total", "_want")])
+        .withColumn("_to", F.expr(
+            f"_below + sum(_m) OVER (PARTITION BY {key_list}, {_SLICE} ORDER BY _v)"))
     )
-
-    def here(rank: Column) -> Column:
-        return (rank >= F.col("_from")) & (rank < F.col("_to"))
-
-    hits = picked.select(
-        *keys, "_v", "_total", "_from", "_to",
-        F.explode(F.filter("_want", lambda w: here(w["lo"]) | here(w["hi"]))).alias("_w"))
+    hits = picked.selectExpr(
+        *[f"`{k}`" for k in keys], "_v", "_total", "_to", "_to - _m AS _from",
+        """explode(filter(_want, w -> (w.lo >= _to - _m AND w.lo < _to)
+            OR (w.hi >= _to - _m AND w.hi < _to))) AS _w""")
     ends = hits.groupBy(*keys, F.col("_w.prob").alias("prob")).agg(
-        F.max(F.when(here(F.col("_w.lo")), F.col("_v"))).alias("_a"),
-        F.max(F.when(here(F.col("_w.hi")), F.col("_v"))).alias("_b"),
-        F.max(F.col("_w.at") - F.col("_w.lo")).alias("_f"),
-        F.max("_total").alias("n"),
-    )
-    quantile = F.col("_b") if method == "higher" else (
-        F.col("_a") + (F.col("_b") - F.col("_a")) * F.greatest(F.col("_f"), F.lit(0.0)))
-    return ends.select(*keys, "prob", quantile.cast("double").alias("quantile"), "n")
+        F.expr("max(CASE WHEN _w.lo >= _from AND _w.lo < _to THEN _v END) AS _a"),
+        F.expr("max(CASE WHEN _w.hi >= _from AND _w.hi < _to THEN _v END) AS _b"),
+        F.expr("greatest(max(_w.at - _w.lo), 0D) AS _f"), F.expr("max(_total) AS n"))
+    quantile = "_b" if method == "higher" else "_a + (_b - _a) * _f"
+    return ends.selectExpr(*[f"`{k}`" for k in keys], "prob",
+                           f"double({quantile}) AS quantile", "n")
 
 
 def quantiles_wide(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],

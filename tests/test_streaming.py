@@ -49,7 +49,8 @@ def test_stream_charts_equal_batch_charts(spark, tmp_path):
 def test_late_rows_are_dropped_and_copies_removed(spark, tmp_path):
     data = rows(200, "2024-01-01", "10min", 2)
     late = data[:6].assign(x=1000.0)
-    stream = as_stream(spark, tmp_path / "a", [data, late])
+    # rows are held against the watermark of the batch before, so the late ones come third
+    stream = as_stream(spark, tmp_path / "a", [data[:100], data[100:], late])
     feed = feeds.run_to_table(feeds.metric_feed(stream, ["k"], "ts", "x", "2 hours", "1 hour"), "feed")
     assert feed.agg(F.max("metric_value")).head()[0] < 10
     again = as_stream(spark, tmp_path / "b", [data, data])
