@@ -99,25 +99,26 @@ def pixel_f1_threshold(pixels: DataFrame, keys: Sequence[str], label: str, score
     """
     keys = list(keys)
     probs = linspace(0.8, 0.9999, n_candidates)
-    candidates = exact_quantiles(pixels, keys, score, probs, fan=fan)
-    number = Window.partitionBy(*keys).orderBy("prob")
-    candidates = candidates.withColumn("_i", F.row_number().over(number))
-    # n_candidates entries per key
-    lists = candidates.groupBy(*keys).agg(
-        F.sort_array(F.collect_list("quantile")).alias("_a")).select(
-        *keys, search_index("_a", 16).alias("_q"))
-    reached = count_at_most(pixels.join(lists, keys), "_q", score, 16, "_i")
+    # n_candidates entries per key, in the order of their probabilities
+    lists = exact_quantiles(pixels, keys, score, probs, fan=fan).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("quantile")).alias("_a"))
+    indexed = lists.select(*keys, search_index("_a", 16).alias("_q"))
+    reached = count_at_most(pixels.join(indexed, keys), "_q", score, 16, "_i")
     counts = reached.groupBy(*keys, "_i").agg(
         F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
-    totals = counts.groupBy(*keys).agg(F.sum("_p").alias("_P"))
+    # bounded by n_candidates + 1 rows per key from here on
+    per_key = counts.groupBy(*keys).agg(
+        F.sum("_p").alias("_P"),
+        F.map_from_entries(F.collect_list(F.struct("_i", F.struct("_p", "_n")))).alias("_m"))
     from_top = Window.partitionBy(*keys).orderBy(F.col("_i").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     table = (
-        candidates.join(counts, [*keys, "_i"], "left").select(
-            *keys, "_i", "quantile",
-            F.sum(F.coalesce("_p", F.lit(0))).over(from_top).alias("tp"),
-            F.sum(F.coalesce("_n", F.lit(0))).over(from_top).alias("fp"))
-        .join(totals, keys)
+        lists.join(per_key, keys)
+        .select(*keys, "_P", "_m", F.posexplode("_a").alias("_i", "quantile"))
+        .select(*keys, "_P", "_i", "quantile", F.expr("try_element_at(_m, _i + 1)").alias("_c"))
+        .select(*keys, "_P", "_i", "quantile",
+                F.sum(F.coalesce("_c._p", F.lit(0))).over(from_top).alias("tp"),
+                F.sum(F.coalesce("_c._n", F.lit(0))).over(from_top).alias("fp"))
         .withColumn("f1", F.coalesce(
             F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("_P")), F.lit(0.0)))
     )
