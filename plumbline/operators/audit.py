@@ -143,52 +143,71 @@ def hash_groups(df: DataFrame, item: str, digest: str) -> DataFrame:
 
 
 def near_duplicates(groups: DataFrame, max_distance: int = 3, blocks: int | None = None,
-                    digits: int = 16) -> DataFrame:
+                    digits: int = 16, hot_rows: int = 10_000) -> DataFrame:
     """Pairs of distinct hashes at most ``max_distance`` bits apart.
 
     Equal hashes were folded by :func:`hash_groups`, so copies never pair with each other. A hash
     is cut into blocks; two hashes within d bits agree on at least blocks - d of them, so every
     choice of that many blocks is one join key (Manku et al. 2007). With 6 blocks and d = 3 a key
-    has about 32 of the 64 bits. A pair that agrees on several choices is kept for the first only,
-    which needs no distinct afterwards.
+    has about 32 of the 64 bits.
+
+    A key shared by more than ``hot_rows`` hashes is split once more: the digits outside the key
+    fall into d + 1 segments, of which a close pair shares at least one, so the segment joins the
+    key. A pair that agrees in several ways is kept for the first way only, which needs no distinct
+    afterwards. No pair is lost by either step.
     """
-    blocks = blocks or min(digits, 2 * max_distance)
-    if not 0 < max_distance < blocks <= digits:
+    d = max_distance
+    blocks = blocks or min(digits, 2 * d)
+    if not 0 < d < blocks <= digits:
         raise ValueError("need max_distance < blocks <= digits")
     edges = [round(i * digits / blocks) for i in range(blocks + 1)]
-    choices = list(combinations(range(blocks), blocks - max_distance))
-
-    def block(col: Column, b: int) -> Column:
-        return F.substring(col, edges[b] + 1, edges[b + 1] - edges[b])
-
-    keyed = groups.select("hash", "item", "copies", F.posexplode(F.array(*[
-        F.concat(*[block(F.col("hash"), b) for b in choice]) for choice in choices])
-    ).alias("_choice", "_key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = [block(F.col("a.hash"), i) == block(F.col("b.hash"), i) for i in range(blocks)]
-
-    def agree(choice) -> Column:
-        out = same[choice[0]]
-        for i in choice[1:]:
-            out = out & same[i]
-        return out
-
-    first = F.coalesce(*[F.when(agree(c), F.lit(i)) for i, c in enumerate(choices)])
-    distance = F.lit(0)
-    for at in range(0, digits, 8):
-        part = min(8, digits - at)
-        left, right = (F.conv(F.substring(F.col(f"{s}.hash"), at + 1, part), 16, 10).cast("long")
-                       for s in "ab")
-        distance = distance + F.bit_count(left.bitwiseXOR(right))
+    choices = list(combinations(range(blocks), blocks - d))
+
+    def cut(name: str, b: int) -> str:
+        return f"substring({name}, {edges[b] + 1}, {edges[b + 1] - edges[b]})"
+
+    def joined(parts: list[str]) -> str:
+        return f"concat({', '.join(parts)})"
+
+    keys = ", ".join(
+        f"struct({i} AS choice, {joined([cut('hash', b) for b in choice])} AS key, "
+        f"{joined([cut('hash', b) for b in range(blocks) if b not in choice])} AS rest)"
+        for i, choice in enumerate(choices))
+    keyed = groups.selectExpr("hash", "item", "copies", f"inline(array({keys}))")
+    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > hot_rows).select("choice", "key", F.lit(True).alias("_hot"))
+    # the segments of a key that is not hot: one empty segment
+    n = d + 1
+
+    def segment(name: str, i: str) -> str:
+        start, end = f"int({i} * length({name}) div {n})", f"int(({i} + 1) * length({name}) div {n})"
+        return f"substring({name}, {start} + 1, {end} - {start})"
+
+    parts = f"""CASE WHEN _hot AND length(rest) >= {n}
+        THEN transform(sequence(0, {n - 1}), i -> struct(i AS seg, {segment("rest", "i")} AS part))
+        ELSE array(struct(-1 AS seg, '' AS part)) END"""
+    split = keyed.join(sizes, ["choice", "key"], "left").selectExpr(
+        "hash", "item", "copies", "choice", "key", "rest", f"inline({parts})")
+
+    pairs = split.alias("a").join(split.alias("b"), F.expr(
+        "a.choice = b.choice AND a.key = b.key AND a.seg = b.seg AND a.part = b.part "
+        "AND a.hash < b.hash"))
+    same = [f"{cut('a.hash', i)} = {cut('b.hash', i)}" for i in range(blocks)]
+    first_choice = " ".join(f"WHEN {' AND '.join(same[i] for i in c)} THEN {j}"
+                            for j, c in enumerate(choices))
+    first_segment = " ".join(
+        f"WHEN {segment('a.rest', str(i))} = {segment('b.rest', str(i))} THEN {i}" for i in range(n))
+    distance = " + ".join(
+        f"bit_count(bigint(conv(substring(a.hash, {at + 1}, {min(8, digits - at)}), 16, 10)) ^ "
+        f"bigint(conv(substring(b.hash, {at + 1}, {min(8, digits - at)}), 16, 10)))"
+        for at in range(0, digits, 8))
     return (
-        a.join(b, (F.col("a._choice") == F.col("b._choice")) & (F.col("a._key") == F.col("b._key"))
-               & (F.col("a.hash") < F.col("b.hash")))
-        .where(first == F.col("a._choice"))
-        .select(F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"),
-                F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"),
-                F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"),
-                distance.alias("distance"))
-        .where(F.col("distance") <= max_distance))
+        pairs.where(f"CASE {first_choice} END = a.choice")
+        .where(f"a.seg = -1 OR CASE {first_segment} END = a.seg")
+        .selectExpr("a.hash AS hash_a", "b.hash AS hash_b", "a.item AS item_a", "b.item AS item_b",
+                    "a.copies AS copies_a", "b.copies AS copies_b",
+                    f"int({distance}) AS distance")
+        .where(F.col("distance") <= d))
 
 
 def split_cutoff(groups: DataFrame, group: str, fraction: float, seed: int) -> Column:

@@ -15,13 +15,19 @@ from plumbline.functions import kernels, rules
 from plumbline.operators.governance import derived_id
 
 
-def _gaps(df: DataFrame, item: str, vector: str, picks: np.ndarray | None) -> DataFrame:
-    """Item, unit vector and squared distance to the nearest pick (first component without one)."""
+def _gaps(df: DataFrame, item: str, vector: str, chosen: list, picks: np.ndarray | None
+          ) -> DataFrame:
+    """Items not chosen yet, with unit vector and squared distance to the nearest pick.
+
+    Without picks the distance is replaced by the first component.
+    """
+    taken = set(chosen)
     schema = T.StructType([df.schema[item], T.StructField("gap", T.DoubleType()),
                            T.StructField("unit", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[~pdf[item].isin(taken)]
             if not len(pdf):
                 continue
             unit = kernels.unit_rows(np.stack(pdf[vector].to_numpy()))
@@ -56,11 +62,11 @@ def diverse_top_k(df: DataFrame, item: str, vector: str, k: int, pool: int = 256
     if len(few) <= k:
         return spark.createDataFrame([(i, v) for i, v in enumerate(few, 1)], schema)
 
-    start = _gaps(df, item, vector, None).orderBy(F.col("gap").desc(), item).limit(1).head()
+    start = _gaps(df, item, vector, [], None).orderBy(F.col("gap").desc(), item).limit(1).head()
     chosen, units = [start[item]], [np.asarray(start["unit"], dtype=np.float32)]
     while len(chosen) < k:
-        far = _gaps(df, item, vector, np.stack(units)).where(
-            ~F.col(item).isin(chosen)).orderBy(F.col("gap").desc(), item).limit(pool + 1).collect()
+        far = _gaps(df, item, vector, chosen, np.stack(units)).orderBy(
+            F.col("gap").desc(), item).limit(pool + 1).collect()
         bound = far[pool]["gap"] if len(far) > pool else -1.0
         near = far[:pool]
         gaps = np.array([r["gap"] for r in near])

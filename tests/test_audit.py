@@ -102,7 +102,8 @@ def test_average_hash(spark, size):
 
 
 @pytest.mark.parametrize("d,blocks", [(3, None), (3, 4), (1, 4), (2, 5)])
-def test_near_duplicates_finds_every_pair(spark, d, blocks):
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_near_duplicates_finds_every_pair(spark, d, blocks, hot):
     rng = np.random.default_rng(6)
     centres = [int(x) for x in rng.integers(0, 2**63, 12)]
     values = [0] * 100 + list(centres)
@@ -115,7 +116,7 @@ def test_near_duplicates_finds_every_pair(spark, d, blocks):
     df = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(values)], "id long, h string")
     groups = audit.hash_groups(df, "id", "h")
     assert groups.where("hash = '0000000000000000'").head().copies == 100
-    got = audit.near_duplicates(groups, d, blocks).collect()
+    got = audit.near_duplicates(groups, d, blocks, hot_rows=hot).collect()
     pairs = [(r.hash_a, r.hash_b, r.distance) for r in got]
     distinct = sorted({f"{v:016x}" for v in values})
     want = [(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for i, a in enumerate(distinct)
