@@ -172,6 +172,25 @@ def submit_feedback(t: Tables):
         bad.withColumn("accepted", F.lit(False))).select("feedback_id", "analysis_id", "accepted")
 
 
+_ROLL = """req AS (SELECT DISTINCT 'm' || l_orderkey AS from_model_id, 'm' || l_partkey AS to_model_id
+  FROM lineitem WHERE l_orderkey <> l_partkey),
+latest AS (SELECT model_id FROM models WHERE o_totalprice >= 100000),
+known AS (SELECT * FROM req WHERE from_model_id IN (SELECT model_id FROM latest)
+  AND to_model_id IN (SELECT model_id FROM latest))"""
+
+
+def _rollback(t: Tables):
+    latest = b.models(t).where("o_totalprice >= 100000")
+    key = {"from_model_id": "l_orderkey", "to_model_id": "l_partkey"}
+    req = t.lineitem.where("l_orderkey <> l_partkey").select(
+        *[F.concat(F.lit("m"), F.col(c).cast("string")).alias(n) for n, c in key.items()]
+    ).distinct().select("*", F.lit("RECALL_DROP").alias("reason"),
+                        F.lit("monitor").alias("triggered_by"),
+                        F.lit(None).cast("string").alias("incident_id"),
+                        b.stamp().alias("event_at"))
+    return governance.rollback(latest, req)
+
+
 @query(f"""WITH {b.MODELS}
 SELECT model_id, created_at FROM models WHERE status = 'VALIDATED' ORDER BY created_at DESC""")
 def list_models(t: Tables):
@@ -179,6 +198,13 @@ def list_models(t: Tables):
         "model_id", "created_at")
 
 
+@query(f"""WITH {b.MODELS}, {_ROLL}
+SELECT from_model_id, to_model_id, TIMESTAMP '{b.STAMP}' AS created_at FROM known""")
+def list_rollbacks(t: Tables):
+    return _rollback(t)[1].orderBy(F.col("created_at").desc(), "rollback_id").select(
+        "from_model_id", "to_model_id", "created_at")
+
+
 @query(f"""WITH {b.MODELS}
 SELECT registry_id, count(*) AS models,
   arg_max(model_id, (created_at, model_id)) FILTER (status = 'ACTIVE_BENCHMARK')
@@ -279,25 +305,6 @@ def promote_and_retire(t: Tables):
     return governance.promote_and_retire(models, req).drop("event_at")
 
 
-_ROLL = """req AS (SELECT DISTINCT 'm' || l_orderkey AS from_model_id, 'm' || l_partkey AS to_model_id
-  FROM lineitem WHERE l_orderkey <> l_partkey),
-latest AS (SELECT model_id FROM models WHERE o_totalprice >= 100000),
-known AS (SELECT * FROM req WHERE from_model_id IN (SELECT model_id FROM latest)
-  AND to_model_id IN (SELECT model_id FROM latest))"""
-
-
-def _rollback(t: Tables):
-    latest = b.models(t).where("o_totalprice >= 100000")
-    key = {"from_model_id": "l_orderkey", "to_model_id": "l_partkey"}
-    req = t.lineitem.where("l_orderkey <> l_partkey").select(
-        *[F.concat(F.lit("m"), F.col(c).cast("string")).alias(n) for n, c in key.items()]
-    ).distinct().select("*", F.lit("RECALL_DROP").alias("reason"),
-                        F.lit("monitor").alias("triggered_by"),
-                        F.lit(None).cast("string").alias("incident_id"),
-                        b.stamp().alias("event_at"))
-    return governance.rollback(latest, req)
-
-
 @query(f"""WITH {b.MODELS}, {_ROLL}
 SELECT to_model_id AS model_id, 'ACTIVE_BENCHMARK' AS status FROM known
 UNION ALL SELECT from_model_id, 'RETIRED' FROM known""")
@@ -404,3 +411,14 @@ def record_canary(t: Tables):
     out = compare.canary_record(found, F.col("model_id"), F.concat(F.lit("next_"), "model_id"),
                                 b.stamp(), DriftPolicy(canary_max_disagreement=0.1))
     return rounded(out, "disagreement_rate", "critical_recall_delta", "latency_p95_ms")
+
+
+@query(f"""WITH {b.SCORED}, {_PAIRS}, {_CANARY}
+SELECT model_id AS champion_model_id, sample_count FROM canary WHERE model_id = 'len_en'""")
+def list_canaries(t: Tables):
+    """Canaries of one champion, newest first."""
+    found = compare.canary_metrics(_pairs(t), ["model_id"])
+    runs = compare.canary_record(found, F.col("model_id"), F.concat(F.lit("next_"), "model_id"),
+                                 b.stamp())
+    return runs.where("champion_model_id = 'len_en'").orderBy(F.col("created_at").desc()).select(
+        "champion_model_id", "sample_count")
