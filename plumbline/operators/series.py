@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules
@@ -62,56 +62,44 @@ def drift_monitor(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     ``chunk`` grows with it. Adds position, ewma, ewma_lower_limit, cusum_down, both alerts and
     trend_status.
     """
-    keys, order = list(keys), list(order)
-    w = policy.ewma_lambda
-    rows = df.withColumn(_CHUNK, chunk).withColumn(
-        "_z", (F.col("baseline_mean") - F.col(value)) / F.col("baseline_std")
-        - F.lit(policy.cusum_k_sigma))
-    in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    upto = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (rows.withColumn("_r", F.row_number().over(in_chunk))
-            .withColumn("_s", F.sum("_z").over(upto))
-            .withColumn("_m", F.min("_s").over(upto)))
-    rows = _local_ewma(rows, keys, order, value, w)
-
+    keys = list(keys)
+    w, by = policy.ewma_lambda, ", ".join(f"`{k}`" for k in keys)
+    along = ", ".join(f"`{c}`" for c in order)
+    reach, keep = _reach(w), f"{1.0 - w!r}D"
+    upto = f"(PARTITION BY {by}, {_CHUNK} ORDER BY {along} ROWS UNBOUNDED PRECEDING)"
+    rows = (
+        df.withColumn(_CHUNK, chunk)
+        .withColumn("_z", F.expr(f"(baseline_mean - `{value}`) / baseline_std - {policy.cusum_k_sigma!r}D"))
+        .selectExpr("*", f"row_number() OVER (PARTITION BY {by}, {_CHUNK} ORDER BY {along}) AS _r",
+                    f"sum(_z) OVER {upto} AS _s")
+        .selectExpr("*", f"min(_s) OVER {upto} AS _m"))
+    rows = _local_ewma(rows, by, along, value, w)
+
+    past = f"(PARTITION BY {by} ORDER BY {_CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     ends = rows.groupBy(*keys, _CHUNK).agg(
-        F.max("_r").alias("_n"), F.max_by("_s", "_r").alias("_sum"), F.min("_m").alias("_low"),
-        F.max_by("_e", "_r").alias("_end"))
-    along = Window.partitionBy(*keys).orderBy(_CHUNK)
-    past = along.rowsBetween(Window.unboundedPreceding, -1)
-    ends = (
-        ends.withColumn("_pos0", F.coalesce(F.sum("_n").over(past), F.lit(0)))
-        .withColumn("_s0", F.coalesce(F.sum("_sum").over(past), F.lit(0.0)))
-        .withColumn("_m0", F.coalesce(F.min(F.col("_s0") + F.col("_low")).over(past), F.lit(0.0)))
-    )
-    reach = _reach(w)
-    older = F.collect_list(F.struct((F.col("_pos0") + F.col("_n")).alias("at"),
-                                    F.col("_end").alias("e"))).over(along.rowsBetween(-reach, -1))
-    # at most `reach` earlier chunks count: each holds at least one row
-    ends = ends.withColumn("_e0", F.aggregate(
-        older, F.lit(0.0),
-        lambda acc, c: acc + c["e"] * F.pow(F.lit(1.0 - w), F.col("_pos0") - c["at"])))
-    carry = ends.select(*keys, _CHUNK, "_pos0", "_s0", "_m0", "_e0")
-
-    out = rows.join(carry, [*keys, _CHUNK])
-    pos = F.col("_pos0") + F.col("_r")
-    mu, sigma = F.col("baseline_mean"), F.col("baseline_std")
-    total = F.col("_s0") + F.col("_s")
-    lowest = F.least(F.lit(0.0), F.col("_m0"), F.col("_s0") + F.col("_m"))
-    ewma = (F.col("_e") + F.pow(F.lit(1.0 - w), F.col("_r")) * F.col("_e0")
-            + F.pow(F.lit(1.0 - w), pos) * mu)
-    spread = F.sqrt(F.lit(w / (2.0 - w)) * (1.0 - F.pow(F.lit(1.0 - w), pos * 2)))
-    out = (
-        out.withColumn("position", pos)
-        .withColumn("ewma", ewma)
-        .withColumn("ewma_lower_limit", mu - F.lit(policy.ewma_limit_sigma) * sigma * spread)
-        .withColumn("cusum_down", total - lowest)
-        .withColumn("ewma_alert", F.col("ewma") < F.col("ewma_lower_limit"))
-        .withColumn("cusum_alert", F.col("cusum_down") > F.lit(policy.cusum_h_sigma))
-    )
-    out = out.withColumn("trend_status", rules.trend_status(F.col("ewma_alert"),
-                                                            F.col("cusum_alert")))
-    return out.drop(_CHUNK, "_z", "_r", "_s", "_m", "_e", "_pos0", "_s0", "_m0", "_e0")
+        F.expr("max(_r) AS _n"), F.expr("max_by(_s, _r) AS _sum"), F.expr("min(_m) AS _low"),
+        F.expr("max_by(_e, _r) AS _end"))
+    ends = ends.selectExpr("*", f"coalesce(sum(_n) OVER {past}, 0L) AS _pos0",
+                           f"coalesce(sum(_sum) OVER {past}, 0D) AS _s0")
+    # each chunk holds at least one row, so at most `reach` earlier chunks still weigh anything
+    ends = ends.selectExpr(
+        "*", f"coalesce(min(_s0 + _low) OVER {past}, 0D) AS _m0",
+        f"""collect_list(struct(_pos0 + _n AS at, _end AS e)) OVER (PARTITION BY {by}
+            ORDER BY {_CHUNK} ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS _old""")
+    carry = ends.selectExpr(
+        *[f"`{k}`" for k in keys], _CHUNK, "_pos0", "_s0", "_m0",
+        f"aggregate(_old, 0D, (a, c) -> a + c.e * pow({keep}, _pos0 - c.at)) AS _e0")
+
+    out = rows.join(carry, [*keys, _CHUNK]).selectExpr(
+        *[f"`{c}`" for c in df.columns], "_pos0 + _r AS position",
+        f"_e + pow({keep}, _r) * _e0 + pow({keep}, _pos0 + _r) * baseline_mean AS ewma",
+        f"""baseline_mean - {float(policy.ewma_limit_sigma)!r}D * baseline_std * sqrt(
+            {w / (2.0 - w)!r}D * (1 - pow({keep}, 2 * (_pos0 + _r)))) AS ewma_lower_limit""",
+        "_s0 + _s - least(0D, _m0, _s0 + _m) AS cusum_down"
+    ).selectExpr("*", "ewma < ewma_lower_limit AS ewma_alert",
+                 f"cusum_down > {float(policy.cusum_h_sigma)!r}D AS cusum_alert")
+    return out.withColumn("trend_status", rules.trend_status(F.col("ewma_alert"),
+                                                             F.col("cusum_alert")))
 
 
 def _reach(w: float) -> int:
@@ -119,25 +107,20 @@ def _reach(w: float) -> int:
     return 1 if w >= 1.0 else max(1, math.ceil(math.log(1e-17) / math.log(1.0 - w)))
 
 
-def _local_ewma(rows: DataFrame, keys: list[str], order: list[str], value: str,
-                w: float) -> DataFrame:
+def _local_ewma(rows: DataFrame, by: str, along: str, value: str, w: float) -> DataFrame:
     """EWMA inside each chunk, started from zero, as column ``_e``."""
     if w >= 1.0:
         return rows.withColumn("_e", F.col(value).cast("double"))
-    size = _reach(w)
-    base = F.lit(1.0 - w)
-    rows = (rows.withColumn("_b", F.floor((F.col("_r") - 1) / size))
-            .withColumn("_j", (F.col("_r") - 1) % size))
-    block = Window.partitionBy(*keys, _CHUNK, "_b").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn(
-        "_be", F.lit(w) * F.pow(base, F.col("_j"))
-        * F.sum(F.col(value) * F.pow(base, -F.col("_j"))).over(block))
-    previous = Window.partitionBy(*keys, _CHUNK).orderBy("_b").rangeBetween(-1, -1)
-    last = F.max(F.when(F.col("_j") == size - 1, F.col("_be"))).over(previous)
-    return rows.withColumn(
-        "_e", F.col("_be") + F.pow(base, F.col("_j") + 1) * F.coalesce(last, F.lit(0.0))
-    ).drop("_b", "_j", "_be")
+    size, keep = _reach(w), f"{1.0 - w!r}D"
+    return (
+        rows.selectExpr("*", f"(_r - 1) div {size} AS _b", f"(_r - 1) % {size} AS _j")
+        .selectExpr("*", f"""{w!r}D * pow({keep}, _j) * sum(`{value}` * pow({keep}, -_j)) OVER (
+            PARTITION BY {by}, {_CHUNK}, _b ORDER BY {along} ROWS UNBOUNDED PRECEDING) AS _be""")
+        # the last row of the block before
+        .selectExpr("*", f"""max(CASE WHEN _j = {size - 1} THEN _be END) OVER (
+            PARTITION BY {by}, {_CHUNK} ORDER BY _b RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS _bl""")
+        .withColumn("_e", F.expr(f"_be + pow({keep}, _j + 1) * coalesce(_bl, 0D)"))
+        .drop("_b", "_j", "_be", "_bl"))
 
 
 def window_rollup(points: DataFrame, keys: Sequence[str], value: str, ts: str) -> DataFrame:
@@ -165,20 +148,19 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
 
     The first row of a chunk takes the last value of the chunk before it.
     """
-    keys, order = list(keys), list(order)
+    by = ", ".join(f"`{k}`" for k in keys)
+    along = ", ".join(f"`{c}`" for c in order)
     rows = df.withColumn(_CHUNK, chunk)
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     last = rows.groupBy(*keys, _CHUNK).agg(
-        F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("_last"))
-    carry = last.select(*keys, _CHUNK, F.lag("_last").over(
-        Window.partitionBy(*keys).orderBy(_CHUNK)).alias("_in"))
-    return (
-        rows.withColumn("_r", F.row_number().over(inside))
-        .withColumn("_lag", F.lag(column).over(inside))
-        .join(carry, [*keys, _CHUNK])
-        .withColumn(name, F.when(F.col("_r") == 1, F.col("_in.v")).otherwise(F.col("_lag")))
-        .drop(_CHUNK, "_r", "_lag", "_in")
-    )
+        F.expr(f"max_by(struct(`{column}` AS v), struct({along})) AS _last"))
+    carry = last.selectExpr(*[f"`{k}`" for k in keys], _CHUNK,
+                            f"lag(_last) OVER (PARTITION BY {by} ORDER BY {_CHUNK}) AS _in")
+    inside = f"(PARTITION BY {by}, {_CHUNK} ORDER BY {along})"
+    return rows.selectExpr(
+        "*", f"row_number() OVER {inside} AS _r", f"lag(`{column}`) OVER {inside} AS _lag"
+    ).join(carry, [*keys, _CHUNK]).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        f"CASE WHEN _r = 1 THEN _in.v ELSE _lag END AS `{name}`")
 
 
 def lagged_drop(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,

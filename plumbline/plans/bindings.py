@@ -175,8 +175,10 @@ evidence AS (
 
 def incident_rows(t: Tables) -> DataFrame:
     from plumbline.operators.governance import open_incidents
+    from plumbline.session import materialize
 
-    ev = user_evidence(t)
+    # windows are stored before incidents refer to them
+    ev = materialize(t.spark, user_evidence(t), "windows")
     windows = ev.select("window_id", "drift_pattern", "model_id", "threshold_id")
     return open_incidents(windows, ev.select("window_id", *rules.SIGNALS), stamp())
 
