@@ -95,16 +95,25 @@ def knn_score(queries: DataFrame, bank: DataFrame, item: str, vector: str, k: in
 
     blocks = math.ceil(nbytes / limit_bytes)
     slices = max(1, math.ceil(queries.count() / slice_rows))
-    left = queries.select(item, vector, F.pmod(F.xxhash64(item), F.lit(slices)).alias("_s"),
-                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    right = bank.select(vector, F.pmod(F.xxhash64(item), F.lit(blocks)).alias("_b"),
-                        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
+
+    def spread(n: int):
+        return F.pmod(F.xxhash64(item), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    # both sides need the same key types: a long and an int of equal value hash differently
+    left = queries.select(item, vector, spread(slices).alias("_s"), every(blocks).alias("_b"))
+    right = bank.select(vector, every(slices).alias("_s"), spread(blocks).alias("_b"))
     schema = T.StructType([queries.schema[item],
                            T.StructField("near", T.ArrayType(T.DoubleType()))])
 
+    id_type = "int64" if isinstance(queries.schema[item].dataType, T.IntegralType) else object
+
     def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
-            return pd.DataFrame({item: [], "near": []})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({item: pd.Series([], dtype=id_type), "near": none})
         near = _nearest(np.stack(q[vector].to_numpy()), np.stack(b[vector].to_numpy()), k)
         return pd.DataFrame({item: q[item].to_numpy(), "near": list(near)})
 
