@@ -92,8 +92,15 @@ def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") ->
     """Run an append stream over everything available and read back what it wrote."""
     spark: SparkSession = stream.sparkSession
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    query = (stream.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", checkpoint).outputMode(output_mode)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    # every state partition is opened and committed in every batch, so one per core is enough
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        query = (stream.writeStream.format("parquet").option("path", out)
+                 .option("checkpointLocation", checkpoint).outputMode(output_mode)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(out)
