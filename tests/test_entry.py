@@ -12,7 +12,11 @@ NO_SQL = {"perturb_seeded", "knn_score_thinned"}
 
 
 def test_every_query_has_its_sql_twin():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    from plumbline.plans import load
+
+    plain = load()
+    assert set(plain.QUERIES) - set(plain.ORACLES) == NO_SQL
+    assert set(plain.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
