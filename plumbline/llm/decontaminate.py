@@ -36,28 +36,12 @@ def words_of(text: str | Column) -> Column:
     return F.array_remove(F.split(ascii_lower(whole(text)), SEPARATORS, -1), "")
 
 
-def shingle_hashes(hashes: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words, from the words' own hashes."""
-    powers, step = {1: hashes}, 1
-    while step * 2 <= size:
-        powers[step * 2] = _paired(powers[step], powers[step], step)
-        step *= 2
-    runs, done = powers[step], step
-    while done < size:
-        step = max(p for p in powers if p <= size - done)
-        runs, done = _paired(runs, powers[step], done), done + step
-    return runs
-
-
-def _paired(left: Column, right: Column, gap: int) -> Column:
-    """Element i of ``left`` hashed with element i + gap of ``right``."""
-    count = F.greatest(F.size(right) - gap, F.lit(0))
-    return F.zip_with(F.slice(left, 1, count), F.slice(right, F.lit(gap + 1), count),
-                      lambda a, b: F.xxhash64(a, b))
-
-
-def _word_hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def shingle_hashes(words: str, size: int) -> Column:
+    """Hashes of all runs of ``size`` words of the array column ``words``."""
+    run = lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])
+    return F.when(F.size(words) >= size, F.transform(
+        F.sequence(F.lit(0), F.size(words) - size), run)).otherwise(
+            F.array().cast("array<bigint>"))
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -72,20 +56,19 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) ->
             "window_key", F.sha2(F.array_join("words", " "), 256))
 
 
-def _document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row per document shingle: its size, position and hash, beside the document's words."""
-    hashed = docs.withColumn("_hashes", _word_hashes(F.col("_words")))
-    runs = hashed.withColumn("_runs", F.concat(*[shingle_hashes(F.col("_hashes"), n)
-                                                 for n in sizes]))
-    rows = runs.select("_id", "_version", "_words", F.posexplode("_runs").alias("_at", "shingle"))
-    at, passed, place = F.col("_at"), F.lit(0), None
-    for n in sizes:  # the runs of each size stand one after another
-        count = F.greatest(F.size("_words") - (n - 1), F.lit(0))
-        here = F.struct(F.lit(n).alias("n"), (at - passed).alias("at"))
-        place = F.when(at < passed + count, here) if place is None else place.when(
-            at < passed + count, here)
-        passed = passed + count
-    return rows.withColumn("_place", place)
+def _runs(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """Documents with the hashes of all their shingles in ``_runs``, one size after another."""
+    return docs.withColumn("_runs", F.concat(*[shingle_hashes("_words", n) for n in sizes]))
+
+
+def _position(sizes: list[int]) -> Column:
+    """The position of a shingle of size ``n`` from its place ``_at`` in ``_runs``."""
+    passed, out = F.lit(0), None
+    for n in sizes:
+        here = F.col("_at") - passed
+        out = F.when(F.col("n") == n, here) if out is None else out.when(F.col("n") == n, here)
+        passed = passed + F.greatest(F.size("_words") - (n - 1), F.lit(0))
+    return out
 
 
 def _bounded(small: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -108,24 +91,25 @@ def window_hits(docs: DataFrame, windows: DataFrame, *, shingle: int = SHINGLE,
     for n in sizes:
         own = windows.filter(size == n).select(
             "window_key", "words", F.lit(n).alias("n"),
-            F.posexplode(shingle_hashes(_word_hashes(F.col("words")), n)).alias(
+            F.posexplode(shingle_hashes("words", n)).alias(
                 "offset", "shingle"))
         tokens = own if tokens is None else tokens.unionByName(own)
     tokens = materialize(spark, tokens, "window-shingles")
-    place = _document_shingles(docs, sizes)
+    runs = _runs(docs, sizes)  # outer generators: others would evaluate the runs in a filter too
 
-    vocabulary = _bounded(tokens.select("n", "shingle").distinct(), broadcast_rows)
-    seen = place.select("shingle", F.col("_place.n").alias("n")).join(
-        vocabulary, ["shingle", "n"]).groupBy("shingle", "n").agg(F.count("*").alias("count"))
-    ranked = tokens.join(seen, ["shingle", "n"], "left").withColumn(
+    vocabulary = _bounded(tokens.select("shingle").distinct(), broadcast_rows)
+    seen = runs.select(F.explode_outer("_runs").alias("shingle")).join(vocabulary, "shingle").groupBy(
+        "shingle").agg(F.count("*").alias("count"))
+    ranked = tokens.join(seen, "shingle", "left").withColumn(
         "count", F.coalesce("count", F.lit(0)))
     prefix = ranked.groupBy("window_key").agg(F.min(F.struct(
         "count", "offset", "shingle", "n", "words")).alias("_rarest")).select(
             "window_key", "_rarest.*").filter("count > 0").drop("count")
     prefix = _bounded(materialize(spark, prefix, "window-prefix"), broadcast_rows)
 
-    found = place.withColumn("n", F.col("_place.n")).join(prefix, ["shingle", "n"]).withColumn(
-        "start", F.col("_place.at") - F.col("offset"))
+    found = runs.select("_id", "_version", "_words", F.posexplode_outer("_runs").alias(
+        "_at", "shingle")).join(prefix, "shingle").withColumn(
+            "start", _position(sizes) - F.col("offset"))
     fits = (F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.size("_words"))
     same = F.slice("_words", F.col("start") + 1, F.size("words")) == F.col("words")
     return found.filter(F.when(fits, same).otherwise(False)).select(
