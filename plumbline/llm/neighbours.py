@@ -4,9 +4,9 @@ A vector is scaled to length 1, rotated by one random orthogonal matrix and kept
 bit a dimension. With ``f``, the inner product of the rotated vector and its code (scaled to length
 1), ``<code, query> / f`` is an unbiased estimate of the cosine, whose error is beyond ``epsilon *
 sqrt((1 - f^2) / f^2 / (dimension - 1))`` only with the probability of ``epsilon`` standard
-deviations. The index has packed codes, two correction scalars and the vector itself, in blocks.
+deviations. The index has the packed code, two correction scalars and the vector itself.
 
-Query sets of bounded size meet index blocks in lanes. A block's estimates come from its packed
+Query sets of bounded size meet the index in lanes, block by block. A block's estimates come from its packed
 bits; rows whose upper bound reaches the k-th best score known so far are scored exactly on the
 original vectors, and the best k of each lane meet in one ranking per query.
 
@@ -22,13 +22,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import materialize
 
-_INDEX = "dim int, ids binary, codes binary, scale binary, bound binary, vectors binary"
-_AT_ONCE = 256  # queries whose estimates are held at once
+_AT_ONCE = 128  # queries whose estimates are held at once
+_BLOCK = 4096  # index rows that meet them
+_PAIRS = 1 << 15  # pairs scored exactly at once
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -65,29 +67,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _index_blocks(seed: int, epsilon: float):
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dims(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.list_value_length(column))
+
+
+def _codes(seed: int, epsilon: float):
+    def codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            sizes = np.asarray(pa.compute.list_value_length(batch["_v"]))
+            sizes = _dims(batch["_v"])
             for dim in np.unique(sizes).tolist():
                 own = batch.filter(pa.array(sizes == dim))
-                vectors = _matrix(own["_v"])
-                turn = turns.setdefault(dim, rotation(dim, seed))
-                codes, scale, bound = encode(vectors, turn, epsilon)
-                row = [own["_id"].to_numpy(), codes, scale, bound, vectors]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim], pa.int32())] + [pa.array([x.tobytes()], pa.binary())
-                                                     for x in row],
-                    ["dim", "ids", "codes", "scale", "bound", "vectors"])
-    return blocks
+                if dim not in turns:
+                    turns[dim] = rotation(dim, seed)
+                packed, scale, bound = encode(_matrix(own["_v"]), turns[dim], epsilon)
+                yield pa.record_batch({
+                    "dim": pa.array(np.full(len(own), dim, np.int32)), "_id": own["_id"],
+                    "code": pa.array([c.tobytes() for c in packed], pa.binary()),
+                    "scale": pa.array(scale), "bound": pa.array(bound), "_v": own["_v"]})
+    return codes
 
 
 def build_index(df: DataFrame, id_col: str, vector_col: str, *, seed: int = 11,
                 epsilon: float = 3.0) -> DataFrame:
-    """Every usable vector in blocks of at most one Arrow batch."""
+    """Code, correction scalars and vector of every usable vector."""
     return materialize(df.sparkSession, usable_vectors(df, id_col, vector_col).mapInArrow(
-        _index_blocks(seed, epsilon), _INDEX), "vector-index")
+        _codes(seed, epsilon), "dim int, _id long, code binary, scale double, bound double, "
+                               "_v array<double>"), "vector-index")
 
 
 class _Best:
@@ -143,10 +149,14 @@ def search_block(best: _Best, query_ids: np.ndarray, queries: np.ndarray, turned
         row, col = np.nonzero((reach >= (floor - 1e-6 * np.abs(floor))[None, :]) & ~own)
         if not len(row):
             continue
-        score = np.einsum("ij,ij->i", vectors[row], queries[col + begin])
-        near = score >= floor[col] - 1e-9 * np.abs(floor[col]) - 1e-12
-        row, col = row[near], col[near] + begin
-        best.add(col, _exact(vectors[row], queries[col]), ids[row])
+        for at in range(0, len(row), _PAIRS):
+            r, c = row[at:at + _PAIRS], col[at:at + _PAIRS]
+            score = np.einsum("ij,ij->i", vectors[r], queries[c + begin])
+            near = score >= floor[c] - 1e-9 * np.abs(floor[c]) - 1e-12
+            r, c = r[near], c[near]
+            if len(r):
+                best.add(c + begin, _exact(vectors[r], queries[c + begin]), ids[r])
+                floor = np.maximum(floor, best.scores[part, -1])
 
 
 def _search(k: int, seed: int):
@@ -162,27 +172,31 @@ def _search(k: int, seed: int):
                                     "score": pa.array(best.scores[found])})
 
         for batch in batches:
-            for row in batch.to_pylist():
-                at = (row["dim"], row["set"], row["lane"])
+            keys = np.column_stack([batch[c].to_numpy() for c in ("dim", "set", "lane", "_kind")])
+            edges = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for begin, end in zip([0, *edges], [*edges, len(keys)]):
+                at = tuple(keys[begin][:3])
                 if at != group:
                     if best is not None:
                         yield result()
                     group, queries, ready, best = at, [], None, None
-                if row["_id"] is not None:
-                    queries.append((row["_id"], row["_v"]))
+                own = batch.slice(begin, end - begin)
+                if keys[begin][3] == 0:
+                    queries.append((own["_id"].to_numpy(), _matrix(own["_v"])))
                     continue
                 if not queries:
                     continue
                 if best is None:
-                    matrix = np.array([v for _, v in queries], float)
-                    ready = (np.array([i for i, _ in queries], np.int64), matrix,
-                             matrix @ rotation(group[0], seed).T)
-                    best = _Best(len(queries), k)
-                n = len(row["ids"]) // 8
-                search_block(best, *ready, np.frombuffer(row["ids"], np.int64),
-                             np.frombuffer(row["codes"], np.uint8).reshape(n, -1),
-                             np.frombuffer(row["scale"]), np.frombuffer(row["bound"]),
-                             np.frombuffer(row["vectors"]).reshape(n, -1))
+                    matrix = np.concatenate([v for _, v in queries])
+                    ready = (np.concatenate([i for i, _ in queries]), matrix,
+                             matrix @ rotation(int(group[0]), seed).T)
+                    best = _Best(len(matrix), k)
+                for first in range(0, len(own), _BLOCK):
+                    rows = own.slice(first, _BLOCK)
+                    packed = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8)
+                    search_block(best, *ready, rows["_id"].to_numpy(),
+                                 packed.reshape(len(rows), -1), rows["scale"].to_numpy(),
+                                 rows["bound"].to_numpy(), _matrix(rows["_v"]))
         if best is not None:
             yield result()
 
@@ -210,10 +224,9 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "_id", "_v")
     held = index.filter(F.col("dim").isin(list(sets))).select(
         "dim", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("set"),
-        F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"),
-        "ids", "codes", "scale", "bound", "vectors")
-    met = asked.unionByName(held, allowMissingColumns=True).withColumn(
-        "_kind", F.col("_id").isNull())
+        F.pmod(F.xxhash64("_id"), F.lit(lanes)).cast("int").alias("lane"), "_id", "_v",
+        "code", "scale", "bound", F.lit(1).alias("_kind"))
+    met = asked.withColumn("_kind", F.lit(0)).unionByName(held, allowMissingColumns=True)
     found = met.repartition(lanes * max(sets.values()), "dim", "set", "lane").sortWithinPartitions(
         "dim", "set", "lane", "_kind", "_id").mapInArrow(
             _search(k, seed), "query_id long, vec_id long, score double")
