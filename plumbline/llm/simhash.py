@@ -21,6 +21,7 @@ an empty result. Only id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -38,19 +39,10 @@ BITS = 64
 _CHUNK = 1 << 15  # shingles whose bits are unpacked at once
 
 
-def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
+def fingerprint(text: str, shingle: int) -> int:
     """Bitwise majority of the shingles' XXH64; zero without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
-    if not words:
-        return 0
-    runs = [words[i:] for i in range(min(shingle, len(words)))]
-    digest = xxhash.xxh64_intdigest
     ones, count = np.zeros(BITS, np.int64), 0
-    shingles = map(b" ".join, zip(*runs))
-    while True:
-        hashes = np.fromiter((digest(s, seed) for _, s in zip(range(_CHUNK), shingles)), np.uint64)
-        if not len(hashes):
-            break
+    for hashes in _shingle_hashes(text, shingle):
         count += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
@@ -58,6 +50,18 @@ def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(major, bitorder="little").tobytes(), "little")
 
 
+def _shingle_hashes(text: str, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles, in chunks; a text of fewer words is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
+    runs = [words[i:] for i in range(min(shingle, len(words)))]
+    shingles, digest = map(b" ".join, zip(*runs)), xxhash.xxh64_intdigest
+    while True:
+        hashes = np.fromiter((digest(s, seed) for _, s in zip(range(_CHUNK), shingles)), np.uint64)
+        if not len(hashes):
+            return
+        yield hashes
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """``_id`` and ``fp``, the fingerprint as a signed long, of every row."""
     read = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
@@ -130,9 +134,12 @@ def _bit_vector(flags: np.ndarray) -> int:
 
 
 def block_links(fps: np.ndarray, bins: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the near fingerprints of each bin; equal bins stand together."""
+    """Links (as pairs of rows) that span the near fingerprints of each bin.
+
+    ``fps`` has a fingerprint's bytes per row; ``bins`` numbers the bins from 0 in sorted order.
+    """
     count = len(fps)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(fps, axis=1, bitorder="little")
     root = np.arange(count)
     lefts, rights = [], []
     here, shift = np.arange(count), 0
@@ -146,7 +153,7 @@ def block_links(fps: np.ndarray, bins: np.ndarray, radius: int) -> tuple[np.ndar
         if shift == 1 or len(here_next) < len(here) // 2:  # leave out the lanes of small bins
             sizes = np.bincount(bins)
             kept = np.flatnonzero(sizes[bins] > shift)
-            planes = [_bit_vector(bits[kept, j]) for j in range(BITS)]
+            planes = [_bit_vector(bits[kept, j]) for j in range(bits.shape[1])]
             place = np.searchsorted(kept, here_next)
             lane_rows = kept
         else:
@@ -168,33 +175,41 @@ def block_links(fps: np.ndarray, bins: np.ndarray, radius: int) -> tuple[np.ndar
                 own[own == high] = low
                 lefts.append(i)
                 rights.append(i + shift)
-    return fps[lefts].view(np.int64), fps[rights].view(np.int64)
+    return np.array(lefts, np.int64), np.array(rights, np.int64)
 
 
-def _compare(radius: int, block: int):
-    """Streams sorted (mask, bin, fp) rows; bins never exceed a block, so a block holds whole ones."""
+def _compare(keys: list[str], radius: int, block: int, kind: pa.DataType):
+    """Streams rows sorted by ``keys`` and compares whole bins, as many as fill a block."""
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def emit(rows: np.ndarray) -> pa.RecordBatch:
-            change = np.any(rows[1:, :2] != rows[:-1, :2], axis=1)
-            numbers = np.concatenate([[0], np.cumsum(change)])
-            left, right = block_links(np.ascontiguousarray(rows[:, 2]).view(np.uint64), numbers,
-                                      radius)
-            return pa.record_batch({"a": pa.array(left, pa.int64()),
-                                    "b": pa.array(right, pa.int64())})
+        held: list[pa.RecordBatch] = []
+
+        def edges(rows: pa.Table) -> np.ndarray:
+            key = np.column_stack([rows[c].to_numpy() for c in keys])
+            return np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+
+        def emit(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+            numbers = np.zeros(len(rows), np.int64)
+            numbers[ends] = 1
+            fps = rows["fp"].combine_chunks()
+            if pa.types.is_binary(kind):
+                raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8)
+            else:
+                raw = fps.to_numpy().view(np.uint8)
+            left, right = block_links(raw.reshape(len(rows), -1), np.cumsum(numbers), radius)
+            return pa.record_batch({"a": fps.take(pa.array(left)), "b": fps.take(pa.array(right))})
 
         for batch in batches:
-            held.append(np.column_stack([batch[c].to_numpy() for c in ("mask", "bin", "fp")]))
+            held.append(batch)
             if sum(map(len, held)) >= block:
-                rows = np.concatenate(held)
-                ends = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
+                rows = pa.Table.from_batches(held)
+                ends = edges(rows)
                 if len(ends):
-                    yield emit(rows[:ends[-1]])
-                    rows = rows[ends[-1]:]
-                held = [rows]
+                    yield emit(rows.slice(0, ends[-1]), ends[:-1])
+                    rows = rows.slice(ends[-1])
+                held = rows.to_batches()
         if held and sum(map(len, held)):
-            yield emit(np.concatenate(held))
+            rows = pa.Table.from_batches(held)
+            yield emit(rows, edges(rows))
 
     return links
 
@@ -209,7 +224,7 @@ def fingerprint_links(fps: DataFrame, radius: int, *, block: int = 8192) -> Data
             "size > 1"), "bin-sizes")
         small = bins.join(sizes.filter(F.col("size") <= block).drop("size"), ["mask", "bin"])
         links = small.repartition("mask", "bin").sortWithinPartitions("mask", "bin", "fp").mapInArrow(
-            _compare(radius, block), "a long, b long")
+            _compare(["mask", "bin"], radius, block, pa.int64()), "a long, b long")
         found = links if found is None else found.unionByName(links)
         large = sizes.filter(F.col("size") > block)
         if large.isEmpty():
@@ -232,3 +247,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id")
+
+
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another hash from a hash, by a multiply and shift mix."""
+    out = (hashes + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(
+        0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(27)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
+
+
+def wide_sketch(text: str, shingle: int, words: int, pairs: int) -> tuple[bytes, list[int]]:
+    """A fingerprint of ``words`` 64-bit words and ``pairs`` bin keys.
+
+    A bin key hashes two shingles with the smallest hashes, so documents meet in a bin with the
+    square of their shingle sets' similarity, and in one of many bins almost surely.
+    """
+    ones, count = np.zeros(words * BITS, np.int64), 0
+    least = np.full(2 * pairs, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in _shingle_hashes(text, shingle):
+        hashes = np.unique(hashes)  # similarity is that of sets
+        for begin in range(0, len(hashes), 4096):
+            some = hashes[begin:begin + 4096]
+            count += len(some)
+            wide = np.column_stack([_mixed(some, k) for k in range(words)])
+            bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int32)
+            for k in range(2 * pairs):
+                least[k] = min(least[k], _mixed(some, words + k).min())
+    major = np.packbits((ones * 2 > count).astype(np.uint8), bitorder="little").tobytes()
+    keys = _mixed(least[::2] ^ (least[1::2] >> np.uint64(1)), 99)
+    return major, keys.view(np.int64).tolist()
+
+
+def radius_for(similarity: float, bits: int) -> int:
+    """Differing bits expected of two shingle sets with that Jaccard similarity, and one deviation."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = math.acos(cosine) / math.pi
+    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                  shingle: int = 5, similarity: float = 0.8, words: int = 8, pairs: int = 12,
+                  block: int = 8192) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the smallest id stays.
+
+    Documents are compared by wide fingerprints over shingles of five words; the radius is that of
+    the similarity, and a fingerprint of 512 bits places the border within some 0.03. Bins beyond
+    a block are cut in blocks, and each pair of blocks is a bin of its own. Of rows that repeat id
+    and text one stays; a null id is larger than any other. All columns are kept.
+    """
+    spark = docs.sparkSession
+    read = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).withColumn(
+        "_version", F.xxhash64("_text"))
+
+    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_sketch(t.as_py(), shingle, words, pairs) for t in batch["_text"]]
+            yield pa.record_batch({"_id": batch["_id"], "_version": batch["_version"],
+                                   "fp": pa.array([f for f, _ in found], pa.binary()),
+                                   "keys": pa.array([k for _, k in found], pa.list_(pa.int64()))})
+
+    rows = materialize(spark, read.mapInArrow(
+        sketched, f"_id {dict(read.dtypes)['_id']}, _version long, fp binary, keys array<long>"),
+        "sketches")
+    bins = rows.groupBy("fp").agg(F.min("keys").alias("keys")).select(
+        "fp", F.posexplode("keys").alias("part", "key"))
+    sizes = bins.groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    parts = F.ceil(F.col("size") / block).cast("int")
+    lot = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    # lot i meets lot j under the key (smaller, larger)
+    met = bins.join(sizes.withColumn("parts", parts), ["part", "key"]).withColumn("lot", lot).select(
+        "part", "key", "fp", F.explode(F.transform(
+            F.sequence(F.lit(0), F.col("parts") - 1),
+            lambda j: F.struct(F.least("lot", j).alias("low"), F.greatest("lot", j).alias("high")))
+        ).alias("pair")).select("part", "key", "pair.low", "pair.high", "fp")
+    keys = ["part", "key", "low", "high"]
+    links = met.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(
+        _compare(keys, radius_for(similarity, words * BITS), block, pa.binary()),
+        "a binary, b binary")
+    linked = components(links)
+    best = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_version"))
+    first = rows.groupBy("fp").agg(best.alias("best"))
+    staying = first.join(linked, first.fp == linked.node, "left").groupBy(
+        F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(
+            "best._id", "best._version")
+    staying = materialize(spark, staying, "staying")
+    marked = docs.withColumn("_version_", F.xxhash64(whole(text_col)))
+    kept = marked.join(staying, marked[id_col].eqNullSafe(staying["_id"])
+                       & (marked["_version_"] == staying["_version"]), "left_semi")
+    again = rows.groupBy("_id", "_version").count().filter("count > 1")
+    if again.isEmpty():
+        return kept.drop("_version_")
+    again = materialize(spark, again, "repeated-rows")
+    same = kept[id_col].eqNullSafe(again["_id"]) & (kept["_version_"] == again["_version"])
+    return kept.join(again, same, "left_anti").unionByName(kept.join(
+        again, same, "left_semi").dropDuplicates([id_col, "_version_"])).drop("_version_")

@@ -7,7 +7,8 @@ import pytest
 import xxhash
 
 from plumbline.llm.components import components
-from plumbline.llm.simhash import block_links, fingerprint, fingerprint_links, near_duplicates
+from plumbline.llm.simhash import (block_links, fingerprint, fingerprint_links, near_duplicates,
+                                   one_per_group)
 
 
 def brute_fingerprint(text, n):
@@ -52,9 +53,8 @@ def test_block_links_span_what_is_near(radius):
     rng = np.random.default_rng(radius)
     fps = near_families(rng, 40, radius)
     bins = np.unique(np.sort(rng.integers(0, 9, len(fps))), return_inverse=True)[1]
-    left, right = block_links(np.array(fps, np.uint64), bins, radius)
-    place = {f: i for i, f in enumerate(fps)}
-    links = [(place[int(a) % 2 ** 64], place[int(b) % 2 ** 64]) for a, b in zip(left, right)]
+    raw = np.array(fps, np.uint64).view(np.uint8).reshape(-1, 8)
+    links = list(zip(*(x.tolist() for x in block_links(raw, bins, radius))))
     assert all((fps[a] ^ fps[b]).bit_count() <= radius and bins[a] == bins[b] for a, b in links)
     root = list(range(len(fps)))
 
@@ -110,3 +110,26 @@ def test_documents(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_one_per_group(spark, block):
+    rng = np.random.default_rng(4)
+    rows, family = [], []
+    for f in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(60, 400))]
+        for copy in range(6):
+            mine = list(words)
+            if copy:
+                for _ in range(max(1, len(mine) // 120)):
+                    mine[rng.integers(len(mine))] = f"n{rng.integers(9999)}"
+            family.append(f)
+            rows.append((len(rows), " ".join(mine), "s"))
+    docs = spark.createDataFrame(rows + rows[:2] + [(None, None, "s"), (None, "", "t")],
+                                 "doc_id long, text string, fp string")
+    kept = one_per_group(docs, block=block)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [6 * f for f in range(25)]
+    assert len(got) == 26  # texts without words are one group
+    assert one_per_group(docs.limit(0)).count() == 0
