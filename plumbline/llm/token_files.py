@@ -6,7 +6,7 @@ under temporary names and are renamed; the table of shards is written last and i
 trusts. Start offsets come from the shards' token counts.
 
 A tokenizer call costs far more than a lookup, so texts are cut where the tokenizer's own splitting
-cuts as well, before a space that follows no white space, and each distinct piece goes through the
+cuts as well, around single blanks and line feeds, and each distinct piece goes through the
 tokenizer once per worker (up to ``_PIECES`` pieces are remembered).
 
 Cases: a null text is empty and an empty text is one end id. Rows with one id are all kept, ordered
@@ -18,10 +18,9 @@ tokenizer does by itself.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,9 @@ from plumbline.llm.text import whole
 from plumbline.session import materialize, scratch_path
 
 _PIECES = 600_000
-_BLANK_BEFORE_SPACE = re.compile(r"\s ")
+#: Two blanks together, and all white space but the blank and the line feed.
+_HARD_BLANKS = ["  ", " \n", "\n ", "\n\n"] + [
+    chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _FILES = "partition int, shard int, name string, documents long, tokens long, bytes long"
 
 
@@ -66,6 +67,7 @@ class PieceEncoder:
         self.number = _Numbering()
         self.flat = np.array([self.terminals], np.int32)
         self.lengths = np.array([1], np.int64)
+        self.uses = np.zeros(1, np.int64)
 
     @classmethod
     def of_worker(cls, tokenizer_file: str) -> PieceEncoder:
@@ -78,29 +80,33 @@ class PieceEncoder:
         return kept[tokenizer_file]
 
     def _forget_rare(self) -> None:
-        """Keep the pieces met first, which are the frequent ones."""
-        kept = _PIECES // 2
-        for piece in list(islice(self.number, kept, None)):
-            del self.number[piece]
-        self.lengths = self.lengths[:kept + 1]
-        self.flat = self.flat[:int(self.lengths.sum())]
+        """Keep the half of the pieces that was used most."""
+        by_use = np.argsort(-self.uses[1:], kind="stable")[:_PIECES // 2]
+        kept = np.zeros(len(self.uses), bool)
+        kept[by_use + 1] = True
+        names = [p for p, n in self.number.items() if kept[n]]
+        kept[0] = True
+        self.flat = self.flat[np.repeat(kept, self.lengths)]
+        self.lengths, self.uses = self.lengths[kept], self.uses[kept] // 2
+        self.number = _Numbering()
+        for piece in names:  # in the order of their numbers
+            self.number[piece] = len(self.number) + 1
 
     def pieces(self, text: str) -> list[str]:
         """A text in pieces that can be encoded one by one."""
         if "\x00" in text or any(s in text for s in self.special):
             return [text]
-        out = text.replace(" ", "\x00 ").split("\x00")
-        if not out[0]:
-            del out[0]
-        if _BLANK_BEFORE_SPACE.search(text):
-            joined: list[str] = []
-            for piece in out:
-                if joined and joined[-1][-1].isspace():
-                    joined[-1] += piece
-                else:
-                    joined.append(piece)
-            return joined
-        return out
+        if any(b in text for b in _HARD_BLANKS):
+            out: list[str] = []
+            for i, part in enumerate(text.split(" ")):
+                piece = " " + part if i else part
+                if out and out[-1][-1].isspace():
+                    out[-1] += piece
+                elif piece:
+                    out.append(piece)
+            return out
+        cut = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+        return cut[not cut[0]:len(cut) - (not cut[-1])]
 
     def encode(self, texts: list[str]) -> np.ndarray:
         """The ids of all texts, each followed by the end mark."""
@@ -116,8 +122,11 @@ class PieceEncoder:
             self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(got), np.int32))
             self.lengths = np.append(self.lengths, np.fromiter(map(len, got), np.int64, len(got)))
             new.clear()
-        return gather(np.fromiter(numbers, np.int64, len(numbers)), np.cumsum(self.lengths) - self.lengths,
-                      self.lengths, self.flat)
+        wanted = np.fromiter(numbers, np.int64, len(numbers))
+        uses = np.bincount(wanted, minlength=len(self.lengths))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
+        return gather(wanted, np.cumsum(self.lengths) - self.lengths, self.lengths, self.flat)
 
 
 def _groups(ids: list, texts: list[str], chars: int) -> Iterator[tuple[list, list[str]]]:
