@@ -116,18 +116,36 @@ def window_hits(docs: DataFrame, windows: DataFrame, *, shingle: int = SHINGLE,
         "_id", "_version", "window_key", "start", (F.col("start") + F.size("words")).alias("end"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", *, window: int = 10,
-                  broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Per row of ``docs``: id, n_words, n_hit, ``item_ids`` (sorted strings) and ``hit_spans``."""
+def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str,
+          item_text_col: str, window: int, broadcast_rows: int) -> tuple[DataFrame, ...]:
+    """The documents' words, the windows and the verified hits; the last two are stored."""
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).select(
         "_id", F.xxhash64("_text").alias("_version"), words_of("_text").alias("_words"))
     windows = materialize(spark, item_windows(items, item_col, item_text_col, window),
                           "item-windows")
-    hits = materialize(spark, window_hits(read, windows, broadcast_rows=broadcast_rows),
-                       "window-hits")
+    return read, windows, materialize(spark, window_hits(
+        read, windows, broadcast_rows=broadcast_rows), "window-hits")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10,
+               broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item, with all their columns."""
+    _, _, hits = _hits(docs, items, id_col, text_col, item_col, item_text_col, window,
+                       broadcast_rows)
+    dirty = hits.select("_id", "_version").distinct()
+    return docs.join(dirty, F.col(id_col).eqNullSafe(dirty["_id"])
+                     & (F.xxhash64(whole(text_col)) == dirty["_version"]), "left_anti")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
+                  text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", *, window: int = 10,
+                  broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Per row of ``docs``: id, n_words, n_hit, ``item_ids`` (sorted strings) and ``hit_spans``."""
+    read, windows, hits = _hits(docs, items, id_col, text_col, item_col, item_text_col, window,
+                                broadcast_rows)
     spans = hits.groupBy("_id", "_version").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hit_spans"))
     owners = hits.select("_id", "_version", "window_key").distinct().join(

@@ -53,15 +53,16 @@ def statistics() -> dict[str, Column]:
     }
 
 
-def statistics_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id`` and ``stats``, a struct of doubles, for every row."""
+def with_statistics(docs: DataFrame, text_col: str, stats: str = "stats") -> DataFrame:
+    """``docs`` with a struct of doubles beside its columns."""
+    if stats in docs.columns:
+        raise ValueError(f"{stats} is already a column")
     words = F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+", -1), "")
     lines = F.array_remove(F.split("_text", "\n", -1), "")
-    split = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).select(
-        "_id", "_text", words.alias("_words"), lines.alias("_lines"))
-    found = statistics()
-    return split.select("_id", F.struct(*[c.cast("double").alias(n) for n, c in found.items()]).alias(
-        "stats"))
+    split = docs.select(F.struct("*").alias("_row"), whole(text_col).alias("_text")).select(
+        "_row", "_text", words.alias("_words"), lines.alias("_lines"))
+    found = F.struct(*[c.cast("double").alias(n) for n, c in statistics().items()])
+    return split.select("_row.*", found.alias(stats))
 
 
 @dataclass(frozen=True)
@@ -142,16 +143,31 @@ def _logit(share: float) -> float:
     return math.log(share / (1 - share))
 
 
+def _learn(table: DataFrame, labels: DataFrame, learn: Column, id_col: str,
+           label_col: str) -> RuleEnsemble:
+    known = labels.filter(learn & F.col(label_col).isin(0, 1)).select(
+        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    examples = table.select(F.col(id_col).alias("_id"), "stats").join(known, "_id")
+    return fit_rules(materialize(table.sparkSession, examples.select("stats", "label"),
+                                 "quality-examples"))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
                   text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Id and ``score`` per row of ``docs``, learned from the rows of ``labels`` where ``learn``.
 
     ``labels`` shares ``id_col`` with ``docs``; ``learn`` is an expression over ``labels``.
     """
-    spark = docs.sparkSession
-    table = materialize(spark, statistics_table(docs, id_col, text_col), "text-statistics")
-    known = labels.filter(learn & F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    examples = materialize(spark, table.join(known, "_id").select("stats", "label"),
-                           "quality-examples")
-    return table.select(F.col("_id").alias(id_col), fit_rules(examples).score().alias("score"))
+    table = materialize(docs.sparkSession, with_statistics(
+        docs.select(id_col, text_col), text_col).select(id_col, "stats"), "text-statistics")
+    model = _learn(table, labels, learn, id_col, label_col)
+    return table.select(id_col, model.score().alias("score"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
+                 text_col: str = "text", label_col: str = "quality", *,
+                 least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all their columns."""
+    table = materialize(docs.sparkSession, with_statistics(docs, text_col), "scored-documents")
+    model = _learn(table, labels, learn, id_col, label_col)
+    return table.filter(model.score() >= least).select(*docs.columns)
