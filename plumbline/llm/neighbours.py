@@ -205,14 +205,15 @@ def _search(k: int, seed: int):
 
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
             *, k: int = 20, seed: int = 11, epsilon: float = 3.0,
-            query_set: int = 4096) -> DataFrame:
+            query_set: int = 4096, lane_rows: int = 8192) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest of each query.
 
-    ``is_query`` is an expression over ``df``. A set holds about ``query_set`` queries.
+    ``is_query`` is an expression over ``df``. A set holds about ``query_set`` queries, and a lane
+    about ``lane_rows`` of the index; a task meets one set with one lane.
     """
     spark = df.sparkSession
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = build_index(df, id_col, vector_col, seed=seed, epsilon=epsilon)
+    lanes = -(-index.count() // lane_rows)
     queries = materialize(spark, usable_vectors(df.filter(is_query), id_col, vector_col).withColumn(
         "dim", F.size("_v")), "vector-queries")
     sets = {r["dim"]: -(-r["count"] // query_set) for r in queries.groupBy("dim").count().collect()}
