@@ -17,6 +17,7 @@ tokenizer does by itself.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,6 +41,16 @@ _HARD_BLANKS = ["  ", " \n", "\n ", "\n\n"] + [
 _FILES = "partition int, shard int, name string, documents long, tokens long, bytes long"
 
 
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves and the others, in order, for the characters from 256 on.
+    """
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class _Numbering(dict):
     """Numbers from 1 on, given on first use; ``new`` holds the pieces that just got one."""
 
@@ -63,6 +74,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # byte-level splitting keeps runs of letters, with the blank before them, and runs of signs
+        # apart; other tokenizers get whole pieces
+        splitter = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        self.by_word = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True)
+        self.table = byte_characters()
         # number 0 is the end mark
         self.number = _Numbering()
         self.flat = np.array([self.terminals], np.int32)
@@ -108,6 +124,28 @@ class PieceEncoder:
         cut = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         return cut[not cut[0]:len(cut) - (not cut[-1])]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces; words and words with a stop go straight to the tokenizer's model."""
+        if not self.by_word:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(
+                pieces, add_special_tokens=False)]
+        model, table = self.tokenizer.model.tokenize, self.table
+        out: list[list[int] | None] = []
+        for piece in pieces:
+            word = piece[1:] if piece[0] == " " else piece
+            stop = piece[-1] if piece[-1] in ".,;:!?" else ""
+            if (word[:-1] if stop else word).isalpha():
+                body = piece[:-1] if stop else piece
+                ids = [t.id for t in model(body.encode().decode("latin-1").translate(table))]
+                if stop:
+                    ids += [t.id for t in model(stop)]
+                out.append(ids)
+            else:
+                out.append(None)
+        rest = [p for p, ids in zip(pieces, out) if ids is None]
+        more = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        return [next(more).ids if ids is None else ids for ids in out]
+
     def encode(self, texts: list[str]) -> np.ndarray:
         """The ids of all texts, each followed by the end mark."""
         if len(self.number) > _PIECES:
@@ -118,7 +156,7 @@ class PieceEncoder:
             numbers.append(0)
         new = self.number.new
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            got = self._encode_pieces(new)
             self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(got), np.int32))
             self.lengths = np.append(self.lengths, np.fromiter(map(len, got), np.int64, len(got)))
             new.clear()
