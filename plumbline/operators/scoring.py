@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 from plumbline.functions import kernels
 from plumbline.operators.images import _plane
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
-
 
 def score_images(images: DataFrame, scorer: Callable, keep: list[str]) -> DataFrame:
     """Apply a scorer to every image: adds score and anomaly_map.
@@ -55,46 +53,37 @@ def residual_scorer(size: int = 15, quantile: float = 0.995, scale: float = 255.
 
 
 def _nearest(queries: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest Euclidean distances of each query to the bank, ascending."""
-    q, b = queries.astype(np.float64), bank.astype(np.float64)
-    out = np.empty((len(q), min(k, len(b))))
-    for at in range(0, len(q), 256):  # keeps the distance block small
-        part = q[at:at + 256]
-        sq = (part**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2.0 * part @ b.T
-        # candidates by the fast form, distances by the exact one
-        near = np.argsort(sq, axis=1, kind="stable")[:, : out.shape[1] + 4]
-        gap = np.sort(np.linalg.norm(part[:, None, :] - b[near], axis=2), axis=1)
-        out[at:at + 256] = gap[:, : out.shape[1]]
-    return out
+    """The k smallest Euclidean distances of each query to the bank, ascending.
+
+    Differences are taken before they are squared, so far-off origins cost no digits.
+    """
+    best = np.empty((len(queries), 0))
+    for at in range(0, len(bank), 2048):  # keeps a block of distances small
+        part = bank[at:at + 2048]
+        squares = np.zeros((len(queries), len(part)))
+        for j in range(bank.shape[1]):
+            step = queries[:, j, None] - part[None, :, j]
+            squares += step * step
+        best = np.concatenate([best, squares], axis=1)
+        if best.shape[1] > k:
+            best = np.partition(best, k - 1, axis=1)[:, :k]
+    return np.sqrt(np.sort(best, axis=1))
 
 
 def knn_score(queries: DataFrame, bank: DataFrame, item: str, vector: str, k: int = 9,
-              limit_bytes: int = BROADCAST_LIMIT, slice_rows: int = 65536) -> DataFrame:
+              block_rows: int = 32_768) -> DataFrame:
     """Mean distance to the k nearest bank vectors: rows (item, score).
 
-    ``bank`` has the same two columns. It is counted first. Up to ``limit_bytes`` it is broadcast and the queries stay where
-    they are. A larger bank is cut into blocks of that size; every block meets every slice of the
-    queries in its own task and the k best distances per query are merged afterwards.
+    ``bank`` has the same two columns. Bank and queries are counted and cut, by hashes, in blocks
+    of about ``block_rows``. Every block meets every slice of the queries in a task of its own, in
+    doubles, and the k best distances per query are merged. A bank that is large beside the queries
+    should be thinned first.
     """
-    size = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).head()
-    if not size.n:
+    size = bank.count()
+    if not size:
         raise ValueError("the bank is empty")
-    nbytes = size.n * size.d * 4
-    if nbytes <= limit_bytes:
-        shared = queries.sparkSession.sparkContext.broadcast(
-            np.array([r[0] for r in bank.select(vector).collect()], dtype=np.float32))
-        schema = T.StructType([queries.schema[item], T.StructField("score", T.DoubleType())])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    near = _nearest(np.stack(pdf[vector].to_numpy()), shared.value, k)
-                    yield pd.DataFrame({item: pdf[item].to_numpy(), "score": near.mean(axis=1)})
-
-        return queries.select(item, vector).mapInPandas(run, schema)
-
-    blocks = math.ceil(nbytes / limit_bytes)
-    slices = max(1, math.ceil(queries.count() / slice_rows))
+    blocks = math.ceil(size / block_rows)
+    slices = max(1, math.ceil(queries.count() / block_rows))
 
     def spread(n: int):
         return F.pmod(F.xxhash64(item), F.lit(n)).cast("int")
@@ -102,20 +91,20 @@ def knn_score(queries: DataFrame, bank: DataFrame, item: str, vector: str, k: in
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
+    double = F.col(vector).cast("array<double>").alias(vector)
     # both sides need the same key types: a long and an int of equal value hash differently
-    left = queries.select(item, vector, spread(slices).alias("_s"), every(blocks).alias("_b"))
-    right = bank.select(vector, every(slices).alias("_s"), spread(blocks).alias("_b"))
+    left = queries.select(item, double, spread(slices).alias("_s"), every(blocks).alias("_b"))
+    right = bank.select(double, every(slices).alias("_s"), spread(blocks).alias("_b"))
     schema = T.StructType([queries.schema[item],
                            T.StructField("near", T.ArrayType(T.DoubleType()))])
 
-    id_type = "int64" if isinstance(queries.schema[item].dataType, T.IntegralType) else object
-
     def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
-            none = pd.Series([], dtype=object)
-            return pd.DataFrame({item: pd.Series([], dtype=id_type), "near": none})
-        near = _nearest(np.stack(q[vector].to_numpy()), np.stack(b[vector].to_numpy()), k)
-        return pd.DataFrame({item: q[item].to_numpy(), "near": list(near)})
+            return pd.DataFrame({item: q[item].iloc[:0], "near": pd.Series([], dtype=object)})
+        held, asked = np.stack(b[vector].to_numpy()), np.stack(q[vector].to_numpy())
+        near = [row for at in range(0, len(asked), 128)
+                for row in _nearest(asked[at:at + 128], held, k)]
+        return pd.DataFrame({item: q[item].to_numpy(), "near": near})
 
     lists = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(meet, schema)
     # at most `blocks` short lists per query

@@ -3,44 +3,88 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions import kernels, rules
+from plumbline.functions import rules
 from plumbline.operators.governance import derived_id
+from plumbline.session import materialize
 
 
-def _gaps(df: DataFrame, item: str, vector: str, chosen: list, picks: np.ndarray | None
-          ) -> DataFrame:
-    """Items not chosen yet, with unit vector and squared distance to the nearest pick.
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(
+        len(column), -1)
 
-    Without picks the distance is replaced by the first component.
-    """
-    taken = set(chosen)
-    schema = T.StructType([df.schema[item], T.StructField("gap", T.DoubleType()),
-                           T.StructField("unit", T.ArrayType(T.FloatType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[~pdf[item].isin(taken)]
-            if not len(pdf):
-                continue
-            unit = kernels.unit_rows(np.stack(pdf[vector].to_numpy()))
-            if picks is None:
-                gap = unit[:, 0].astype(np.float64)
-            else:
-                gap = np.full(len(unit), np.inf)
-                for p in picks:
-                    step = unit - p
-                    np.minimum(gap, np.einsum("ij,ij->i", step, step, dtype=np.float64), out=gap)
-            yield pd.DataFrame({item: pdf[item].to_numpy(), "gap": gap, "unit": list(unit)})
-
-    return df.select(item, vector).mapInPandas(run, schema)
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Directions of the rows; a zero row has none and stays."""
+    length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    return vectors / np.maximum(length, np.finfo(float).tiny)[:, None]
+
+
+def _squared_gap(units: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Smallest squared distance of each row to the picks, from similarities."""
+    own = np.einsum("ij,ij->i", units, units)
+    theirs = np.einsum("ij,ij->i", picks, picks)
+    likeness = np.stack([np.einsum("ij,j->i", units, p) for p in picks], axis=1)
+    return np.min(own[:, None] + theirs[None, :] - 2.0 * likeness, axis=1)
+
+
+class _Choice:
+    """Greedy choice among rows that are held here: units, ids and gaps so far."""
+
+    def __init__(self, ids: list, units: np.ndarray, gaps: np.ndarray) -> None:
+        self.ids, self.units, self.gaps = ids, units, gaps.copy()
+        self.open = np.ones(len(ids), bool)
+
+    def farthest(self) -> int:
+        """The open row with the greatest gap, ties to the smallest id."""
+        most = self.gaps[self.open].max()
+        return min(np.flatnonzero(self.open & (self.gaps == most)), key=lambda i: self.ids[i])
+
+    def take(self, i: int) -> None:
+        self.open[i] = False
+        self.gaps = np.minimum(self.gaps, _squared_gap(self.units, self.units[i:i + 1]))
+
+
+def spread_out(ids: list, vectors: np.ndarray, k: int) -> list[int]:
+    """Rows of a greedy k-centre choice that starts at the greatest first component."""
+    units = _scaled(vectors)
+    choice = _Choice(ids, units, units[:, 0])
+    first = choice.farthest()
+    choice.gaps = np.full(len(ids), np.inf)
+    choice.take(first)
+    picks = [first]
+    while len(picks) < min(k, len(ids)):
+        picks.append(choice.farthest())
+        choice.take(picks[-1])
+    return picks
+
+
+def _directions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            units = _scaled(_matrix(batch["vector"]))
+            yield pa.record_batch({"item": batch["item"], "unit": pa.array(
+                list(units), pa.list_(pa.float64())), "gap": pa.array(np.full(len(units), np.inf))})
+
+
+def _closer(picks: np.ndarray):
+    """Lower the stored gaps by the new picks only."""
+    def lower(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                gaps = np.minimum(batch["gap"].to_numpy(), _squared_gap(
+                    _matrix(batch["unit"]), picks))
+                yield pa.record_batch({"item": batch["item"], "unit": batch["unit"],
+                                       "gap": pa.array(gaps)})
+    return lower
 
 
 def diverse_top_k(df: DataFrame, item: str, vector: str, k: int, pool: int = 256) -> DataFrame:
@@ -50,9 +94,10 @@ def diverse_top_k(df: DataFrame, item: str, vector: str, k: int, pool: int = 256
     item farthest from all chosen ones, ties to the lowest id. With k >= n everything is chosen in
     id order.
 
-    Each pass over the data returns only the ``pool`` farthest items. Distances can only shrink,
-    so as long as the best item of the pool still beats the first item left outside, it is the
-    global choice and needs no further pass. The driver holds pool + k vectors, never the table.
+    Every item's gap to the chosen ones is stored, and a pass lowers it by the picks that came
+    since. A pass returns only the ``pool`` farthest items. Gaps only shrink, so while the best of
+    the pool beats the first item left outside it is the global choice and needs no further pass.
+    The driver holds pool + k vectors, never the table.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -62,51 +107,58 @@ def diverse_top_k(df: DataFrame, item: str, vector: str, k: int, pool: int = 256
     if len(few) <= k:
         return spark.createDataFrame([(i, v) for i, v in enumerate(few, 1)], schema)
 
-    start = _gaps(df, item, vector, [], None).orderBy(F.col("gap").desc(), item).limit(1).head()
-    chosen, units = [start[item]], [np.asarray(start["unit"], dtype=np.float32)]
+    kind = df.schema[item].dataType.simpleString()
+    columns = f"item {kind}, unit array<double>, gap double"
+    state = materialize(spark, df.select(F.col(item).alias("item"), F.col(vector).alias("vector"))
+                        .mapInArrow(_directions, columns), "diverse")
+    start = state.orderBy(F.get("unit", F.lit(0)).desc(), "item").limit(1).head()
+    chosen, new = [start["item"]], [start["unit"]]
     while len(chosen) < k:
-        far = _gaps(df, item, vector, chosen, np.stack(units)).orderBy(
-            F.col("gap").desc(), item).limit(pool + 1).collect()
-        bound = far[pool]["gap"] if len(far) > pool else -1.0
-        near = far[:pool]
-        gaps = np.array([r["gap"] for r in near])
-        vectors = np.array([r["unit"] for r in near], dtype=np.float32)
-        fresh = True
-        while len(chosen) < k:
-            best = int(np.argmax(gaps))
-            if gaps[best] < 0 or (not fresh and gaps[best] <= bound):
+        state = materialize(spark, state.mapInArrow(_closer(np.array(new)), columns), "diverse")
+        # the list has k entries at most
+        far = state.where(~F.col("item").isin(chosen)).orderBy(F.col("gap").desc(), "item").limit(
+            pool + 1).collect()
+        outside = far[pool]["gap"] if len(far) > pool else -np.inf
+        choice = _Choice([r["item"] for r in far[:pool]], np.array([r["unit"] for r in far[:pool]]),
+                         np.array([r["gap"] for r in far[:pool]]))
+        new = []
+        while len(chosen) < k and choice.open.any():
+            best = choice.farthest()
+            if new and choice.gaps[best] <= outside:
                 break
-            fresh = False
-            chosen.append(near[best][item])
-            units.append(vectors[best])
-            step = vectors - vectors[best]
-            gaps = np.minimum(gaps, np.einsum("ij,ij->i", step, step, dtype=np.float64))
-            gaps[best] = -1.0
+            choice.take(best)
+            chosen.append(choice.ids[best])
+            new.append(choice.units[best])
     return spark.createDataFrame([(i, v) for i, v in enumerate(chosen, 1)], schema)
 
 
-def thin_bank(df: DataFrame, item: str, vector: str, ratio: float, group_rows: int = 4096
-              ) -> DataFrame:
-    """A diverse share of a large set of vectors, chosen group by group.
+def hash_group(item: Column, groups: int) -> Column:
+    """One of ``groups`` groups by the SHA-256 of the id's text."""
+    head = F.conv(F.substring(F.sha2(item.cast("string"), 256), 1, 8), 16, 10).cast("long")
+    return (head % groups).cast("int")
+
+
+def thin_bank(df: DataFrame, item: str, vector: str, keep: int, groups: int,
+              oversample: int = 2) -> DataFrame:
+    """A diverse core-set of ``keep`` vectors: greedy in groups, then greedy on their union.
 
-    Items are spread by a hash of their id over groups of about ``group_rows``; every group keeps
-    its own greedy choice. The union covers the whole set (a composable core-set), the work is one
-    shuffle, and no group grows with the table.
+    Items are spread over ``groups`` groups by a hash of their id; choose enough groups for one to
+    fit a task. Every group keeps its own ``oversample * keep / groups`` picks, and the final
+    choice is made among those. The result depends on the arguments and the ids only.
     """
-    if not 0.0 < ratio <= 1.0:
-        raise ValueError("ratio must lie in (0, 1]")
-    groups = max(1, math.ceil(df.count() / group_rows))
-    rows = df.select(item, vector, F.pmod(F.xxhash64(item), F.lit(groups)).alias("_g"))
+    if min(keep, groups, oversample) < 1:
+        raise ValueError("keep, groups and oversample must be at least 1")
+    share = math.ceil(oversample * keep / groups)
+    rows = df.select(item, vector, hash_group(F.col(item), groups).alias("_g"))
     schema = T.StructType([df.schema[item], df.schema[vector]])
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item, ignore_index=True)
-        k = max(1, math.ceil(ratio * len(pdf)))
-        picks = range(len(pdf)) if k >= len(pdf) else sorted(kernels.farthest_first(
-            kernels.unit_rows(np.stack(pdf[vector].to_numpy())), k))
-        return pdf.loc[list(picks), [item, vector]]
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        picks = spread_out(pdf[item].tolist(), np.stack(pdf[vector].to_numpy()).astype(float), share)
+        return pdf.iloc[picks][[item, vector]]
 
-    return rows.groupBy("_g").applyInPandas(keep, schema)
+    union = materialize(df.sparkSession, rows.groupBy("_g").applyInPandas(pick, schema), "core-set")
+    final = diverse_top_k(union, item, vector, keep)
+    return union.join(F.broadcast(final.select(item)), item, "left_semi")  # `keep` rows at most
 
 
 def select_candidates(df: DataFrame, item: str, vector: str, drift_score: str, n_select: int,

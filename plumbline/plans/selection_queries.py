@@ -53,11 +53,16 @@ def select_candidates(t: Tables):
                               "selection_reason", "drift_score"), "drift_score")
 
 
-_KNN = """WITH d AS (SELECT q.vec_id, sqrt(list_sum(list_transform(list_zip(q.embedding, n.embedding),
+def _knn_sql(queries: str, bank: str, k: int) -> str:
+    return f"""d AS (SELECT q.vec_id, sqrt(list_sum(list_transform(list_zip(q.embedding, n.embedding),
     lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS d
-  FROM embeddings q, embeddings n WHERE n.label = 0),
+  FROM {queries} q, {bank} n),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS i FROM d)
-SELECT vec_id, round(avg(d), 6) AS score FROM r WHERE i <= 9 GROUP BY 1"""
+SELECT vec_id, round(avg(d), 6) AS score FROM r WHERE i <= {k} GROUP BY 1"""
+
+
+_KNN = "WITH bank AS (SELECT * FROM embeddings WHERE label = 0), " + _knn_sql(
+    "embeddings", "bank", 9)
 
 
 def _bank(t: Tables):
@@ -72,14 +77,41 @@ def knn_score(t: Tables):
 
 @query(_KNN)
 def knn_score_blocks(t: Tables):
-    """The same scores on the path for banks too large to broadcast."""
-    out = scoring.knn_score(t.embeddings, _bank(t), "vec_id", "embedding", limit_bytes=4096,
-                            slice_rows=1000)
+    """The same scores from many small blocks."""
+    out = scoring.knn_score(t.embeddings, _bank(t), "vec_id", "embedding", block_rows=150)
     return rounded(out, "score")
 
 
-@query()
+_SHIFTED = """WITH moved AS (SELECT vec_id, label, list_transform(embedding,
+  lambda x: x::DOUBLE + 1000) AS embedding FROM embeddings),
+bank AS (SELECT * FROM moved WHERE label = 0), """
+
+
+@query(_SHIFTED + _knn_sql("moved", "bank", 9))
+def knn_score_shifted(t: Tables):
+    """Vectors that lie close together far from the origin."""
+    moved = t.embeddings.withColumn("embedding", F.transform(
+        "embedding", lambda x: x.cast("double") + 1000))
+    out = scoring.knn_score(moved, moved.where("label = 0"), "vec_id", "embedding")
+    return rounded(out, "score")
+
+
+def _union_sql(groups: int, share: int, keep: int) -> str:
+    """Greedy picks per hash group and then among all of them."""
+    parts = []
+    for g in range(groups):
+        where = f"('0x' || substr(sha256(vec_id::VARCHAR), 1, 8))::BIGINT % {groups} = {g}"
+        parts.append(f"g{g} AS (SELECT vec_id FROM (WITH {greedy_sql(where, share)} "
+                     "SELECT * FROM picks))")
+    union = " UNION ALL ".join(f"SELECT vec_id FROM g{g}" for g in range(groups))
+    return ",\n".join(parts) + f""",
+core AS ({union}),
+kept AS (SELECT vec_id FROM (WITH {greedy_sql("vec_id IN (FROM core)", keep)} SELECT * FROM picks)),
+bank AS (SELECT * FROM embeddings WHERE vec_id IN (FROM kept))"""
+
+
+@query(f"WITH {_union_sql(2, 8, 8)}, {_knn_sql('embeddings', 'bank', 3)}")
 def knn_score_thinned(t: Tables):
-    """Scores against a greedily thinned bank; the grouping hash has no SQL twin."""
-    bank = selection.thin_bank(t.embeddings, "vec_id", "embedding", 0.2, group_rows=250)
+    """Scores against a core-set: greedy in two groups, then greedy on their union."""
+    bank = selection.thin_bank(t.embeddings, "vec_id", "embedding", keep=8, groups=2)
     return rounded(scoring.knn_score(t.embeddings, bank, "vec_id", "embedding", k=3), "score")

@@ -3,7 +3,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import kernels
 from plumbline.operators import scoring, selection
 from plumbline.plans.bindings import stamp
 
@@ -13,13 +12,24 @@ def vectors(spark, x):
                                  "i long, v array<float>").repartition(5)
 
 
+def greedy(x, k):
+    """Plain greedy k-centre over directions."""
+    unit = [v / np.linalg.norm(v) for v in x.astype(float)]
+    picks = [max(range(len(x)), key=lambda i: (unit[i][0], -i))]
+    while len(picks) < k:
+        rest = [i for i in range(len(x)) if i not in picks]
+        picks.append(max(rest, key=lambda i: (
+            round(min(np.sum((unit[i] - unit[p]) ** 2) for p in picks), 12), -i)))
+    return picks
+
+
 @pytest.mark.parametrize("pool", [1, 3, 256])
 def test_diverse_top_k_equals_greedy(spark, pool):
     rng = np.random.default_rng(4)
     x = np.r_[rng.normal(size=(120, 8)), np.repeat(rng.normal(size=(1, 8)), 60, axis=0)].astype("float32")
     got = selection.diverse_top_k(vectors(spark, x), "i", "v", 15, pool)
-    want = kernels.farthest_first(kernels.unit_rows(x), 15)
-    assert [r.i for r in got.orderBy("pick").collect()] == want
+    assert [r.i for r in got.orderBy("pick").collect()] == greedy(x, 15)
+    assert selection.spread_out(list(range(len(x))), x, 15) == greedy(x, 15)
 
 
 def test_two_clusters_give_one_pick_each(spark):
@@ -46,30 +56,34 @@ def test_candidates_respect_the_drift_floor(spark):
     assert selection.select_candidates(df, "i", "v", "d", 5, stamp(), 2.0).count() == 0
 
 
-def test_thin_bank_keeps_a_share_of_every_group(spark):
-    x = np.random.default_rng(2).normal(size=(1000, 6))
+def test_thin_bank_is_greedy_on_the_union_of_groups(spark):
+    x = np.random.default_rng(2).normal(size=(400, 6)).astype("float32")
     df = vectors(spark, x)
-    thin = selection.thin_bank(df, "i", "v", 0.1, group_rows=100)
-    n = thin.count()
-    assert 100 <= n <= 115 and thin.distinct().count() == n
-    again = selection.thin_bank(df.repartition(3), "i", "v", 0.1, group_rows=100)
+    thin = selection.thin_bank(df, "i", "v", keep=20, groups=4)
+    group = {r.i: r.g for r in df.select("i", selection.hash_group(F.col("i"), 4).alias("g")).collect()}
+    union = []
+    for g in range(4):
+        own = [i for i in range(400) if group[i] == g]
+        union += [own[j] for j in greedy(x[own], 10)]
+    union.sort()
+    assert sorted(r.i for r in thin.collect()) == sorted(union[j] for j in greedy(x[union], 20))
+    again = selection.thin_bank(df.repartition(3), "i", "v", keep=20, groups=4)
     assert thin.select("i").exceptAll(again.select("i")).count() == 0
 
 
-@pytest.mark.parametrize("coalesce", ["true", "false"])
-def test_knn_both_paths_equal_brute_force(spark, coalesce):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+def test_knn_equals_brute_force_for_any_block(spark):
     rng = np.random.default_rng(3)
-    q, b = rng.normal(size=(150, 5)).astype("float32"), rng.normal(size=(400, 5)).astype("float32")
-    b[:200] = b[0]  # half the bank is one copy
-    d = np.linalg.norm(q[:, None].astype(float) - b[None].astype(float), axis=2)
-    want = np.sort(d, axis=1)[:, :9].mean(axis=1)
-    for limit in (10**9, 1000, 40):  # the last leaves some pairs of slice and block empty
-        out = scoring.knn_score(vectors(spark, q), vectors(spark, b), "i", "v", 9, limit, slice_rows=40)
-        got = out.orderBy("i").toPandas()
-        np.testing.assert_allclose(got.score, want, rtol=1e-9)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    few = scoring.knn_score(vectors(spark, q), vectors(spark, b[:2]), "i", "v", 9).toPandas()
+    for shift in (0.0, 1e6):
+        q, b = rng.normal(size=(150, 5)) + shift, rng.normal(size=(400, 5)) + shift
+        b[:200] = b[0]  # half the bank is one copy
+        d = np.sqrt(((q[:, None] - b[None]) ** 2).sum(axis=2))
+        want = np.sort(d, axis=1)[:, :9].mean(axis=1)
+        frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)],
+                                        "i long, v array<double>") for m in (q, b)]
+        for rows in (32_768, 70, 8):  # the last leaves some pairs of slice and block empty
+            got = scoring.knn_score(*frames, "i", "v", 9, rows).orderBy("i").toPandas()
+            np.testing.assert_allclose(got.score, want, rtol=1e-9)
+    few = scoring.knn_score(frames[0], frames[1].limit(2), "i", "v", 9).toPandas()
     assert len(few) == 150
     with pytest.raises(ValueError):
-        scoring.knn_score(vectors(spark, q), vectors(spark, b).where("i < 0"), "i", "v")
+        scoring.knn_score(frames[0], frames[1].where("i < 0"), "i", "v")
