@@ -94,21 +94,28 @@ def regions(anomaly_map: np.ndarray, threshold: float, min_area: int = 16
     smooth = gaussian(anomaly_map, 3).astype(np.float32)
     labels = components(smooth >= threshold)
     h, w = labels.shape
-    found, kept = [], np.zeros((h, w), dtype=bool)
-    for first in np.unique(labels[labels >= 0]):
-        inside = labels == first
-        area = int(inside.sum())
-        if area < min_area:
-            continue
-        kept |= inside
-        ys, xs = np.nonzero(inside)
-        values = smooth[inside].astype(np.float64)
-        found.append({
-            "region_id": len(found) + 1, "x0": int(xs.min()), "y0": int(ys.min()),
-            "x1": int(xs.max()) + 1, "y1": int(ys.max()) + 1, "area_pixels": area,
-            "area_ratio": area / (h * w), "mean_score": float(values.mean()),
-            "max_score": float(values.max()), "centroid_x": float(xs.mean()),
-            "centroid_y": float(ys.mean())})
+    on = np.flatnonzero(labels >= 0)
+    first, which, area = np.unique(labels.ravel()[on], return_inverse=True, return_counts=True)
+    ys, xs = np.divmod(on, w)
+    values = smooth.ravel()[on].astype(np.float64)
+    order = np.argsort(which, kind="stable")
+    opens = np.cumsum(area) - area
+
+    def per_region(reduce: np.ufunc, of: np.ndarray) -> np.ndarray:
+        return reduce.reduceat(of[order], opens) if len(opens) else of[:0]
+
+    x0, x1, y0, y1 = (per_region(f, v) for v in (xs, ys) for f in (np.minimum, np.maximum))
+    peak = per_region(np.maximum, values)
+    mean, cx, cy = (np.bincount(which, v, len(first)) / area for v in (values, xs, ys))
+    large = area >= min_area
+    found = [{
+        "region_id": n, "x0": int(x0[i]), "y0": int(y0[i]), "x1": int(x1[i]) + 1,
+        "y1": int(y1[i]) + 1, "area_pixels": int(area[i]), "area_ratio": area[i] / (h * w),
+        "mean_score": float(mean[i]), "max_score": float(peak[i]), "centroid_x": float(cx[i]),
+        "centroid_y": float(cy[i])} for n, i in enumerate(np.flatnonzero(large), 1)]
+    kept = np.zeros(h * w, dtype=bool)
+    kept[on[large[which]]] = True
+    kept = kept.reshape(h, w)
     return found, filled_ratio(kept)
 
 
@@ -150,50 +157,34 @@ def resize_linear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return weights(image.shape[0], height) @ image @ weights(image.shape[1], width).T
 
 
-def perturb(image: np.ndarray, kind: str, value: float, seed: int = 42) -> np.ndarray:
-    """One perturbation of a 2-D byte image, returned as bytes."""
-    src = np.asarray(image, dtype=np.float64)
-    h, w = src.shape
-    if kind == "brightness":
-        out = src * value
-    elif kind == "contrast":
-        out = (src - 127.5) * value + 127.5
-    elif kind == "gaussian_noise":
-        out = src + np.random.default_rng(seed).normal(0, value, src.shape)
-    elif kind == "blur":
-        if int(value) < 1 or int(value) % 2 == 0:
-            raise ValueError("blur needs a positive odd kernel size")
-        out = src if int(value) == 1 else np.floor(gaussian(src, int(value)) + 0.5)
-    elif kind == "downsample":
-        small = np.rint(resize_area(src, max(1, round(h * value)), max(1, round(w * value))))
-        out = np.rint(resize_linear(small, h, w))
-    elif kind == "occlusion":
-        if not 0.0 < value < 1.0:
-            raise ValueError("occlusion needs a fraction in (0, 1)")
-        bh, bw = max(1, int(h * value)), max(1, int(w * value))
-        y, x = (h - bh) // 2, (w - bw) // 2
-        out = src.copy()
-        out[y:y + bh, x:x + bw] = np.floor(np.median(src))
-    else:
-        raise ValueError(f"unknown perturbation {kind!r}")
-    return np.clip(out, 0, 255).astype(np.uint8)
-
-
-def farthest_first(vectors: np.ndarray, k: int) -> list[int]:
-    """Greedy k-centre on unit vectors: start at the greatest first component, ties to the lowest
-    index, chosen rows never repeat."""
-    picks = [int(np.argmax(vectors[:, 0]))]
-    gap = np.full(len(vectors), np.inf)
-    for _ in range(min(k, len(vectors)) - 1):
-        step = vectors - vectors[picks[-1]]
-        gap = np.minimum(gap, np.einsum("ij,ij->i", step, step, dtype=np.float64))
-        gap[picks] = -1.0
-        picks.append(int(np.argmax(gap)))
-    return picks
-
-
-def unit_rows(vectors: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; zero rows stay zero."""
-    v = np.asarray(vectors, dtype=np.float32)
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.where(norm == 0, 1.0, norm).astype(np.float32)
+def per_channel(image: np.ndarray, change) -> np.ndarray:
+    """Apply a change of a plane to every channel."""
+    if image.ndim == 2:
+        return change(image)
+    return np.stack([change(image[..., c]) for c in range(image.shape[2])], axis=2)
+
+
+def blurred(image: np.ndarray, size: int) -> np.ndarray:
+    """Gaussian blur, rounded half up."""
+    return image if size == 1 else per_channel(
+        image, lambda plane: np.floor(gaussian(plane, size) + 0.5))
+
+
+def coarse(image: np.ndarray, share: float) -> np.ndarray:
+    """Shrunk to a share of both sides by area and grown again, rounded after each step.
+
+    Nine digits decide what is half, so the order of sums does not.
+    """
+    h, w = image.shape[:2]
+    size = [max(1, round(n * share)) for n in (h, w)]
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return np.rint(np.round(x, 9))
+
+    return per_channel(image, lambda plane: whole(
+        resize_linear(whole(resize_area(plane, *size)), h, w)))
+
+
+def noise(shape: tuple[int, ...], spread: float, seed: int) -> np.ndarray:
+    """Seeded normal noise, the same for every image of a shape."""
+    return np.random.default_rng(seed).normal(0.0, spread, shape)

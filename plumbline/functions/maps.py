@@ -43,11 +43,53 @@ def tile_grid(height: Column, width: Column, tile_height: int, tile_width: int,
         (c["y"] + th).cast("int").alias("y1")))
 
 
-def cut_tile(pixels: Column, width: Column, tile: Column) -> Column:
-    """Pixels of one tile, row-major."""
+def cut_tile(pixels: Column, width: Column, tile: Column, channels: Column | int = 1) -> Column:
+    """Pixels of one tile, row-major; the channels of a pixel stand together."""
+    n = F.lit(channels) if isinstance(channels, int) else channels
     return F.flatten(F.transform(
         F.sequence(tile["y0"], tile["y1"] - 1),
-        lambda y: F.slice(pixels, y * width + tile["x0"] + 1, tile["x1"] - tile["x0"])))
+        lambda y: F.slice(pixels, (y * width + tile["x0"]) * n + 1, (tile["x1"] - tile["x0"]) * n)))
+
+
+def clipped(value: Column) -> Column:
+    """A byte: cut to 0..255, then the whole part."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("int")
+
+
+def brightened(pixels: Column, factor: Column) -> Column:
+    return F.transform(pixels, lambda v: clipped(v.cast("double") * factor))
+
+
+def contrasted(pixels: Column, factor: Column) -> Column:
+    """Distance from the middle grey times a factor."""
+    return F.transform(pixels, lambda v: clipped(127.5 + factor * (v.cast("double") - 127.5)))
+
+
+def occluded(pixels: Column, height: Column, width: Column, share: Column) -> Column:
+    """A centred box, with that share of both sides, filled with each channel's median."""
+    channels = (F.size(pixels) / (height * width)).cast("int")
+
+    def median(channel: Column, n: Column) -> Column:
+        own = F.sort_array(F.filter(pixels, lambda _, i: i % n == channel))
+        return bind(own, lambda o: (F.get(o, ((F.size(o) - 1) / 2).cast("int")).cast(
+            "double") + F.get(o, (F.size(o) / 2).cast("int"))) / 2.0)
+
+    side_y = F.greatest(F.lit(1), F.floor(height * share).cast("int"))
+    side_x = F.greatest(F.lit(1), F.floor(width * share).cast("int"))
+    box = F.struct(channels.alias("n"), side_y.alias("h"), side_x.alias("w"),
+                   F.floor((height - side_y) / 2).cast("int").alias("y"),
+                   F.floor((width - side_x) / 2).cast("int").alias("x"),
+                   F.transform(F.sequence(F.lit(0), channels - 1),
+                               lambda c: median(c, channels)).alias("fill"))
+
+    def paint(b: Column) -> Column:
+        def at(v: Column, i: Column) -> Column:
+            y, x = F.floor(i / (width * b["n"])), F.floor(i / b["n"]) % width
+            inside = (y >= b["y"]) & (y < b["y"] + b["h"]) & (x >= b["x"]) & (x < b["x"] + b["w"])
+            return clipped(F.when(inside, F.get(b["fill"], i % b["n"])).otherwise(v.cast("double")))
+        return F.transform(pixels, at)
+
+    return bind(box, paint)
 
 
 def hann(i: Column, n: Column) -> Column:

@@ -28,11 +28,25 @@ QUALITY_FIELDS = [
 
 def tiles(images: DataFrame, tile_height: int, tile_width: int, overlap: float,
           keep: Sequence[str] = ("image_id",)) -> DataFrame:
-    """One row per tile with its pixels."""
+    """One row per tile with its pixels; grey and colour images alike."""
+    images = pixel_arrays(images)
     grid = maps.tile_grid(F.col("height"), F.col("width"), tile_height, tile_width, overlap)
-    out = images.select(*keep, "width", "pixels", F.explode(grid).alias("_t"))
+    channels = (F.size("pixels") / (F.col("height") * F.col("width"))).cast("int")
+    out = images.select(*keep, "width", "pixels", channels.alias("_n"), F.explode(grid).alias("_t"))
     return out.select(*keep, "_t.*", maps.cut_tile(
-        F.col("pixels"), F.col("width"), F.col("_t")).alias("tile_pixels"))
+        F.col("pixels"), F.col("width"), F.col("_t"), F.col("_n")).alias("tile_pixels"))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _unpacked(pixels: pd.Series) -> pd.Series:
+    return pixels.map(lambda b: None if b is None else np.frombuffer(b, np.uint8).astype(np.int32))
+
+
+def pixel_arrays(images: DataFrame) -> DataFrame:
+    """Byte strings, as decoders give them, as arrays of numbers; arrays stay."""
+    if isinstance(images.schema["pixels"].dataType, T.BinaryType):
+        return images.withColumn("pixels", _unpacked("pixels"))
+    return images
 
 
 def merge_tiles(tile_maps: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -125,28 +139,64 @@ def region_rows(found: DataFrame, keep: Sequence[str] = ("image_id",)) -> DataFr
     return found.select(*keep, F.inline("regions"))
 
 
+_AS_COLUMNS = ("brightness", "contrast", "occlusion")
+_AS_KERNELS = ("gaussian_noise", "blur", "downsample")
+
+
+def _check_case(kind: str, value: float) -> None:
+    if kind not in _AS_COLUMNS + _AS_KERNELS:
+        raise ValueError(f"unknown perturbation {kind!r}")
+    if kind == "blur" and (int(value) < 1 or int(value) % 2 == 0):
+        raise ValueError("blur needs a positive odd kernel size")
+    if kind == "occlusion" and not 0.0 < value < 1.0:
+        raise ValueError("occlusion needs a fraction in (0, 1)")
+    if kind == "downsample" and not 0.0 < value <= 1.0:
+        raise ValueError("downsampling needs a fraction in (0, 1]")
+
+
 def perturb_sweep(images: DataFrame, cases: Sequence[tuple[str, float]], seed: int = 42
                   ) -> DataFrame:
-    """Every image under every case. The case list is expanded in place, no join is needed."""
-    probe = np.zeros((8, 8))
-    for kind, value in cases:
-        kernels.perturb(probe, kind, value, seed)  # a bad case fails here, before the job
-    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(v)).alias("value"))
-                       for k, v in cases])
-    rows = images.select("image_id", "height", "width", "pixels", F.explode(listed).alias("_c")
-                         ).select("image_id", "height", "width", "pixels", "_c.*")
-    schema = T.StructType([rows.schema["image_id"], rows.schema["height"], rows.schema["width"],
-                           T.StructField("pixels", T.ArrayType(T.IntegerType())),
-                           rows.schema["kind"], rows.schema["value"]])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [kernels.perturb(_plane(h, w, px), k, v, seed).ravel().astype(np.int32)
-                    for h, w, px, k, v in zip(pdf["height"], pdf["width"], pdf["pixels"],
-                                              pdf["kind"], pdf["value"])]
-            yield pdf.assign(pixels=done)[schema.names]
+    """Every image, grey or colour, under every case. The case list is expanded in place.
 
-    return rows.mapInPandas(run, schema)
+    Brightness, contrast and occlusion are column expressions; noise, blur and resampling run on
+    Arrow batches.
+    """
+    for kind, value in cases:
+        _check_case(kind, value)  # a bad case fails here, before the job
+    images = pixel_arrays(images).select("image_id", "height", "width", "pixels")
+
+    def under(kinds: tuple[str, ...]) -> DataFrame | None:
+        own = [F.struct(F.lit(k).alias("kind"), F.lit(float(v)).alias("value"))
+               for k, v in cases if k in kinds]
+        return images.withColumn("_c", F.explode(F.array(*own))).select(
+            "image_id", "height", "width", "pixels", "_c.*") if own else None
+
+    parts = []
+    rows = under(_AS_COLUMNS)
+    if rows is not None:
+        px, value, kind = F.col("pixels"), F.col("value"), F.col("kind")
+        parts.append(rows.withColumn("pixels", F.when(
+            kind == "brightness", maps.brightened(px, value)).when(
+            kind == "contrast", maps.contrasted(px, value)).otherwise(
+            maps.occluded(px, F.col("height"), F.col("width"), value))))
+    rows = under(_AS_KERNELS)
+    if rows is not None:
+        schema = T.StructType([f if f.name != "pixels" else T.StructField(
+            "pixels", T.ArrayType(T.IntegerType())) for f in rows.schema])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            change = {
+                "gaussian_noise": lambda image, v: image + kernels.noise(image.shape, v, seed),
+                "blur": lambda image, v: kernels.blurred(image, int(v)),
+                "downsample": kernels.coarse}
+            for pdf in batches:
+                done = [change[k](_plane(h, w, px), v) for h, w, px, k, v in zip(
+                    pdf["height"], pdf["width"], pdf["pixels"], pdf["kind"], pdf["value"])]
+                yield pdf.assign(pixels=[np.clip(d, 0, 255).ravel().astype(np.int32)
+                                         for d in done])[schema.names]
+
+        parts.append(rows.mapInPandas(run, schema))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def analyze_images(images: DataFrame, scorer: Callable, image_threshold: float,
@@ -154,66 +204,40 @@ def analyze_images(images: DataFrame, scorer: Callable, image_threshold: float,
                    tile: tuple[int, int] | None = None, overlap: float = 0.25) -> DataFrame:
     """Gate, score, cut regions and decide, one result row per image.
 
-    Images the gate rejects never reach the scorer and get score 0. Other columns of ``images``
-    pass through, the pixels do not.
+    Images the gate rejects never reach the scorer and get score 0. With ``tile`` an image is cut
+    by :func:`tiles`, scored tile by tile and its map merged by :func:`merge_tiles`; ``image_id``
+    must then be unique. Other columns of ``images`` pass through, the pixels do not.
     """
-    gated = with_gate(quality_metrics(images), gate)
-    keep = [f for f in gated.schema.fields if f.name != "pixels"]
-    schema = T.StructType([*keep, T.StructField("score", T.DoubleType()),
-                           T.StructField("area_ratio", T.DoubleType()),
-                           T.StructField("regions", T.ArrayType(REGION))])
-    names = [f.name for f in keep]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = scorer()  # once per task
-        for pdf in batches:
-            scores, ratios, found = [], [], []
-            for h, w, px, status in zip(pdf["height"], pdf["width"], pdf["pixels"],
-                                        pdf["quality_status"]):
-                if status == "ABSTAIN":
-                    scores.append(0.0), ratios.append(0.0), found.append([])
-                    continue
-                value, anomaly_map = score_tiled(model, _plane(h, w, px), tile, overlap)
-                regs, ratio = kernels.regions(anomaly_map, pixel_threshold, min_area)
-                scores.append(value), ratios.append(ratio), found.append(regs)
-            out = pdf[names].copy()
-            out["score"], out["area_ratio"], out["regions"] = scores, ratios, found
-            yield out
+    from plumbline.operators.scoring import score_images
 
-    scored = gated.mapInPandas(run, schema)
+    gated = with_gate(quality_metrics(images), gate)
+    rejected = gated.where(F.col("quality_status") == "ABSTAIN").drop("pixels").withColumns({
+        "score": F.lit(0.0), "area_ratio": F.lit(0.0),
+        "regions": F.array().cast(T.ArrayType(REGION))})
+    passed = gated.where(F.col("quality_status") != "ABSTAIN")
+    keep = [c for c in gated.columns if c != "pixels"]
+    if tile is None:
+        scored = score_images(passed, scorer, keep)
+    else:
+        cut = tiles(passed, *tile, overlap).select(
+            "image_id", "x0", "y0", "x1", "y1", (F.col("y1") - F.col("y0")).alias("height"),
+            (F.col("x1") - F.col("x0")).alias("width"), F.col("tile_pixels").alias("pixels"))
+        parts = score_images(cut, scorer, ["image_id", "x0", "y0", "x1", "y1"])
+        whole = assemble_maps(merge_tiles(parts.withColumnRenamed("anomaly_map", "tile_pixels")))
+        scored = passed.select(*keep).join(
+            image_score(parts.withColumnRenamed("score", "tile_score")), "image_id").join(
+            whole.withColumnRenamed("pixels", "anomaly_map"), "image_id")
+    cut_out = extract_regions(scored.withColumnRenamed("anomaly_map", "pixels"), pixel_threshold,
+                              min_area, [*keep, "score"])
+    result = cut_out.unionByName(rejected)
     thr = F.lit(float(image_threshold))
     decision = rules.decide(F.col("score"), thr, F.col("quality_status"))
-    return (scored.withColumn("decision", decision)
+    return (result.withColumn("decision", decision)
             .withColumn("review_priority", rules.review_priority(
                 F.col("decision"), F.col("score"), thr, F.col("area_ratio")))
             .withColumn("region_count", F.size("regions")))
 
 
-def score_tiled(model: Callable, image: np.ndarray, tile: tuple[int, int] | None,
-                overlap: float) -> tuple[float, np.ndarray]:
-    """Score one image whole, or tile by tile with the maps merged by centre weight."""
-    h, w = image.shape[:2]
-    if tile is None:
-        return model(image)
-    total, weight, best = np.zeros((h, w)), np.zeros((h, w)), -np.inf
-    th, tw = min(tile[0], h), min(tile[1], w)
-    wy = np.hanning(th) if th > 2 else np.ones(th)
-    wx = np.hanning(tw) if tw > 2 else np.ones(tw)
-    g = np.maximum(np.outer(wy, wx), 1e-3)
-
-    def starts(n: int, size: int) -> list[int]:
-        step = max(1, round(size * (1.0 - overlap)))
-        return sorted({*range(0, n - size + 1, step), n - size})
-
-    for y in starts(h, th):
-        for x in starts(w, tw):
-            value, part = model(image[y:y + th, x:x + tw])
-            best = max(best, value)
-            total[y:y + th, x:x + tw] += part * g
-            weight[y:y + th, x:x + tw] += g
-    return float(best), total / weight
-
-
 def analyze_batch(results: DataFrame, broken: DataFrame, digest: str = "sha256",
                   path: str = "path") -> DataFrame:
     """Join results with the files that failed: broken ones and later copies of the same bytes.

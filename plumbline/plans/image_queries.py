@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.functions import maps
+from plumbline.functions import kernels, maps
 from plumbline.operators import audit, compare, images, scoring
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query, rounded
@@ -192,8 +193,8 @@ def filled_area(t: Tables):
     return rounded(_regions(t).select("image_id", "area_ratio"), "area_ratio")
 
 
-_CASES = [("brightness", 0.7), ("brightness", 1.3), ("contrast", 0.7), ("contrast", 1.3),
-          ("blur", 3.0), ("occlusion", 0.3)]
+_CASES = [*(("brightness", v) for v in (0.7, 0.85, 1.15, 1.3)),
+          *(("contrast", v) for v in (0.7, 0.85, 1.15, 1.3)), ("blur", 3.0), ("occlusion", 0.3)]
 
 _PERTURB = f"""{blur3_sql("img", "smooth", "p")},
 med AS (SELECT image_id, floor(quantile_cont(p::DOUBLE, 5e-1)) AS m FROM img GROUP BY 1),
@@ -214,11 +215,49 @@ def perturb_sweep(t: Tables):
         "image_id", "kind", "value", _joined("pixels").alias("pixels"))
 
 
-@query()
+def _matrix_sql(name: str, matrix: np.ndarray) -> str:
+    """A matrix as rows (i, j, w)."""
+    cells = ", ".join(f"({i}, {j}, {float(w)!r}::DOUBLE)" for (i, j), w in np.ndenumerate(matrix)
+                      if w)
+    return f"{name}(i, j, w) AS (VALUES {cells})"
+
+
+def _linear_sql(name: str, source: str, value: str, matrix: str, rounding: str) -> str:
+    """A separable linear map of square images: rows and columns by one matrix."""
+    return f"""{name} AS (SELECT image_id, a.i AS y, c.i AS x,
+    {rounding.format(f"sum(a.w * c.w * s.{value})")} AS v FROM {source} s
+  JOIN {matrix} a ON a.j = s.y JOIN {matrix} c ON c.j = s.x GROUP BY 1, 2, 3)"""
+
+
+_UNIT = np.eye(8)
+_NOISE, _BLURS, _SHRINKS = (5.0, 10.0, 20.0), (5, 7), (0.75, 0.5)
+_SEEDED = ", ".join(
+    [_matrix_sql(f"noise{k}", kernels.noise((8, 8), s, 42)) for k, s in enumerate(_NOISE)]
+    + [f"""n{k} AS (SELECT image_id, 'gaussian_noise' AS kind, {s}::DOUBLE AS value, y, x, p + w AS v
+  FROM img JOIN noise{k} ON i = y AND j = x)""" for k, s in enumerate(_NOISE)]
+    # the blur of unit rows gives its taps with mirrored borders
+    + [_matrix_sql(f"taps{n}", np.stack([kernels.gaussian(np.tile(_UNIT[i], (8, 1)), n)[0]
+                                         for i in range(8)]).T) for n in _BLURS]
+    + [_linear_sql(f"b{n}", "img", "p", f"taps{n}", "floor({} + 5e-1)") for n in _BLURS]
+    + [x for k, s in enumerate(_SHRINKS) for x in (
+        _matrix_sql(f"down{k}", kernels.resize_area(_UNIT, round(8 * s), 8)),
+        _matrix_sql(f"up{k}", kernels.resize_linear(np.eye(round(8 * s)), 8, round(8 * s))),
+        _linear_sql(f"small{k}", "img", "p", f"down{k}", "round_even(round({}, 9), 0)"),
+        _linear_sql(f"back{k}", f"small{k}", "v", f"up{k}", "round_even(round({}, 9), 0)"))]
+    + ["every AS (" + " UNION ALL ".join(
+        [f"SELECT * FROM n{k}" for k in range(len(_NOISE))]
+        + [f"SELECT image_id, 'blur', {n}::DOUBLE, y, x, v FROM b{n}" for n in _BLURS]
+        + [f"SELECT image_id, 'downsample', {s}::DOUBLE, y, x, v FROM back{k}"
+           for k, s in enumerate(_SHRINKS)]) + ")"])
+
+
+@query(f"""WITH {b.IMAGES}, {_SEEDED}
+SELECT image_id, kind, value, string_agg(floor(least(255, greatest(0, v)))::INT, ',' ORDER BY y, x)
+  AS pixels FROM every GROUP BY 1, 2, 3""")
 def perturb_seeded(t: Tables):
-    """Noise and resampling: seeded draws and resize kernels have no SQL form."""
-    cases = [("gaussian_noise", 5.0), ("gaussian_noise", 20.0), ("blur", 5.0),
-             ("downsample", 0.75), ("downsample", 0.5)]
+    """Noise, blur and resampling; seeded draws and weights stand in the SQL as constants."""
+    cases = [*(("gaussian_noise", s) for s in _NOISE), *(("blur", float(n)) for n in _BLURS),
+             *(("downsample", s) for s in _SHRINKS)]
     return images.perturb_sweep(b.images(t), cases).select(
         "image_id", "kind", "value", _joined("pixels").alias("pixels"))
 

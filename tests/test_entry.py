@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NO_SQL = {"perturb_seeded"}
+NO_SQL: set[str] = set()
 
 
 def test_every_query_has_its_sql_twin():

@@ -74,18 +74,37 @@ def test_gaussian_and_laplacian():
     assert kernels.laplacian_variance(np.arange(5.0).reshape(1, 5)) >= 0
 
 
-def test_perturbations():
-    img = np.random.default_rng(1).integers(0, 256, (64, 96)).astype(np.uint8)
-    for kind, value in [("brightness", 0.7), ("contrast", 1.3), ("gaussian_noise", 10), ("blur", 5),
-                        ("downsample", 0.5), ("occlusion", 0.2)]:
-        out = kernels.perturb(img, kind, value)
-        assert out.shape == img.shape and out.dtype == np.uint8
-        assert (out == kernels.perturb(img, kind, value)).all() and (out != img).any()
-    assert (kernels.perturb(img, "brightness", 1.0) == img).all()
-    assert (kernels.perturb(np.full((8, 8), 9), "downsample", 0.5) == 9).all()
+CASES = [("brightness", 0.7), ("contrast", 1.3), ("gaussian_noise", 10), ("blur", 5),
+         ("downsample", 0.5), ("occlusion", 0.2)]
+
+
+@pytest.mark.parametrize("shape", [(24, 36), (24, 36, 3)])
+def test_perturbations(spark, shape):
+    img = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+    df = spark.createDataFrame([("a", 24, 36, bytearray(img.tobytes()))],
+                               "image_id string, height int, width int, pixels binary")
+    got = {r.kind: np.array(r.pixels).reshape(shape) for r in images.perturb_sweep(df, CASES).collect()}
+    x = img.astype(float)
+    box = x.copy()
+    box[10:14, 14:21] = np.median(x.reshape(-1, *shape[2:]), axis=0)  # 4 x 7 pixels in the middle
+    want = {"brightness": x * 0.7, "contrast": (x - 127.5) * 1.3 + 127.5, "occlusion": box,
+            "gaussian_noise": x + np.random.default_rng(42).normal(0, 10, shape)}
+    for kind, value in want.items():
+        np.testing.assert_array_equal(got[kind], np.clip(value, 0, 255).astype(int), kind)
+    assert set(got) == {k for k, _ in CASES} and all((g != img).any() for g in got.values())
+    flat = df.withColumn("pixels", F.lit(bytes([9] * img.size)))
+    assert set(images.perturb_sweep(flat, [("downsample", 0.5)]).head().pixels) == {9}
     for kind, value in [("blur", 4), ("blur", -1), ("occlusion", 0.0), ("occlusion", 1.0), ("mood", 1)]:
         with pytest.raises(ValueError):
-            kernels.perturb(img, kind, value)
+            images.perturb_sweep(df, [(kind, value)])
+
+
+def test_colour_tiles(spark):
+    img = np.random.default_rng(5).integers(0, 256, (7, 9, 3)).astype(np.uint8)
+    df = spark.createDataFrame([("a", 7, 9, bytearray(img.tobytes()))],
+                               "image_id string, height int, width int, pixels binary")
+    for t in images.tiles(df, 4, 5, 0.25).collect():
+        np.testing.assert_array_equal(np.array(t.tile_pixels), img[t.y0:t.y1, t.x0:t.x1].ravel())
 
 
 def python_grid(h, w, th, tw, overlap):
