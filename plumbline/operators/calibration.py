@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import is_finite
 from plumbline.operators.metrics import best_row, cumulative_counts
-from plumbline.operators.ordered import count_at_most, exact_quantiles, search_index
+from plumbline.operators.ordered import count_at_most, exact_quantiles, join_same
 
 
 def only_split(df: DataFrame, split: str, wanted: str) -> DataFrame:
@@ -29,58 +29,69 @@ def require_finite(df: DataFrame, score: str) -> DataFrame:
 
 
 def normal_quantile_threshold(df: DataFrame, keys: Sequence[str], label: str, score: str,
-                              prob: float = 0.995, fan: int | None = None) -> DataFrame:
+                              prob: float = 0.995, slices: int | None = None) -> DataFrame:
     """Provisional threshold where no anomalies are known: a linear quantile of normal scores."""
-    q = exact_quantiles(df.where(F.col(label) == 0), keys, score, [prob], fan=fan)
+    q = exact_quantiles(df.where(F.col(label) == 0), keys, score, [prob], slices=slices)
     return q.select(*keys, F.col("quantile").alias("threshold"),
                     F.lit(f"normal_quantile_{prob:g}").alias("method"),
                     F.lit("PROVISIONAL_NORMAL_ONLY").alias("status"))
 
 
 def f1_threshold_at_fpr(df: DataFrame, keys: Sequence[str], label: str, score: str,
-                        target_fpr: float = 0.05, fan: int | None = None) -> DataFrame:
+                        target_fpr: float = 0.05, slices: int | None = None) -> DataFrame:
     """Best F1 among the scores whose normal false-positive rate stays within the target.
 
     Every distinct score is a candidate and one pass of running totals gives the rate and F1 of
     all of them. Ties go to the smallest candidate. Where no score qualifies the threshold is the
-    next double above the greatest normal score.
+    next double above the greatest normal score. A key without normal scores has no rate: its
+    threshold is NULL and its status NO_NORMALS.
     """
     keys = list(keys)
-    curve = cumulative_counts(df, keys, label, score, fan)
+    curve = cumulative_counts(df, keys, label, score, slices)
     totals = curve.groupBy(*keys).agg(
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
         F.max(F.when(F.col("neg") > 0, F.col("score"))).alias("_top"))
-    scored = curve.join(totals, keys).select(
+    scored = join_same(curve, totals, keys).select(
         *keys, "score",
         F.try_divide(F.col("neg_cum"), F.col("_N")).alias("fpr"),
         (2 * F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum") + F.col("_P"))).alias("f1"))
     best = best_row(scored.where(F.col("fpr") <= target_fpr), keys,
                     F.struct(F.col("f1"), -F.col("score")))
-    up = F.expr("cast(reflect('java.lang.Math', 'nextUp', _top) as double)")
-    none = best["score"].isNull()
-    return totals.join(best, keys, "left").select(
-        *keys, F.when(none, up).otherwise(F.col("score")).alias("threshold"),
-        F.when(none, 0.0).otherwise(F.col("fpr")).alias("fpr"),
-        F.when(none, 0.0).otherwise(F.col("f1")).alias("f1"),
-        F.lit("recall_at_fpr_then_f1").alias("method"), F.lit("LOCKED").alias("status"))
+    none, known = F.col("score").isNull(), F.col("_top").isNotNull()
+    return join_same(totals, best, keys, "left").select(
+        *keys, F.when(none, next_double(F.col("_top"))).otherwise(F.col("score")).alias("threshold"),
+        F.when(none & known, 0.0).otherwise(F.col("fpr")).alias("fpr"),
+        F.when(none & known, 0.0).otherwise(F.col("f1")).alias("f1"),
+        F.lit("recall_at_fpr_then_f1").alias("method"),
+        F.when(none & ~known, "NO_NORMALS").otherwise("LOCKED").alias("status"))
+
+
+def next_double(value: Column) -> Column:
+    """The next double above.
+
+    A little more than half a unit in the last place always rounds up to one unit.
+    """
+    half = F.abs(value) * (2.0 ** -53 * (1 + 2.0 ** -20))
+    return F.when(F.abs(value) < 1e-290, value + 5e-324).otherwise(value + half)
 
 
 def calibrate(df: DataFrame, keys: Sequence[str], label: str, score: str,
-              target_fpr: float = 0.05, fan: int | None = None) -> DataFrame:
+              target_fpr: float = 0.05, slices: int | None = None) -> DataFrame:
     """F1 calibration where a key has anomalies, the normal quantile where it has none."""
     keys = list(keys)
-    provisional = normal_quantile_threshold(df, keys, label, score, fan=fan)
+    provisional = normal_quantile_threshold(df, keys, label, score, slices=slices)
     with_anomaly = df.groupBy(*keys).agg(F.max(label).alias("_any")).where("_any = 1").select(*keys)
-    locked = f1_threshold_at_fpr(df, keys, label, score, target_fpr, fan)
+    locked = f1_threshold_at_fpr(df, keys, label, score, target_fpr, slices)
     cols = [*keys, "threshold", "method", "status"]
-    return locked.join(with_anomaly, keys, "left_semi").select(*cols).unionByName(
-        provisional.join(with_anomaly, keys, "left_anti").select(*cols))
+    marked = with_anomaly.withColumn("_has", F.lit(1))
+    return join_same(locked, marked, keys).select(*cols).unionByName(
+        join_same(provisional, marked, keys, "left").where("_has IS NULL").select(*cols))
 
 
 def pixel_normal_threshold(pixels: DataFrame, keys: Sequence[str], score: str,
-                           prob: float = 0.999, fan: int | None = None) -> DataFrame:
+                           prob: float = 0.999, slices: int | None = None) -> DataFrame:
     """Linear quantile over the pixels of normal maps."""
-    q = exact_quantiles(pixels, keys, score, [prob], fan=fan)
+    q = exact_quantiles(pixels, keys, score, [prob], slices=slices)
     return q.select(*keys, F.col("quantile").alias("pixel_threshold"),
                     F.lit(f"normal_pixel_quantile_{prob:g}").alias("method"))
 
@@ -91,7 +102,7 @@ def linspace(low: float, high: float, n: int) -> list[float]:
 
 
 def pixel_f1_threshold(pixels: DataFrame, keys: Sequence[str], label: str, score: str,
-                       n_candidates: int = 256, fan: int | None = None) -> DataFrame:
+                       n_candidates: int = 256, slices: int | None = None) -> DataFrame:
     """First best F1 among quantiles 0.8 to 0.9999 of the pooled pixels.
 
     Each pixel is counted once under the highest candidate it reaches; summing those counts from
@@ -100,10 +111,10 @@ def pixel_f1_threshold(pixels: DataFrame, keys: Sequence[str], label: str, score
     keys = list(keys)
     probs = linspace(0.8, 0.9999, n_candidates)
     # n_candidates entries per key, in the order of their probabilities
-    lists = exact_quantiles(pixels, keys, score, probs, fan=fan).groupBy(*keys).agg(
+    lists = exact_quantiles(pixels, keys, score, probs, slices=slices).groupBy(*keys).agg(
         F.sort_array(F.collect_list("quantile")).alias("_a"))
-    indexed = lists.select(*keys, search_index("_a", 16).alias("_q"))
-    reached = count_at_most(pixels.join(indexed, keys), "_q", score, 16, "_i")
+    reached = join_same(pixels, lists, keys).withColumn(
+        "_i", count_at_most(F.col("_a"), n_candidates, F.col(score)))
     counts = reached.groupBy(*keys, "_i").agg(
         F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
     # bounded by n_candidates + 1 rows per key from here on
@@ -113,7 +124,7 @@ def pixel_f1_threshold(pixels: DataFrame, keys: Sequence[str], label: str, score
     from_top = Window.partitionBy(*keys).orderBy(F.col("_i").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     table = (
-        lists.join(per_key, keys)
+        join_same(lists, per_key, keys)
         .select(*keys, "_P", "_m", F.posexplode("_a").alias("_i", "quantile"))
         .select(*keys, "_P", "_i", "quantile", F.expr("try_element_at(_m, _i + 1)").alias("_c"))
         .select(*keys, "_P", "_i", "quantile",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import (
-    exact_quantiles, quantiles_wide, running_totals, slice_cuts, with_slice,
+    exact_quantiles, join_same, quantiles_wide, running_totals, slice_cuts, with_slice,
 )
 
 
@@ -46,24 +46,27 @@ def prf(counts: DataFrame) -> DataFrame:
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score; a hot score becomes one row map-side."""
-    return df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+    """Positives and negatives per distinct score; a hot score becomes one row map-side.
+
+    Rows without a score or a label rank nowhere and are left out.
+    """
+    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
 def cumulative_counts(df: DataFrame, keys: Sequence[str], label: str, score: str,
-                      fan: int | None = None) -> DataFrame:
+                      slices: int | None = None) -> DataFrame:
     """Distinct scores with the positives and negatives at or above each of them."""
     counted = score_counts(df, keys, label, score)
-    cuts, fan = slice_cuts(df.select(F.col(score).cast("double").alias("score")), "score", fan)
-    sliced = with_slice(counted, "score", cuts, fan)
+    cuts, slices = slice_cuts(df.select(F.col(score).cast("double").alias("score")), "score", slices)
+    sliced = with_slice(counted, "score", cuts, slices)
     return running_totals(sliced, keys, "score", ["pos", "neg"], "_slice", descending=True)
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str,
-                    fan: int | None = None) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """Area under the ROC curve (ties count half) and average precision; NULL with one class."""
-    curve = cumulative_counts(df, keys, label, score, fan)
+    curve = cumulative_counts(df, keys, label, score, slices)
     above = F.col("pos_cum") - F.col("pos")
     sums = curve.groupBy(*keys).agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
@@ -80,11 +83,11 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str,
 
 
 def evaluation_report(df: DataFrame, keys: Sequence[str], label: str, score: str,
-                      threshold: str, fan: int | None = None) -> DataFrame:
+                      threshold: str, slices: int | None = None) -> DataFrame:
     """One wide row per key: ranking metrics and the table at the locked ``threshold`` column."""
     keys = list(keys)
     table = prf(confusion(df, [*keys, threshold], label, score, F.col(threshold)))
-    return table.join(ranking_metrics(df, keys, label, score, fan), keys)
+    return join_same(table, ranking_metrics(df, keys, label, score, slices), keys)
 
 
 def with_pixel_report(report: DataFrame, overlap: DataFrame, ranking: DataFrame,
@@ -92,7 +95,7 @@ def with_pixel_report(report: DataFrame, overlap: DataFrame, ranking: DataFrame,
     """Add pixel overlap and ranking where maps and masks exist, NULL elsewhere."""
     pixels = ranking.select(*keys, F.col("auroc").alias("pixel_auroc"),
                             F.col("average_precision").alias("pixel_average_precision"))
-    return report.join(overlap, list(keys), "left").join(pixels, list(keys), "left")
+    return join_same(join_same(report, overlap, keys, "left"), pixels, keys, "left")
 
 
 def pixel_overlap(df: DataFrame, keys: Sequence[str], scores: str, mask: str,
@@ -128,31 +131,33 @@ def explode_pixels(df: DataFrame, keep: Sequence[str], scores: str, mask: str) -
 
 
 def recall_at_fpr(df: DataFrame, keys: Sequence[str], label: str, score: str,
-                  target_fpr: float, fan: int | None = None) -> DataFrame:
+                  target_fpr: float, slices: int | None = None) -> DataFrame:
     """Anomaly recall at the upper-neighbour quantile of the normal scores.
 
     A key without both classes keeps its row with NULL results.
     """
     keys = list(keys)
     normal = exact_quantiles(df.where(F.col(label) == 0), keys, score, [1.0 - target_fpr],
-                             "higher", fan)
+                             "higher", slices)
     thresholds = normal.select(*keys, F.col("quantile").alias("threshold"))
-    out = df.join(thresholds, keys, "left").groupBy(*keys).agg(
+    # distinct scores stand for their rows, so no key's rows travel
+    counted = score_counts(df, keys, label, score)
+    out = join_same(counted, thresholds, keys, "left").groupBy(*keys).agg(
         F.max("threshold").alias("threshold"),
-        F.avg(F.when(F.col(label) == 1, (F.col(score) >= F.col("threshold")).cast("double"))
-              ).alias("recall"))
+        F.try_divide(F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("pos"))
+                           .otherwise(0)), F.sum("pos")).alias("recall"))
     ok = F.col("threshold").isNotNull() & F.col("recall").isNotNull()
     return out.select(*keys, F.when(ok, F.col("threshold")).alias("threshold"),
                       F.when(ok, F.col("recall")).alias("recall"))
 
 
 def latency_profile(df: DataFrame, keys: Sequence[str], latency_ms: str,
-                    fan: int | None = None) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """Linear p50, p95, p99, mean and items per second."""
     keys = list(keys)
-    q = quantiles_wide(df, keys, latency_ms, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, fan=fan)
+    q = quantiles_wide(df, keys, latency_ms, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, slices=slices)
     mean = df.groupBy(*keys).agg(F.avg(latency_ms).alias("mean_ms"))
-    return q.join(mean, keys).withColumn("throughput_per_second",
+    return join_same(q, mean, keys).withColumn("throughput_per_second",
                                          F.try_divide(F.lit(1000.0), F.col("mean_ms")))
 
 
@@ -165,12 +170,12 @@ def score_histogram(df: DataFrame, keys: Sequence[str], score: str, bins: int =
     span = span.select(*keys, F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("lo"),
                        F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("hi"))
     place = F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    counts = df.join(span, keys).groupBy(
+    counts = join_same(df, span, keys).groupBy(
         *keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("_n"))
     grid = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / bins
-    return grid.join(counts, [*keys, "bin"], "left").select(
+    return join_same(grid, counts, [*keys, "bin"], "left").select(
         *keys, "bin", (F.col("lo") + F.col("bin") * step).alias("bin_start"),
         (F.col("lo") + (F.col("bin") + 1) * step).alias("bin_end"),
         F.coalesce("_n", F.lit(0)).alias("n"))
@@ -184,7 +189,7 @@ def distinct_scores(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame
 
 def population_stability(df: DataFrame, keys: Sequence[str], value: str, is_reference: Column,
                          bins: int = 10, epsilon: float = 1e-6,
-                         fan: int | None = None) -> DataFrame:
+                         slices: int | None = None) -> DataFrame:
     """Population stability index of the current rows against the reference rows, per key.
 
     Bin edges are linear quantiles of the reference; the outer bins are open. A key without rows
@@ -195,10 +200,10 @@ def population_stability(df: DataFrame, keys: Sequence[str], value: str, is_refe
     keys = list(keys)
     marked = df.select(*keys, F.col(value).alias("_x"), is_reference.alias("_ref"))
     probs = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(marked.where("_ref"), keys, "_x", probs, fan=fan).groupBy(*keys).agg(
+    edges = exact_quantiles(marked.where("_ref"), keys, "_x", probs, slices=slices).groupBy(*keys).agg(
         # bins - 1 entries per key
         F.sort_array(F.collect_list("quantile")).alias("_edges"))
-    counts = marked.join(edges, keys, "left").groupBy(
+    counts = join_same(marked, edges, keys, "left").groupBy(
         *keys, F.coalesce(F.size(F.filter("_edges", lambda e: e <= F.col("_x"))),
                           F.lit(0)).alias("_bin")).agg(
         F.count_if(F.col("_ref")).alias("_r"), F.count_if(~F.col("_ref")).alias("_c"))
@@ -208,7 +213,7 @@ def population_stability(df: DataFrame, keys: Sequence[str], value: str, is_refe
     r = F.coalesce("_r", F.lit(0)) / F.col("n_reference") + epsilon
     c = F.coalesce("_c", F.lit(0)) / F.col("n_current") + epsilon
     full = (F.col("n_reference") > 0) & (F.col("n_current") > 0)
-    return grid.join(counts, [*keys, "_bin"], "left").groupBy(
+    return join_same(grid, counts, [*keys, "_bin"], "left").groupBy(
         *keys, "n_reference", "n_current").agg(
         F.sum(F.when(full, (c - r) * F.ln(c / r))).alias("psi"))
 

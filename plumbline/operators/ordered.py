@@ -1,9 +1,11 @@
 """Order statistics and running totals that never put one key into one task.
 
 A plain window over a key sorts all rows of that key in one task. Here the value range is cut
-into slices first. The cut points come from a mergeable sketch over all rows, so a slice holds
-about ``1 / fan**2`` of the table whatever share a single key has. Sketch error only moves the
-cut points; every result below stays exact.
+into slices first. The cut points come from sketches over all rows, merged in two steps, so a slice
+holds about one part of the table whatever share a single key has. Sketch error only moves the cut
+points; every result below stays exact.
+
+Keys may be NULL, which is a key like any other, and there may be no keys at all.
 """
 
 from __future__ import annotations
@@ -17,43 +19,66 @@ from pyspark.sql import functions as F
 _SLICE = "_slice"
 
 
-def default_fan(df: DataFrame) -> int:
-    """Fan for about four slices per shuffle partition, between 64 and 4096 slices.
+def key_list(keys: Sequence[str], *more: str) -> str:
+    """Columns for PARTITION BY; without any, one constant."""
+    return ", ".join([f"`{k}`" for k in keys] + list(more)) or "1"
 
-    A cluster sized for a large table has many shuffle partitions and so gets many slices.
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str],
+              how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the keys of ``left`` stay.
+
+    Without keys ``right`` must have one row.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(64, max(8, math.ceil(math.sqrt(4 * partitions))))
+    if not keys:
+        return left.join(F.broadcast(right), how=how) if how != "left" else left.join(
+            F.broadcast(right), F.lit(True), how)
+    mine = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(mine)
+    same = None
+    for k, name in mine.items():
+        test = left[k].eqNullSafe(other[name])
+        same = test if same is None else same & test
+    return left.join(other, same, how).drop(*mine.values())
 
 
-def search_index(ordered: str, fan: int) -> Column:
-    """A sorted array column with every ``fan``-th entry apart, for :func:`count_at_most`."""
-    return F.expr(f"""struct({ordered} AS fine, transform(
-        filter(sequence(0, int(size({ordered}) div {fan})), i -> i > 0),
-        i -> element_at({ordered}, i * {fan})) AS coarse)""")
+def default_slices(df: DataFrame) -> int:
+    """About four slices per shuffle partition.
+
+    A cluster sized for a large table has many shuffle partitions and so gets many slices.
+    """
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def count_at_most(df: DataFrame, index: str, value: str, fan: int, name: str) -> DataFrame:
-    """Add how many entries of the indexed array are at most ``value``: two short searches."""
-    return df.withColumn("_c", F.expr(f"size(filter({index}.coarse, s -> s <= {value}))")
-                         ).withColumn(name, F.expr(
-        f"_c * {fan} + size(filter(slice({index}.fine, _c * {fan} + 1, {fan - 1}), "
-        f"s -> s <= {value}))")).drop("_c")
+def count_at_most(ordered: Column, entries: int, value: Column) -> Column:
+    """How many of at most ``entries`` ascending array entries are at most ``value``: bisection."""
+    steps = [1 << k for k in reversed(range(max(1, entries).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get(ordered, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
 
 
-def slice_cuts(df: DataFrame, value: str, fan: int | None = None) -> tuple[Column, int]:
-    """Cut points of ``value`` for ``fan**2`` slices as a one-row scalar subquery, and the fan."""
-    fan = fan or default_fan(df)
-    slices = fan * fan
+def slice_cuts(df: DataFrame, value: str, slices: int | None = None) -> tuple[Column, int]:
+    """Cut points of ``value`` as a one-row scalar subquery, and the number of slices.
+
+    Every map task adds its sketch to one of several groups, and the groups' quantiles, which stand
+    for equal shares of a group, are merged; so no task takes in the sketches of all tasks.
+    """
+    slices = slices or default_slices(df)
+    groups = max(1, math.isqrt(slices))
     probs = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
-    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({probs}), {max(1000, 4 * slices)})"
-                         ).alias("fine"))
-    return cuts.select(search_index("fine", fan).alias("cuts")).scalar(), fan
+    sketch = f"percentile_approx(`{value}`, array({probs}), {max(1000, 2 * slices)})"
+    by_group = df.select(value, (F.spark_partition_id() % groups).alias("_g")).groupBy("_g").agg(
+        F.expr(sketch).alias("_q"))
+    cuts = by_group.select(F.explode("_q").alias(value)).agg(F.expr(
+        f"percentile_approx(`{value}`, array({probs}), {max(1000, 2 * slices)})").alias("cuts"))
+    return cuts.select(F.coalesce("cuts", F.array())).scalar(), slices
 
 
-def with_slice(df: DataFrame, value: str, cuts: Column, fan: int, name: str = _SLICE) -> DataFrame:
+def with_slice(df: DataFrame, value: str, cuts: Column, slices: int,
+               name: str = _SLICE) -> DataFrame:
     """Add the slice number: how many cut points lie at or below the value."""
-    return count_at_most(df.withColumn("_cuts", cuts), "_cuts", value, fan, name).drop("_cuts")
+    return df.withColumn("_cuts", cuts).withColumn(
+        name, count_at_most(F.col("_cuts"), slices, F.col(value))).drop("_cuts")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, totals: Sequence[str],
@@ -66,20 +91,19 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, totals: Seque
     keys = list(keys)
     order_sql = f"{order} DESC" if descending else order
     slice_sql = f"{slice_col} DESC" if descending else slice_col
-    key_list = ", ".join(f"`{k}`" for k in keys)
     sums = df.groupBy(*keys, slice_col).agg(*[F.expr(f"sum({c}) AS _s_{c}") for c in totals])
     carry = sums.selectExpr(*[f"`{k}`" for k in keys], slice_col, *[
-        f"coalesce(sum(_s_{c}) OVER (PARTITION BY {key_list} ORDER BY {slice_sql} "
+        f"coalesce(sum(_s_{c}) OVER (PARTITION BY {key_list(keys)} ORDER BY {slice_sql} "
         f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _in_{c}" for c in totals])
     local = df.selectExpr("*", *[
-        f"sum({c}) OVER (PARTITION BY {key_list}, {slice_col} ORDER BY {order_sql} "
+        f"sum({c}) OVER (PARTITION BY {key_list(keys, slice_col)} ORDER BY {order_sql} "
         f"ROWS UNBOUNDED PRECEDING) AS _l_{c}" for c in totals])
-    return local.join(carry, [*keys, slice_col]).selectExpr(
+    return join_same(local, carry, [*keys, slice_col]).selectExpr(
         *[f"`{c}`" for c in df.columns], *[f"_l_{c} + _in_{c} AS {c}{suffix}" for c in totals])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    method: str = "linear", fan: int | None = None) -> DataFrame:
+                    method: str = "linear", slices: int | None = None) -> DataFrame:
     """Exact quantiles per key: rows (keys, prob, quantile, n).
 
     ``linear`` interpolates between neighbours, ``higher`` takes the upper neighbour. Three
@@ -92,16 +116,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         raise ValueError("probabilities must lie in [0, 1]")
     keys = list(keys)
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    cuts, fan = slice_cuts(rows, "_v", fan)
-    sliced = with_slice(rows, "_v", cuts, fan)
+    cuts, slices = slice_cuts(rows, "_v", slices)
+    sliced = with_slice(rows, "_v", cuts, slices)
 
-    key_list = ", ".join(f"`{k}`" for k in keys)
+    by = key_list(keys)
     array = ", ".join(f"{float(p)!r}D" for p in probs)
     # 1e-9 guards against float noise in p * (n - 1)
     lo = "ceil(p * (_total - 1) - 1e-9D)" if method == "higher" else "floor(p * (_total - 1) + 1e-9D)"
     counts = sliced.groupBy(*keys, _SLICE).agg(F.expr("count(*) AS _n")).selectExpr(
-        "*", f"sum(_n) OVER (PARTITION BY {key_list}) AS _total",
-        f"sum(_n) OVER (PARTITION BY {key_list} ORDER BY {_SLICE}) - _n AS _below")
+        "*", f"sum(_n) OVER (PARTITION BY {by}) AS _total",
+        f"sum(_n) OVER (PARTITION BY {by} ORDER BY {_SLICE}) - _n AS _below")
     wanted = counts.withColumn("_want", F.expr(f"""filter(
         transform(array({array}), p -> struct(p AS prob, {lo} AS lo,
             ceil(p * (_total - 1) - 1e-9D) AS hi, p * (_total - 1) AS at)),
@@ -110,11 +134,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     picked = (
         # at most one target row per (keys, slice), so the join only filters
-        sliced.join(targets, [*keys, _SLICE])
+        join_same(sliced, targets, [*keys, _SLICE])
         .groupBy(*keys, _SLICE, "_v").agg(F.expr("count(*) AS _m"), *[
             F.first(c).alias(c) for c in ("_below", "_total", "_want")])
         .withColumn("_to", F.expr(
-            f"_below + sum(_m) OVER (PARTITION BY {key_list}, {_SLICE} ORDER BY _v)"))
+            f"_below + sum(_m) OVER (PARTITION BY {key_list(keys, _SLICE)} ORDER BY _v)"))
     )
     hits = picked.selectExpr(
         *[f"`{k}`" for k in keys], "_v", "_total", "_to", "_to - _m AS _from",
@@ -130,9 +154,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
 
 def quantiles_wide(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                   method: str = "linear", fan: int | None = None) -> DataFrame:
+                   method: str = "linear", slices: int | None = None) -> DataFrame:
     """One row per key with one named column per probability."""
-    rows = exact_quantiles(df, keys, value, list(probs.values()), method, fan)
+    rows = exact_quantiles(df, keys, value, list(probs.values()), method, slices)
     return rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name)
           for name, p in probs.items()],

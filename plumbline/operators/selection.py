@@ -46,7 +46,7 @@ class _Choice:
     def farthest(self) -> int:
         """The open row with the greatest gap, ties to the smallest id."""
         most = self.gaps[self.open].max()
-        return min(np.flatnonzero(self.open & (self.gaps == most)), key=lambda i: self.ids[i])
+        return int(min(np.flatnonzero(self.open & (self.gaps == most)), key=lambda i: self.ids[i]))
 
     def take(self, i: int) -> None:
         self.open[i] = False

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules
+from plumbline.operators.ordered import join_same, key_list
 from plumbline.policy import DEFAULT_POLICY, DriftPolicy
 
 _CHUNK = "_chunk"
@@ -37,17 +38,17 @@ def baseline_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def with_baseline(df: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the fixed baseline of each series.
+    """Attach the fixed baseline of each series; a series without one keeps its rows.
 
     The join is left open to the planner: few series broadcast by themselves, many do not.
     """
-    return df.join(baseline.select(*keys, "baseline_mean", "baseline_std"), list(keys))
+    return join_same(df, baseline.select(*keys, "baseline_mean", "baseline_std"), keys, "left")
 
 
 def require_baselines(df: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> None:
     """Raise where a series has no baseline or one with a spread that is not positive."""
     bad = (
-        df.select(*keys).distinct().join(baseline, list(keys), "left")
+        join_same(df.select(*keys).distinct(), baseline, keys, "left")
         .where(F.col("baseline_std").isNull() | ~(F.col("baseline_std") > 0)).limit(1).count()
     )
     if bad:
@@ -60,10 +61,23 @@ def drift_monitor(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
     ``df`` carries ``baseline_mean`` and ``baseline_std``. ``order`` sorts a series uniquely and
     ``chunk`` grows with it. Adds position, ewma, ewma_lower_limit, cusum_down, both alerts and
-    trend_status.
+    trend_status. Rows without a value, and rows of a series without a baseline that has a spread,
+    are no observations: their status is NO_VALUE or NO_BASELINE, the other columns are NULL and
+    the charts pass over them.
     """
-    keys = list(keys)
-    w, by = policy.ewma_lambda, ", ".join(f"`{k}`" for k in keys)
+    has_base = F.coalesce(F.col("baseline_std") > 0, F.lit(False)) & F.col(
+        "baseline_mean").isNotNull()
+    has_value = F.col(value).isNotNull()
+    charted = _charts(df.where(has_base & has_value), list(keys), order, value, chunk, policy)
+    idle = df.where(~(has_base & has_value)).withColumn("trend_status", F.when(
+        ~has_base, "NO_BASELINE").otherwise("NO_VALUE"))
+    return charted.unionByName(idle, allowMissingColumns=True)
+
+
+def _charts(df: DataFrame, keys: list[str], order: Sequence[str], value: str, chunk: Column,
+            policy: DriftPolicy) -> DataFrame:
+    """The charts over rows that all have a value and a baseline."""
+    w, by = policy.ewma_lambda, key_list(keys)
     along = ", ".join(f"`{c}`" for c in order)
     reach, keep = _reach(w), f"{1.0 - w!r}D"
     upto = f"(PARTITION BY {by}, {_CHUNK} ORDER BY {along} ROWS UNBOUNDED PRECEDING)"
@@ -90,7 +104,7 @@ def drift_monitor(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         *[f"`{k}`" for k in keys], _CHUNK, "_pos0", "_s0", "_m0",
         f"aggregate(_old, 0D, (a, c) -> a + c.e * pow({keep}, _pos0 - c.at)) AS _e0")
 
-    out = rows.join(carry, [*keys, _CHUNK]).selectExpr(
+    out = join_same(rows, carry, [*keys, _CHUNK]).selectExpr(
         *[f"`{c}`" for c in df.columns], "_pos0 + _r AS position",
         f"_e + pow({keep}, _r) * _e0 + pow({keep}, _pos0 + _r) * baseline_mean AS ewma",
         f"""baseline_mean - {float(policy.ewma_limit_sigma)!r}D * baseline_std * sqrt(
@@ -148,7 +162,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
 
     The first row of a chunk takes the last value of the chunk before it.
     """
-    by = ", ".join(f"`{k}`" for k in keys)
+    by = key_list(keys)
     along = ", ".join(f"`{c}`" for c in order)
     rows = df.withColumn(_CHUNK, chunk)
     last = rows.groupBy(*keys, _CHUNK).agg(
@@ -156,9 +170,9 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
     carry = last.selectExpr(*[f"`{k}`" for k in keys], _CHUNK,
                             f"lag(_last) OVER (PARTITION BY {by} ORDER BY {_CHUNK}) AS _in")
     inside = f"(PARTITION BY {by}, {_CHUNK} ORDER BY {along})"
-    return rows.selectExpr(
+    return join_same(rows.selectExpr(
         "*", f"row_number() OVER {inside} AS _r", f"lag(`{column}`) OVER {inside} AS _lag"
-    ).join(carry, [*keys, _CHUNK]).selectExpr(
+    ), carry, [*keys, _CHUNK]).selectExpr(
         *[f"`{c}`" for c in df.columns],
         f"CASE WHEN _r = 1 THEN _in.v ELSE _lag END AS `{name}`")
 

@@ -119,8 +119,10 @@ def user_windows(t: Tables) -> DataFrame:
     first = ev.where(F.col("ts") < F.to_timestamp(F.lit(BASELINE_END)))
     base = series.baseline_stats(first, ["user_id"], "value").where("baseline_std > 0")
     rows = series.with_baseline(ev, base, ["user_id"])
+    # a user without a baseline has no chart and so no window; chunks keep a busy user splittable
     points = series.drift_monitor(rows, ["user_id"], ["ts", "event_id"], "value",
-                                  series.time_chunk("ts", 30 * DAY))
+                                  series.time_chunk("ts", DAY)).where(
+        F.col("trend_status") != "NO_BASELINE")
     return series.window_rollup(points, ["user_id"], "value", "ts")
 
 

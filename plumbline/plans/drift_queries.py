@@ -127,3 +127,36 @@ def run_window(t: Tables):
 def latency_profile(t: Tables):
     out = metrics.latency_profile(t.events, ["event_type"], "value")
     return rounded(out, "p50", "p95", "p99", "mean_ms", "throughput_per_second")
+
+
+@query(f"""WITH all_events AS (SELECT * FROM events),
+known AS (SELECT * REPLACE (CASE WHEN event_type = 'error' THEN '~' ELSE event_type END
+  AS event_type) FROM all_events),
+{_PSI.replace("FROM events", "FROM known")}
+SELECT nullif(event_type, '~') AS event_type, n_reference, n_current, round(psi, 6) AS psi FROM psi""")
+def psi_null_key(t: Tables):
+    """Errors have no event type; they are a key like any other."""
+    ev = t.events.select(
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"), "value",
+        (F.col("ts").cast("timestamp") < F.to_timestamp(F.lit(b.BASELINE_END))).alias("ref"))
+    return rounded(metrics.population_stability(ev, ["event_type"], "value", F.col("ref")), "psi")
+
+
+@query(f"""WITH RECURSIVE {b.DAILY},
+numbered AS (SELECT event_type, day, metric, mu, sd,
+    row_number() OVER (PARTITION BY event_type ORDER BY day) AS i
+  FROM daily JOIN base USING (event_type) WHERE event_type <> 'error' AND day(day) <> 20),
+{b.scan_sql("event_type", "day", "metric", "numbered")}
+SELECT event_type, day, trend_status FROM (SELECT event_type, d.day, CASE
+    WHEN event_type = 'error' THEN 'NO_BASELINE' WHEN day(d.day) = 20 THEN 'NO_VALUE'
+    ELSE p.trend_status END AS trend_status
+  FROM daily d LEFT JOIN numbered n USING (event_type, day)
+  LEFT JOIN points p USING (event_type, i))""")
+def drift_gaps(t: Tables):
+    """One series without a baseline, and a day without a value in every series."""
+    days = b.daily(t)
+    base = b.daily_baseline(days).where("event_type <> 'error'")
+    gaps = days.withColumn("metric", F.when(F.dayofmonth("day") != 20, F.col("metric")))
+    return series.drift_monitor(series.with_baseline(gaps, base, ["event_type"]), ["event_type"],
+                                ["day"], "metric", series.time_chunk("day", 5 * b.DAY)).select(
+        "event_type", "day", "trend_status")

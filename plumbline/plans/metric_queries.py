@@ -266,3 +266,53 @@ def candidate_scores(t: Tables):
     floor = exact_quantiles(normal, K, "score", [0.95], "higher").select("model_id", "quantile")
     both = normal.select("model_id", "score").union(anomaly.select("model_id", "score"))
     return both.union(floor).distinct().select("model_id", F.round("score", 9).alias("candidate"))
+
+
+# --- keys that are NULL, have one class, or are absent ---------------------------------------
+
+_NULLED = f"""{b.SCORED.replace("scored AS", "known AS")},
+scored AS (SELECT * REPLACE (CASE WHEN lang = 'en' THEN '~' ELSE model_id END AS model_id)
+  FROM known WHERE doc_id % 5 <> 0)"""
+
+
+def _nulled(t: Tables):
+    """English items have no model, and every fifth item has no score."""
+    return b.scored(t).withColumns({
+        "model_id": F.when(F.col("lang") != "en", F.col("model_id")),
+        "score": F.when(F.col("doc_id") % 5 != 0, F.col("score"))})
+
+
+@query(f"WITH {_NULLED}, {_RANK} SELECT * REPLACE (nullif(model_id, '~') AS model_id) FROM rank")
+def ranking_metrics_null_key(t: Tables):
+    out = metrics.ranking_metrics(_nulled(t), K, "label", "score")
+    return rounded(out, "auroc", "average_precision")
+
+
+@query(f"""WITH {_NULLED.replace("scored AS (", "one AS (")},
+scored AS (SELECT * REPLACE ('all' AS model_id) FROM one), {_RANK}
+SELECT * EXCLUDE (model_id) FROM rank""")
+def ranking_metrics_overall(t: Tables):
+    out = metrics.ranking_metrics(_nulled(t), [], "label", "score")
+    return rounded(out, "auroc", "average_precision")
+
+
+@query("""SELECT round(quantile_cont(value, 5e-1), 6) AS p50,
+  round(quantile_cont(value, 95e-2), 6) AS p95, round(quantile_cont(value, 99e-2), 6) AS p99,
+  count(*) AS n, round(avg(value), 6) AS mean_ms,
+  round(1000 / avg(value), 6) AS throughput_per_second FROM events""")
+def latency_overall(t: Tables):
+    out = metrics.latency_profile(t.events, [], "value")
+    return rounded(out, "p50", "p95", "p99", "mean_ms", "throughput_per_second")
+
+
+@query(f"""WITH {b.SCORED.replace("scored AS", "known AS")},
+scored AS (SELECT * FROM known WHERE lang <> 'de' OR label = 1), {_F1}
+SELECT model_id, round(threshold, 6) AS threshold,
+  round(CASE WHEN threshold IS NOT NULL THEN fpr END, 6) AS fpr,
+  round(CASE WHEN threshold IS NOT NULL THEN f1 END, 6) AS f1,
+  CASE WHEN threshold IS NULL THEN 'NO_NORMALS' ELSE 'LOCKED' END AS status FROM f1""")
+def f1_threshold_one_class(t: Tables):
+    """One model has anomalies only."""
+    rows = b.scored(t).where("split = 'validation' AND (lang <> 'de' OR label = 1)")
+    out = calibration.f1_threshold_at_fpr(rows, K, "label", "score", 0.05)
+    return rounded(out.drop("method"), "threshold", "fpr", "f1")

@@ -38,11 +38,14 @@ def local_session(app: str = "plumbline", cpus: str = "*", shuffle_partitions: i
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder for one written table, below the folder the cluster shares.
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset, as in local tests, does
-    a temporary folder stand in, and it is then recorded in the session for later calls.
+    ``spark.checkpoint.dir`` names that folder. Only where it is unset and all tasks run in this
+    process, as in local tests, does a temporary folder stand in, which is then recorded in the
+    session for later calls. On a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -38,3 +38,19 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,error)" in plan
     assert "props" not in plan.split("ReadSchema")[1]
+
+
+def test_functions_need_no_package_on_executors(spark, tmp_path):
+    """A Python stage pickled here runs in an interpreter that cannot import the package."""
+    import subprocess
+
+    from pyspark import cloudpickle
+
+    from plumbline.operators.selection import spread_out
+
+    (tmp_path / "job").write_bytes(cloudpickle.dumps(spread_out))
+    code = ("import pickle; f = pickle.load(open('job', 'rb')); import numpy as np;"
+            "print(f([1, 2, 3], np.eye(3), 2))")
+    done = subprocess.run([sys.executable, "-P", "-c", code], cwd=tmp_path, capture_output=True,
+                          text=True, env={"PATH": "/usr/bin"})
+    assert done.stdout.strip() == "[0, 1]", done.stderr
