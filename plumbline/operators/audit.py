@@ -33,7 +33,8 @@ def leakage_audit(files: DataFrame, dataset: str, sha: str, source: str, name: s
     """Hashes, sources and normalized names that occur in more than one split.
 
     One shuffle for all three kinds; a set of splits has at most three entries, so a key with a
-    third of all rows stays a three-entry set on every map task.
+    third of all rows stays a three-entry set on every map task. A missing hash, source or name is
+    shared by nobody.
     """
     kinds = F.array(
         F.struct(F.lit("content_hash").alias("kind"), F.col(sha).alias("key")),
@@ -41,6 +42,7 @@ def leakage_audit(files: DataFrame, dataset: str, sha: str, source: str, name: s
         F.struct(F.lit("normalized_name").alias("kind"), F.col(name).alias("key")))
     return (
         files.select(dataset, split, F.explode(kinds).alias("_k"))
+        .where(F.col("_k.key").isNotNull())
         .groupBy(dataset, F.col("_k.kind").alias("kind"), F.col("_k.key").alias("key"))
         .agg(F.sort_array(F.collect_set(split)).alias("splits"))
         .where(F.size("splits") > 1))
@@ -65,15 +67,14 @@ def require_no_leakage(audit: DataFrame) -> None:
 
 
 def shared_between_splits(files: DataFrame, key: str, split: str = "split") -> DataFrame:
-    """Keys that two splits have in common, one row per pair of splits."""
-    def keys_of(name: str) -> DataFrame:
-        return files.where(F.col(split) == name).select(key)
-
-    parts = [
-        keys_of(a).intersect(keys_of(b)).select(
-            F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), key)
-        for a, b in combinations(SPLITS, 2)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Keys that two splits have in common, one row per pair of splits: one aggregation."""
+    found = files.where(F.col(split).isin(*SPLITS)).groupBy(key).agg(
+        F.collect_set(split).alias("_in"))  # three entries at most
+    pairs = F.array(*[F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"))
+                      for a, b in combinations(SPLITS, 2)])
+    both = F.filter(pairs, lambda p: F.array_contains(F.col("_in"), p["split_a"])
+                    & F.array_contains(F.col("_in"), p["split_b"]))
+    return found.select(F.explode(both).alias("_p"), key).select("_p.split_a", "_p.split_b", key)
 
 
 def set_fingerprint(rows: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -254,11 +255,13 @@ def dedupe_first(df: DataFrame, digest: str, path: str) -> DataFrame:
     """Mark all but the first path of every content hash as duplicates.
 
     ``path`` is unique. The first path comes from a minimum per hash and rows are matched on the
-    path, so copies that make up a third of the table stay spread out.
+    path, so copies that make up a third of the table stay spread out. Rows without a hash are
+    copies of nothing.
     """
     first = df.groupBy(digest).agg(F.min(path).alias(path)).select(path, F.lit(True).alias("_first"))
+    copy = F.col("_first").isNull() & F.col(digest).isNotNull()
     return df.join(first, path, "left").withColumn(
-        "error_code", F.when(F.col("_first").isNull(), "WV_DUPLICATE_INPUT")).drop("_first")
+        "error_code", F.when(copy, "DUPLICATE_INPUT")).drop("_first")
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:

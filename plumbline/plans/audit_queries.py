@@ -105,7 +105,7 @@ def train_groups(t: Tables):
 
 
 _DEDUPE = """marked AS (SELECT doc_id, sha256, CASE WHEN row_number() OVER (PARTITION BY sha256
-  ORDER BY relative_path) > 1 THEN 'WV_DUPLICATE_INPUT' END AS error_code FROM files)"""
+  ORDER BY relative_path) > 1 THEN 'DUPLICATE_INPUT' END AS error_code FROM files)"""
 
 
 @query(f"WITH {b.FILES}, {_DEDUPE} SELECT doc_id, sha256, error_code FROM marked")
@@ -115,10 +115,10 @@ def dedupe_first(t: Tables):
 
 
 _BATCH = """batch AS (
-  SELECT f.doc_id, n_chars, CASE WHEN n_chars < 100 THEN 'WV_IMAGE_INVALID' END AS error_code
+  SELECT f.doc_id, n_chars, CASE WHEN n_chars < 100 THEN 'IMAGE_INVALID' END AS error_code
   FROM files f JOIN documents d USING (doc_id) WHERE n_chars < 100
   UNION ALL SELECT f.doc_id, n_chars, CASE WHEN row_number() OVER (PARTITION BY sha256
-    ORDER BY relative_path) > 1 THEN 'WV_DUPLICATE_INPUT' END
+    ORDER BY relative_path) > 1 THEN 'DUPLICATE_INPUT' END
   FROM files f JOIN documents d USING (doc_id) WHERE n_chars >= 100)"""
 
 
@@ -127,7 +127,7 @@ def _batch(t: Tables):
     rows = t.documents.select(
         "doc_id", "n_chars", F.sha2("text", 256).alias("sha256"),
         F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"))
-    broken = rows.where("n_chars < 100").select("doc_id", "n_chars", F.lit("WV_IMAGE_INVALID").alias(
+    broken = rows.where("n_chars < 100").select("doc_id", "n_chars", F.lit("IMAGE_INVALID").alias(
         "error_code"))
     good = audit.dedupe_first(rows.where("n_chars >= 100"), "sha256", "path")
     return audit.batch_result(good.select("doc_id", "n_chars", "error_code"), broken)

@@ -339,16 +339,16 @@ qbit AS (SELECT *, CASE WHEN m >= avg(m) OVER (PARTITION BY image_id) THEN 1 ELS
 dig AS (SELECT image_id, label, string_agg(bit, '' ORDER BY k) AS digest FROM qbit GROUP BY 1, 2),
 ok AS (SELECT image_id, row_number() OVER (PARTITION BY digest ORDER BY
   lpad(CAST(image_id AS VARCHAR), 9, '0')) AS r FROM dig WHERE label <> 9)
-SELECT o.image_id, CASE WHEN r > 1 THEN 'WV_DUPLICATE_INPUT' END AS error_code,
+SELECT o.image_id, CASE WHEN r > 1 THEN 'DUPLICATE_INPUT' END AS error_code,
   CASE WHEN r = 1 THEN decision END AS decision FROM ok o JOIN result USING (image_id)
-UNION ALL SELECT image_id, 'WV_IMAGE_INVALID', NULL FROM dig WHERE label = 9""")
+UNION ALL SELECT image_id, 'IMAGE_INVALID', NULL FROM dig WHERE label = 9""")
 def analyze_batch(t: Tables):
     """Label 9 stands for broken files; images with the same 2 x 2 average hash count as copies."""
     rows = b.images(t).join(t.embeddings.select(F.col("vec_id").alias("image_id"), "label"),
                             "image_id")
     rows = rows.withColumns({
         "sha256": audit.average_hash(F.col("pixels"), 8, 8, size=2), "path": F.lpad(F.col("image_id").cast("string"), 9, "0")})
-    broken = rows.where("label = 9").select("image_id", F.lit("WV_IMAGE_INVALID").alias(
+    broken = rows.where("label = 9").select("image_id", F.lit("IMAGE_INVALID").alias(
         "error_code"))
     first, copies = images.unique_images(rows.where("label <> 9"))
     done = _analyze(first.select("image_id", "height", "width", "pixels")).select(

@@ -70,7 +70,7 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
         plain_path(i["origin"]).alias("path"), F.when(good, i["height"]).alias("height"),
         F.when(good, i["width"]).alias("width"), F.when(good, i["nChannels"]).alias("channels"),
         F.when(good, i["data"]).alias("data"),
-        F.when(~good, "WV_IMAGE_INVALID").alias("error_code"))
+        F.when(~good, "IMAGE_INVALID").alias("error_code"))
 
 
 def to_rgb(images: DataFrame) -> DataFrame:

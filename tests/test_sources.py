@@ -107,9 +107,9 @@ def test_folder_batch_isolates_broken_and_copied_files(spark, tmp_path):
         broken, allowMissingColumns=True)
     got = {r.path.rsplit("/", 1)[1]: (r.decision, r.error_code) for r in batch.collect()}
     assert got == {"a.png": ("ANOMALY", None), "b.png": ("ANOMALY", None),
-                   "c.png": (None, "WV_DUPLICATE_INPUT"), "z.png": (None, "WV_IMAGE_INVALID")}
+                   "c.png": (None, "DUPLICATE_INPUT"), "z.png": (None, "IMAGE_INVALID")}
     late = images.analyze_batch(done.select("path", "sha256", "decision"), broken)
-    assert late.where("error_code = 'WV_IMAGE_INVALID'").count() == 1
+    assert late.where("error_code = 'IMAGE_INVALID'").count() == 1
 
 
 def test_integrity_check_on_files(spark, dataset):
