@@ -135,6 +135,35 @@ def extract_regions(images: DataFrame, threshold: float, min_area: int = 16,
     return images.select(*needed).mapInPandas(run, schema)
 
 
+def region_overlap(images: DataFrame, threshold: float, keep: Sequence[str] = ("image_id",)
+                   ) -> DataFrame:
+    """Regions of each mask and the mean share of a region that the map reaches.
+
+    ``pixels`` is the map and ``mask`` has 1 inside. An image without a region has no overlap.
+    """
+    schema = T.StructType([*[images.schema[c] for c in keep],
+                           T.StructField("region_count", T.IntegerType()),
+                           T.StructField("region_overlap", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts, shares = [], []
+            for h, w, px, mask in zip(pdf["height"], pdf["width"], pdf["pixels"], pdf["mask"]):
+                labels = kernels.components(_plane(h, w, mask) == 1).ravel()
+                hit = np.asarray(px, np.float64) >= threshold
+                _, which, area = np.unique(labels[labels >= 0], return_inverse=True,
+                                           return_counts=True)
+                counts.append(len(area))
+                shares.append(float(np.mean(np.bincount(which, hit[labels >= 0]) / area))
+                              if len(area) else None)
+            out = pdf[list(keep)].copy()
+            out["region_count"], out["region_overlap"] = counts, shares
+            yield out
+
+    needed = list(dict.fromkeys([*keep, "height", "width", "pixels", "mask"]))
+    return images.select(*needed).mapInPandas(run, schema)
+
+
 def region_rows(found: DataFrame, keep: Sequence[str] = ("image_id",)) -> DataFrame:
     return found.select(*keep, F.inline("regions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules
-from plumbline.operators import governance, metrics, series
+from plumbline.operators import governance, lifecycle, metrics, series
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query, rounded
 
@@ -105,18 +105,21 @@ def psi(t: Tables):
     return rounded(out, "psi")
 
 
-@query(f"""WITH RECURSIVE {b.DAILY_SCAN}
+@query(f"""WITH RECURSIVE {b.DAILY_SCAN}, {_PSI}
 SELECT 'win_' || substr(sha256('model_' || event_type || '|value_mean|' || window_start || '|'
     || window_end), 1, 12) AS window_id, 'model_' || event_type AS model_id,
   'value_mean' AS metric_name, window_start, window_end, round(metric_value, 6) AS metric_value,
   round(ewma_value, 6) AS ewma_value, round(cusum_value, 6) AS cusum_value, trend_status,
-  drift_pattern, TIMESTAMP '{b.STAMP}' AS created_at FROM windows""")
+  drift_pattern, round(psi, 6) AS psi_value, TIMESTAMP '{b.STAMP}' AS created_at
+FROM windows LEFT JOIN psi USING (event_type)""")
 def run_window(t: Tables):
     rollup = series.window_rollup(b.daily_points(t), ["event_type"], "metric", "day")
+    rollup = rollup.join(_psi_frame(t).select("event_type", "psi"), "event_type", "left")
     out = governance.drift_window_record(
-        rollup, F.concat(F.lit("model_"), "event_type"), F.lit("value_mean"), b.stamp())
-    return rounded(out, "metric_value", "ewma_value", "cusum_value").select(
-        "window_id", "model_id", "metric_name", "window_start", "window_end", "metric_value",
+        rollup, F.concat(F.lit("model_"), "event_type"), F.lit("value_mean"), b.stamp(),
+        F.col("psi"))
+    return rounded(out, "metric_value", "ewma_value", "cusum_value", "psi_value").select(
+        "psi_value", "window_id", "model_id", "metric_name", "window_start", "window_end", "metric_value",
         "ewma_value", "cusum_value", "trend_status", "drift_pattern", "created_at")
 
 
@@ -160,3 +163,76 @@ def drift_gaps(t: Tables):
     return series.drift_monitor(series.with_baseline(gaps, base, ["event_type"]), ["event_type"],
                                 ["day"], "metric", series.time_chunk("day", 5 * b.DAY)).select(
         "event_type", "day", "trend_status")
+
+
+@query("""WITH w AS (SELECT user_id % 50 AS grp, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week,
+    avg(value) AS m FROM events GROUP BY 1, 2),
+l AS (SELECT *, CASE WHEN lag(week) OVER a = week - INTERVAL 7 DAY THEN lag(m) OVER a - m END AS lost
+  FROM w WINDOW a AS (PARTITION BY grp ORDER BY week)),
+i AS (SELECT *, sum(CASE WHEN coalesce(lost >= 5e-1, false) THEN 0 ELSE 1 END) OVER
+  (PARTITION BY grp ORDER BY week) AS island FROM l),
+r AS (SELECT *, least(4, sum(CASE WHEN coalesce(lost >= 5e-1, false) THEN 1 ELSE 0 END) OVER
+  (PARTITION BY grp, island ORDER BY week))::INT AS run FROM i)
+SELECT grp, week, round(m, 6) AS weekly_mean, round(lost, 6) AS weekly_drop, run AS drops_in_row,
+  run >= 3 AS declining FROM r""")
+def gradual_decline(t: Tables):
+    """Weekly means of user groups; few weeks per group, whatever its rows."""
+    ev = t.events.select((F.col("user_id") % 50).alias("grp"), F.col("ts").cast(
+        "timestamp").alias("ts"), "value")
+    weeks = lifecycle.weekly_means(ev, ["grp"], "ts", "value")
+    return rounded(lifecycle.gradual_decline(weeks, ["grp"]), "weekly_mean", "weekly_drop")
+
+
+@query(f"""WITH m AS (SELECT lang AS model, count(*) AS n_target, count(quality) AS n_labelled
+  FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1),
+q AS (SELECT CASE user_id % 9 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'none' END AS model,
+  ts AS asked FROM events WHERE event_type = 'error'),
+last AS (SELECT model, max(asked) AS asked FROM q WHERE asked <= TIMESTAMP '{b.STAMP}'
+  AND asked > TIMESTAMP '{b.STAMP}' - INTERVAL 7 DAY GROUP BY 1),
+g AS (SELECT m.*, list_filter([CASE WHEN n_target < 200 THEN 'too_few_target_images' END,
+    CASE WHEN n_labelled < 100 THEN 'too_few_labelled_images' END,
+    CASE WHEN asked IS NOT NULL THEN 'cooling_down' END], lambda x: x IS NOT NULL) AS reasons
+  FROM m LEFT JOIN last USING (model))
+SELECT model, n_target, n_labelled, array_to_string(reasons, ',') AS reasons,
+  len(reasons) = 0 AS may_retrain FROM g""")
+def retraining_gate(t: Tables):
+    """One model per language; requests are error events."""
+    models = t.documents.join(t.labels, "doc_id", "left").groupBy(F.col("lang").alias("model")).agg(
+        F.count(F.lit(1)).alias("n_target"), F.count("quality").alias("n_labelled"))
+    number = F.col("user_id") % 9
+    requests = t.events.where("event_type = 'error'").select(
+        F.when(number == 0, "en").when(number == 1, "de").otherwise("none").alias("model"),
+        F.col("ts").cast("timestamp").alias("requested_at"))
+    out = lifecycle.retraining_gate(models, requests, "model", b.stamp())
+    return out.select("model", "n_target", "n_labelled", F.array_join("reasons", ",").alias(
+        "reasons"), "may_retrain")
+
+
+@query("""WITH c AS (SELECT doc_id, d.source AS cluster, n_chars,
+    coalesce(toxic = 1, false) AS critical, coalesce(quality = 0, false) AS disagreement,
+    (doc_id * 37 % 101) / 101e0 AS drift, (doc_id * 53 % 97) / 97e0 AS uncertain
+  FROM documents d LEFT JOIN labels USING (doc_id)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster, doc_id % 40 ORDER BY
+    critical DESC, disagreement DESC, drift DESC, uncertain DESC, doc_id) AS r FROM c) WHERE r = 1),
+s AS (SELECT *, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT AS draw,
+  CASE WHEN critical THEN 'critical_expert' WHEN disagreement THEN 'disagreement'
+    WHEN drift >= 5e-1 THEN 'drift' WHEN uncertain >= 5e-1 THEN 'uncertainty'
+    WHEN ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 4 = 0 THEN 'random'
+    ELSE 'diversity' END AS stratum FROM one),
+p AS (SELECT *, CASE stratum WHEN 'uncertainty' THEN uncertain WHEN 'random'
+    THEN draw / 4294967296e0 ELSE drift END AS score FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY score DESC, doc_id)::INT AS place
+  FROM p)
+SELECT stratum, place, doc_id, round(score, 6) AS score FROM n WHERE place <= CASE stratum
+  WHEN 'disagreement' THEN 20 WHEN 'drift' THEN 20 WHEN 'uncertainty' THEN 15
+  WHEN 'diversity' THEN 15 WHEN 'random' THEN 5 ELSE 25 END""")
+def quota_selection(t: Tables):
+    """A budget of 100; clusters are a source and a remainder of the id."""
+    rows = t.documents.join(t.labels, "doc_id", "left").select(
+        "doc_id", F.concat_ws("/", "source", (F.col("doc_id") % 40).cast("string")).alias("cluster"),
+        F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("critical"),
+        F.coalesce(F.col("quality") == 0, F.lit(False)).alias("disagreement"),
+        (F.col("doc_id") * 37 % 101 / 101.0).alias("drift_score"),
+        (F.col("doc_id") * 53 % 97 / 97.0).alias("uncertainty_score"))
+    out = lifecycle.quota_selection(rows, "doc_id", "cluster", 100)
+    return rounded(out.drop("cluster"), "score")

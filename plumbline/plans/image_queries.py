@@ -356,3 +356,16 @@ def analyze_batch(t: Tables):
     copies = copies.select(F.col("path").cast("long").alias("image_id"), "error_code")
     return audit.batch_result(audit.batch_result(done, copies), broken).select(
         "image_id", "error_code", "decision")
+
+
+@query(f"""WITH RECURSIVE {b.IMAGES}, marked AS (SELECT image_id, y, x, p AS s FROM img),
+{regions_sql("marked", "150", 1)},
+shares AS (SELECT c.image_id, root, avg(CASE WHEN p >= 170 THEN 1e0 ELSE 0e0 END) AS share
+  FROM comp c JOIN img USING (image_id, y, x) GROUP BY 1, 2)
+SELECT i.image_id, count(root)::INT AS region_count, round(avg(share), 6) AS region_overlap
+FROM (SELECT DISTINCT image_id FROM img) i LEFT JOIN shares USING (image_id) GROUP BY 1""")
+def region_overlap(t: Tables):
+    """Masks are the pixels from 150 on; the map reaches them from 170 on."""
+    rows = b.images(t).withColumn("mask", F.transform(
+        "pixels", lambda v: F.when(v >= 150, 1).otherwise(0)))
+    return rounded(images.region_overlap(rows, 170.0), "region_overlap")
