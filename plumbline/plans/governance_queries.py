@@ -22,26 +22,27 @@ def latest_state(t: Tables):
 @query("""SELECT event_id, user_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id
     ORDER BY event_type = 'purchase' DESC, ts DESC, event_id DESC) AS r
-  FROM events WHERE event_type IN ('view', 'purchase')) WHERE r = 1""")
+  FROM events) WHERE r = 1""")
 def upsert(t: Tables):
-    """Purchases replace views of the same user."""
+    """Purchases replace all other events of the same user."""
     cols = ["event_id", "user_id", "event_type", "value", "ts"]
     ev = t.events.select(*cols)
-    current = governance.latest_state(ev.where("event_type = 'view'"), ["user_id"], "ts",
-                                      "event_id")
+    current = governance.latest_state(ev.where("NOT event_type <=> 'purchase'"), ["user_id"],
+                                      "ts", "event_id")
     return governance.upsert(current, ev.where("event_type = 'purchase'"), ["user_id"], "ts",
                              "event_id").drop("ts")
 
 
 @query("""WITH new AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders
-  WHERE o_orderstatus = 'P' GROUP BY 1)
+  WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') GROUP BY 1)
 SELECT * FROM new WHERE o_custkey NOT IN (SELECT o_custkey FROM orders
   WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""")
 def insert_ignore(t: Tables):
     orders = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
     current = orders.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(
         "o_custkey", "o_orderkey")
-    incoming = orders.where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey")
+    incoming = orders.where("NOT (o_orderstatus = 'F' and o_orderpriority = '1-URGENT')").select(
+        "o_custkey", "o_orderkey")
     return governance.insert_ignore(current, incoming, ["o_custkey"], "o_orderkey")
 
 
@@ -160,10 +161,10 @@ def record_verdict(t: Tables):
 
 @query("""SELECT event_id AS feedback_id, user_id AS analysis_id,
   user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value >= 100) AS accepted
-FROM events WHERE event_type = 'error'""")
+FROM events""")
 def submit_feedback(t: Tables):
-    """Error events as feedback on the users with a large purchase."""
-    feedback = t.events.where("event_type = 'error'").select(
+    """Events as feedback on the users with a large purchase."""
+    feedback = t.events.select(
         F.col("event_id").alias("feedback_id"), F.col("user_id").alias("analysis_id"))
     analyses = t.events.where("event_type = 'purchase' and value >= 100").select(
         F.col("user_id").alias("analysis_id"))

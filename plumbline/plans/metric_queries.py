@@ -247,10 +247,14 @@ def score_histogram(t: Tables):
     return rounded(out, "bin_start", "bin_end")
 
 
-@query(f"""WITH {b.SCORED}
-SELECT model_id, count(DISTINCT score) AS distinct_scores FROM scored GROUP BY 1""")
+@query("""SELECT 'len_' || lang AS model_id, count(DISTINCT n_chars / (n_chars + 2000e0))
+  AS distinct_scores FROM documents GROUP BY 1""")
 def distinct_scores(t: Tables):
-    return metrics.distinct_scores(b.scored(t), K, "score")
+    """Scores need no label, so every document counts."""
+    n = F.col("n_chars")
+    rows = t.documents.select(F.concat(F.lit("len_"), "lang").alias("model_id"),
+                              (n / (n + F.lit(2000.0))).alias("score"))
+    return metrics.distinct_scores(rows, K, "score")
 
 
 @query(f"""WITH {b.SCORED}, {_HIGHER}

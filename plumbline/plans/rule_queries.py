@@ -157,10 +157,9 @@ def transition_allowed(t: Tables):
 
 
 @query("""SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
-FROM orders WHERE lower(o_orderpriority) LIKE '%e%' AND o_orderstatus = 'O' GROUP BY 1""")
+FROM orders WHERE lower(o_orderpriority) LIKE '%e%' GROUP BY 1""")
 def contains_ci(t: Tables):
-    rows = t.orders.where(rules.contains_ci(F.col("o_orderpriority"), "E")
-                          & (F.col("o_orderstatus") == "O"))
+    rows = t.orders.where(rules.contains_ci(F.col("o_orderpriority"), "E"))
     return _tally(rows.select("o_orderpriority", F.col("o_orderkey").alias("row_key")),
                   "o_orderpriority")
 

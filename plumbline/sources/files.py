@@ -139,15 +139,15 @@ def require_masks(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def with_provenance(rows: DataFrame, adapter: str, category: str) -> DataFrame:
-    """Dataset columns of an allow-listed layout."""
+def with_provenance(rows: DataFrame, adapter: str, category: str | Column) -> DataFrame:
+    """Dataset columns of an allow-listed layout; the category may differ by row."""
     if adapter not in PROVENANCE:
         raise ValueError(f"unknown dataset layout {adapter!r}")
     name, commercial = PROVENANCE[adapter]
-    dataset = "fixture" if adapter == "fixture" else f"mvtec_ad_{category}"
-    return rows.select(F.lit(dataset).alias("dataset_id"), F.lit(name).alias("source_name"),
-                       F.lit(category).alias("category"), F.lit(commercial).alias("commercial_use"),
-                       "*")
+    kind = F.lit(category) if isinstance(category, str) else category
+    dataset = F.lit("fixture") if adapter == "fixture" else F.concat(F.lit("mvtec_ad_"), kind)
+    return rows.select(dataset.alias("dataset_id"), F.lit(name).alias("source_name"),
+                       kind.alias("category"), F.lit(commercial).alias("commercial_use"), "*")
 
 
 def read_dataset(spark: SparkSession, root: str, adapter: str, category: str) -> DataFrame:

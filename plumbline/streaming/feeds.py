@@ -76,7 +76,9 @@ def stream_drift_monitor(feed: DataFrame, key: str, policy: DriftPolicy = DEFAUL
     ``feed`` is a metric feed with its baseline attached. Windows close in time order, so the
     state only ever moves forward.
     """
-    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    conf, setting = feed.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if conf.get(setting) != ROCKSDB_PROVIDER:
+        conf.set(setting, ROCKSDB_PROVIDER)  # the operator runs on no other store
     schema = T.StructType([
         feed.schema[key], T.StructField("window_start", T.TimestampType()),
         T.StructField("window_end", T.TimestampType()),
@@ -92,15 +94,8 @@ def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") ->
     """Run an append stream over everything available and read back what it wrote."""
     spark: SparkSession = stream.sparkSession
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    # every state partition is opened and committed in every batch, so one per core is enough
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        query = (stream.writeStream.format("parquet").option("path", out)
-                 .option("checkpointLocation", checkpoint).outputMode(output_mode)
-                 .trigger(availableNow=True).start())
-        query.awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
+    query = (stream.writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", checkpoint).outputMode(output_mode)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
