@@ -26,9 +26,11 @@ _BUCKETS = 18  # log2 of the pair counters of a round
 
 def replace_pairs(seq: np.ndarray, end: int, free: int, most: int, least: int):
     """One round: the shorter sequence and the (left, right) of the new symbols from ``free`` on."""
-    first, second = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
-    pair = first << np.uint64(32) | second
-    bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
+    # every pair as one number, read in place: the left symbol in the low half
+    pair = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))
+    bucket = pair * np.uint64(0x9E3779B97F4A7C15)
+    bucket >>= np.uint64(64 - _BUCKETS)
+    bucket = bucket.view(np.int64)
     counts = np.bincount(bucket, minlength=1 << _BUCKETS)
     cut = max(least, int(np.partition(counts, -most)[-most]))
     at = np.flatnonzero((counts >= cut)[bucket])
@@ -57,7 +59,7 @@ def replace_pairs(seq: np.ndarray, end: int, free: int, most: int, least: int):
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     rules = owner[chosen]
-    return out[keep], np.column_stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)]).astype(
+    return out[keep], np.column_stack([rules & np.uint64(0xFFFFFFFF), rules >> np.uint64(32)]).astype(
         np.uint32)
 
 
@@ -71,13 +73,13 @@ def gather(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def encode_shard(ids: list[int | None], seq: np.ndarray, terminals: int, end_id: int, *,
-                 rounds: int = 5, most: int = 4000, least: int = 6) -> bytes:
+                 rounds: int = 4, most: int = 4000, least: int = 6) -> bytes:
     """A shard from its documents' ids and their tokens.
 
     ``seq`` has every document's tokens followed by the mark ``terminals``, which decodes to
     ``end_id``; tokens are below ``terminals``.
     """
-    seq = seq.astype(np.int32)
+    seq = np.ascontiguousarray(seq, "<i4")
     tokens = np.concatenate([[0], np.flatnonzero(seq == terminals) + 1]).astype(np.uint64)
     per_round, rules, free = [], [], terminals + 1
     while len(per_round) < rounds and len(seq) > 1:

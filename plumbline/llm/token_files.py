@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -34,10 +35,11 @@ from plumbline.llm.repair import Shard, encode_shard, gather
 from plumbline.llm.text import whole
 from plumbline.session import materialize, scratch_path
 
-_PIECES = 600_000
+_PIECES = 900_000
 #: Two blanks together, and all white space but the blank and the line feed.
 _HARD_BLANKS = ["  ", " \n", "\n ", "\n\n"] + [
     chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_HARD_ASCII = [b for b in _HARD_BLANKS if b.isascii()]
 _FILES = "partition int, shard int, name string, documents long, tokens long, bytes long"
 
 
@@ -112,7 +114,7 @@ class PieceEncoder:
         """A text in pieces that can be encoded one by one."""
         if "\x00" in text or any(s in text for s in self.special):
             return [text]
-        if any(b in text for b in _HARD_BLANKS):
+        if any(b in text for b in (_HARD_ASCII if text.isascii() else _HARD_BLANKS)):
             out: list[str] = []
             for i, part in enumerate(text.split(" ")):
                 piece = " " + part if i else part
@@ -130,13 +132,16 @@ class PieceEncoder:
             return [e.ids for e in self.tokenizer.encode_batch_fast(
                 pieces, add_special_tokens=False)]
         model, table = self.tokenizer.model.tokenize, self.table
+        blank = chr(table[ord(" ")])
         out: list[list[int] | None] = []
         for piece in pieces:
             word = piece[1:] if piece[0] == " " else piece
             stop = piece[-1] if piece[-1] in ".,;:!?" else ""
             if (word[:-1] if stop else word).isalpha():
-                body = piece[:-1] if stop else piece
-                ids = [t.id for t in model(body.encode().decode("latin-1").translate(table))]
+                body = word[:-1] if stop else word
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(table)
+                ids = [t.id for t in model(blank + body if word is not piece else body)]
                 if stop:
                     ids += [t.id for t in model(stop)]
                 out.append(ids)
@@ -150,7 +155,7 @@ class PieceEncoder:
         """The ids of all texts, each followed by the end mark."""
         if len(self.number) > _PIECES:
             self._forget_rare()
-        numbers: list[int] = []
+        numbers = array("q")
         for text in texts:
             numbers.extend(map(self.number.__getitem__, self.pieces(text)))
             numbers.append(0)
@@ -160,21 +165,25 @@ class PieceEncoder:
             self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(got), np.int32))
             self.lengths = np.append(self.lengths, np.fromiter(map(len, got), np.int64, len(got)))
             new.clear()
-        wanted = np.fromiter(numbers, np.int64, len(numbers))
+        wanted = np.frombuffer(numbers, np.int64)
         uses = np.bincount(wanted, minlength=len(self.lengths))
         uses[:len(self.uses)] += self.uses
         self.uses = uses
         return gather(wanted, np.cumsum(self.lengths) - self.lengths, self.lengths, self.flat)
 
 
-def _groups(ids: list, texts: list[str], chars: int) -> Iterator[tuple[list, list[str]]]:
+def _groups(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str]]]:
     """Consecutive documents of about ``chars`` characters together."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= chars or i == len(texts) - 1:
-            yield ids[begin:i + 1], texts[begin:i + 1]
-            begin, size = i + 1, 0
+    ids, texts, size = [], [], 0
+    for i, text in zip(batch["_id"], batch["_text"]):  # one text at a time leaves Arrow
+        ids.append(i.as_py())
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def _write_shards(tokenizer_file: str, end_id: int, folder: str, shard_tokens: int):
@@ -199,8 +208,7 @@ def _write_shards(tokenizer_file: str, end_id: int, folder: str, shard_tokens: i
 
         for batch in batches:
             encoder = encoder or PieceEncoder.of_worker(tokenizer_file)
-            for some, texts in _groups(batch["_id"].to_pylist(), batch["_text"].to_pylist(),
-                                       2 * shard_tokens):
+            for some, texts in _groups(batch, 4 * shard_tokens):
                 ids += some
                 parts.append(encoder.encode(texts))
                 if sum(map(len, parts)) >= shard_tokens:
