@@ -79,23 +79,26 @@ def shared_between_splits(files: DataFrame, key: str, split: str = "split") -> D
 
 def set_fingerprint(rows: DataFrame, keys: Sequence[str], columns: Sequence[str],
                     header: Sequence[str] = ()) -> DataFrame:
-    """Order-free SHA-256 fingerprint of a set of rows per key.
+    """Order-free SHA-256 fingerprint of a multiset of rows per key.
 
-    Each row is hashed alone and the hashes are added up in eight lanes of 32 bits (an additive
-    multiset hash). Sums merge map-side, so nothing is sorted or collected and one huge key is
-    no problem. ``header`` columns describe the set and are hashed in at the end.
+    Equal rows are counted first. Row hashes hang in a tree: those that share their first eight
+    hex digits, sorted, are hashed together, then the groups that share four digits, then all. A
+    node has 65,536 children at most and a leaf few rows, so no key gathers in one task and no sum
+    can be forged. ``header`` columns describe the set and are hashed in at the end.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
-    hashed = rows.select(*keys, *[c for c in header if c not in keys], row.alias("_h"))
-    lanes = [
-        F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"_l{i}")
-        for i in range(8)]
     group = list(dict.fromkeys([*keys, *header]))
-    sums = hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), *lanes)
+    node = rows.select(*group, row.alias("_h")).groupBy(*group, "_h").agg(
+        F.count(F.lit(1)).alias("_n"))
+    node = node.select(*group, F.col("_h").alias("_at"), "_n", F.concat_ws(
+        ":", "_h", F.col("_n").cast("string")).alias("_t"))
+    for digits in (8, 4, 0):
+        joined = F.array_join(F.array_sort(F.collect_list("_t")), ",")
+        node = node.groupBy(*group, F.substring("_at", 1, digits).alias("_at")).agg(
+            F.sum("_n").alias("_n"), F.sha2(joined, 256).alias("_t"))
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in header],
-                       F.col("n_rows").cast("string"),
-                       *[F.col(f"_l{i}").cast("string") for i in range(8)])
-    return sums.select(*group, "n_rows", F.sha2(text, 256).alias("fingerprint"))
+                       F.col("_n").cast("string"), "_t")
+    return node.select(*group, F.col("_n").alias("n_rows"), F.sha2(text, 256).alias("fingerprint"))
 
 
 def config_hash(text: Column) -> Column:

@@ -61,14 +61,18 @@ def shared_between_splits(t: Tables):
     return audit.shared_between_splits(b.files(t), "source_image_id")
 
 
-_LANES = " || '|' || ".join(
-    f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
 _FINGER = f"""hashed AS (SELECT dataset_id, sha256('{{"label":"' || label || '","mask_path":'
     || CASE WHEN mask_path IS NULL THEN 'null' ELSE '"' || mask_path || '"' END
     || ',"relative_path":"' || relative_path || '","sha256":"' || sha256 || '","split":"'
     || split || '"}}') AS h FROM files),
-finger AS (SELECT dataset_id, count(*) AS n_rows, sha256(dataset_id || '|' || count(*) || '|'
-  || {_LANES}) AS fingerprint FROM hashed GROUP BY 1)"""
+counted AS (SELECT dataset_id, h, count(*) AS n FROM hashed GROUP BY 1, 2),
+leaves AS (SELECT dataset_id, h[:8] AS place, sum(n) AS n, sha256(string_agg(h || ':' || n, ','
+  ORDER BY h || ':' || n)) AS t FROM counted GROUP BY 1, 2),
+nodes AS (SELECT dataset_id, place[:4] AS place, sum(n) AS n, sha256(string_agg(t, ',' ORDER BY t)) AS t
+  FROM leaves GROUP BY 1, 2),
+finger AS (SELECT dataset_id, CAST(sum(n) AS BIGINT) AS n_rows, sha256(dataset_id || '|'
+  || CAST(sum(n) AS BIGINT) || '|' || sha256(string_agg(t, ',' ORDER BY t))) AS fingerprint
+  FROM nodes GROUP BY 1)"""
 _FINGER_COLS = ["relative_path", "sha256", "split", "label", "mask_path"]
 
 
