@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import BLANKS, ascii_lower, whole
+from plumbline.session import materialize
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,7 +32,8 @@ def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
     """One row per line that can go: its place and the two halves of its key's hash."""
     keys = F.transform(F.split(ascii_lower(F.col("_text")), "\n", -1),
                        lambda line: F.btrim(line, F.lit(BLANKS)))
-    lines = documents.select("_id", "_version", F.posexplode(keys).alias("_pos", "_key"))
+    # an outer generator, as others would evaluate the keys in a filter too
+    lines = documents.select("_id", "_version", F.posexplode_outer(keys).alias("_pos", "_key"))
     return lines.filter(F.char_length("_key") >= min_chars).select(
         F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second half"), "_key").alias("_h2"),
         "_id", "_version", "_pos")
@@ -61,7 +63,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first occurrence over the whole table stays, without it every occurrence goes.
     """
     lines = _lines(_documents(docs, id_col, text_col), min_chars)
-    gone = lines.join(line_verdicts(lines, min_docs), ["_h1", "_h2"])
+    # stored, so that both sides of the join are plain and a hot key's rows can be split
+    verdicts = materialize(docs.sparkSession, line_verdicts(lines, min_docs), "line-verdicts")
+    gone = lines.join(verdicts, ["_h1", "_h2"])
     if keep_first:
         gone = gone.filter(~F.struct("_id", "_version", "_pos").eqNullSafe(F.col("_first")))
     words = gone.groupBy("_id", "_version", F.expr("_pos div 64").cast("int").alias("word")).agg(
