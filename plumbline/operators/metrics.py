@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import (
-    exact_quantiles, join_same, quantiles_wide, running_totals, slice_cuts, with_slice,
+    exact_quantiles, join_same, join_spread, quantiles_wide, running_totals, slice_cuts, with_slice,
 )
 
 
@@ -170,9 +170,12 @@ def score_histogram(df: DataFrame, keys: Sequence[str], score: str, bins: int =
     span = span.select(*keys, F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("lo"),
                        F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("hi"))
     place = F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    counts = join_same(df, span, keys).groupBy(
+    # equal scores are one row before anything is joined
+    valued = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
+        F.count(F.lit(1)).alias("_c"))
+    counts = join_spread(valued, span, keys, score).groupBy(
         *keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("_n"))
+        F.sum("_c").alias("_n"))
     grid = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / bins
     return join_same(grid, counts, [*keys, "bin"], "left").select(
@@ -198,15 +201,19 @@ def population_stability(df: DataFrame, keys: Sequence[str], value: str, is_refe
     if bins < 2:
         raise ValueError("at least two bins are needed")
     keys = list(keys)
-    marked = df.select(*keys, F.col(value).alias("_x"), is_reference.alias("_ref"))
+    # equal values are one row before anything is joined
+    marked = df.select(*keys, F.col(value).alias("_x"), is_reference.alias("_ref")).where(
+        F.col("_ref").isNotNull())
+    valued = marked.groupBy(*keys, "_x").agg(F.count_if("_ref").alias("_r"), F.count_if(
+        ~F.col("_ref")).alias("_c"))
     probs = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(marked.where("_ref"), keys, "_x", probs, slices=slices).groupBy(*keys).agg(
         # bins - 1 entries per key
         F.sort_array(F.collect_list("quantile")).alias("_edges"))
-    counts = join_same(marked, edges, keys, "left").groupBy(
+    counts = join_spread(valued, edges, keys, "_x", "left").groupBy(
         *keys, F.coalesce(F.size(F.filter("_edges", lambda e: e <= F.col("_x"))),
                           F.lit(0)).alias("_bin")).agg(
-        F.count_if(F.col("_ref")).alias("_r"), F.count_if(~F.col("_ref")).alias("_c"))
+        F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
     totals = counts.groupBy(*keys).agg(
         F.sum("_r").alias("n_reference"), F.sum("_c").alias("n_current"))
     grid = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bin"))

@@ -42,6 +42,20 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(other, same, how).drop(*mine.values())
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
+                how: str = "inner", salts: int = 16) -> DataFrame:
+    """`join_same` with a small table of one row per key, where a hot key goes to many tasks.
+
+    Rows of ``left`` are dealt by a hash of column ``by``, of which no value should be hot, and
+    ``right`` is repeated once per salt.
+    """
+    if not keys:
+        return join_same(left, right, keys, how)
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return join_same(dealt, copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def default_slices(df: DataFrame) -> int:
     """About four slices per shuffle partition.
 
