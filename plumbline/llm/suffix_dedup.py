@@ -358,7 +358,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, *, gram: int = 64,
     hashes = located(False).mapInArrow(_hash_suffixes(length),
                                        f"{ids}, start long, h1 long, h2 long")
     twice = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    many = hashes.join(twice, ["h1", "h2"]).select(
+    # a third key makes the counts travel once more; then both sides of the join are plain and a
+    # hot hash's rows can be split
+    third = F.col("h1").bitwiseXOR(F.col("h2")).alias("h3")
+    many = hashes.select("*", third).join(twice.select("*", third), ["h1", "h2", "h3"]).select(
         "_id", "_version", "start", (F.col("start") + length).alias("end"))
     return spans.unionByName(many)
 
