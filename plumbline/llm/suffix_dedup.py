@@ -36,6 +36,7 @@ from plumbline.session import materialize
 
 _PERIOD = 40
 _BUFFER = 1 << 20  # bytes hashed at once
+_BLOCK = 4096  # contexts after which the whole buckets gathered so far are sorted
 _PLACE = np.uint64((1 << 22) - 1)  # low bits that hold a place in the buffer
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -352,7 +353,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, *, gram: int = 64,
     contexts = located(True).mapInArrow(
         _cut_contexts(length), f"{ids}, key long, place long, first long, last long, context binary")
     spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _sort_buckets(length, gram, bucket_rows), f"{ids}, start long, end long")
+        _sort_buckets(length, gram, min(_BLOCK, bucket_rows)), f"{ids}, start long, end long")
     if counts.filter(F.col("rows") > bucket_rows).isEmpty():
         return spans
     hashes = located(False).mapInArrow(_hash_suffixes(length),
