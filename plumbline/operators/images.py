@@ -107,6 +107,31 @@ def quality_metrics(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, schema)
 
 
+def image_hashes(images: DataFrame, keep: Sequence[str] = ("image_id",), size: int = 8) -> DataFrame:
+    """Perceptual hash of grey and colour images, each of its own size.
+
+    One bit per cell of a size x size grid, whose area mean reaches the mean of all cells, as hex
+    digits. Colours become luma first.
+    """
+    if (size * size) % 4:
+        raise ValueError("the number of bits must be a multiple of four")
+    schema = T.StructType([*[images.schema[c] for c in keep], T.StructField("hash", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for h, w, px in zip(pdf["height"], pdf["width"], pdf["pixels"]):
+                image = _plane(h, w, px)
+                grey = kernels.luminance(image) if image.ndim == 3 else image
+                cells = kernels.resize_area(grey.astype(np.float64), size, size).ravel().round(9)
+                text = "".join("1" if v >= cells.mean() else "0" for v in cells)
+                found.append(f"{int(text, 2):0{len(text) // 4}x}")
+            yield pdf[list(keep)].assign(hash=found)
+
+    needed = list(dict.fromkeys([*keep, "height", "width", "pixels"]))
+    return images.select(*needed).mapInPandas(run, schema)
+
+
 def with_gate(images: DataFrame, gate: GatePolicy = DEFAULT_GATE) -> DataFrame:
     """Add quality_status and quality_reasons from the quality metrics."""
     result = rules.quality_gate(F.col("width"), F.col("height"), F.col("luminance_std"),

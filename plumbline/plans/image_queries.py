@@ -369,3 +369,15 @@ def region_overlap(t: Tables):
     rows = b.images(t).withColumn("mask", F.transform(
         "pixels", lambda v: F.when(v >= 150, 1).otherwise(0)))
     return rounded(images.region_overlap(rows, 170.0), "region_overlap")
+
+
+@query(f"""WITH {b.IMAGES},
+cells AS (SELECT image_id, (y // 2) * 4 + x // 2 AS k, avg(p) AS v FROM img GROUP BY 1, 2),
+bits AS (SELECT image_id, k, CASE WHEN v >= avg(v) OVER (PARTITION BY image_id) THEN 1 ELSE 0 END
+  AS bit FROM cells)
+SELECT image_id, string_agg(d, '' ORDER BY g) AS hash FROM (
+  SELECT image_id, k // 4 AS g, substr('0123456789abcdef',
+    1 + sum(bit * CAST(pow(2, 3 - k % 4) AS INT))::INT, 1) AS d FROM bits GROUP BY 1, 2)
+GROUP BY 1""")
+def image_hashes(t: Tables):
+    return images.image_hashes(b.images(t), size=4)

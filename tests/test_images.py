@@ -200,3 +200,22 @@ def test_quality_gate_on_colour_bytes(spark):
     red = rgb[..., 0].astype(float)
     want = np.abs(red - kernels.gaussian(red, 15)) / 255
     assert score.score == pytest.approx(np.quantile(want, 0.995))
+
+
+def test_hashes_of_any_size_and_colour(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i, shape in enumerate([(8, 8), (13, 21), (40, 30, 3)]):
+        img = rng.integers(0, 256, shape).astype(np.uint8)
+        rows.append((i, shape[0], shape[1], bytearray(img.tobytes()), img))
+    df = spark.createDataFrame([r[:4] for r in rows], "image_id int, height int, width int, pixels binary")
+    got = {r.image_id: r.hash for r in images.image_hashes(df).collect()}
+    for i, h, w, _, img in rows:
+        grey = (img @ np.array([0.299, 0.587, 0.114])).round() if img.ndim == 3 else img.astype(float)
+        fine = np.kron(grey, np.ones((8, 8)))  # every cell is whole pixels now
+        cells = fine.reshape(8, h, 8, w).mean(axis=(1, 3)).ravel()
+        same = [a == b for a, b in zip(f"{int(got[i], 16):064b}", (
+            "1" if v >= cells.mean() else "0" for v in cells))]
+        assert sum(same) >= 63  # luma is rounded in fixed point
+    with pytest.raises(ValueError):
+        images.image_hashes(df, size=3)
