@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import join_same
+from plumbline.operators.ordered import exact_quantiles, join_same
 
 #: Default settings of slow decline and of the retraining gate.
 WEEKLY_DROP, DROP_WEEKS, WITHIN_WEEKS = 0.5, 3, 4
@@ -96,3 +98,96 @@ def quota_selection(candidates: DataFrame, item: str, cluster: str, budget: int,
         "place", F.row_number().over(place)).where(F.col("place") <= most).where(
             F.col("place") <= F.coalesce(limits[F.col("stratum")], F.lit(0))).select(
                 "stratum", "place", item, cluster, "score")
+
+
+def random_features(dim: int, features: int, scale: float, seed: int
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and phases whose cosines approximate a Gaussian kernel of that scale."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, 1.0 / scale, (features, dim)), rng.uniform(0.0, 2 * np.pi, features)
+
+
+def kernel_discrepancy(df: DataFrame, keys: Sequence[str], vector: str, is_reference: Column, *,
+                       dim: int, features: int = 256, scale: float = 1.0, seed: int = 5
+                       ) -> DataFrame:
+    """Squared maximum mean discrepancy of current against reference vectors, per key.
+
+    The Gaussian kernel is replaced by fixed random features, so the test is a distance of two
+    means: one pass with map-side sums and no pairs of rows. Vectors that are NULL or of another
+    dimension do not count; a key without rows on one side has a NULL discrepancy.
+    """
+    turn, phase = random_features(dim, features, scale, seed)
+    gain = np.sqrt(2.0 / features)
+    rows = df.where(F.size(vector) == dim).select(
+        *keys, is_reference.alias("_ref"), F.col(vector).cast("array<double>").alias("_v"))
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
+                       if f.name != "_v"] + ["_z array<double>"])
+
+    def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch["_v"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
+            z = pa.array(list(gain * np.cos(flat @ turn.T + phase)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch[c] for c in batch.schema.names if c != "_v"] + [z],
+                [c for c in batch.schema.names if c != "_v"] + ["_z"])
+
+    def means(side: Column) -> list[Column]:
+        return [F.avg(F.when(side, F.get("_z", F.lit(i)))) for i in range(features)]
+
+    summed = rows.mapInArrow(mapped, kinds).groupBy(*keys).agg(
+        F.count_if("_ref").alias("n_reference"), F.count_if(~F.col("_ref")).alias("n_current"),
+        F.array(*means(F.col("_ref"))).alias("_a"), F.array(*means(~F.col("_ref"))).alias("_b"))
+    gaps = F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b))
+    return summed.select(*keys, "n_reference", "n_current", F.when(
+        (F.col("n_reference") > 0) & (F.col("n_current") > 0),
+        F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g)).alias("mmd"))
+
+
+def principal_components(df: DataFrame, vector: str, dim: int, rank: int
+                         ) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and the ``rank`` strongest directions of all vectors of a dimension.
+
+    Every task sends one matrix of dim x dim sums; the driver adds them and holds nothing else.
+    """
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total, square = 0, np.zeros(dim), np.zeros((dim, dim))
+        for batch in batches:
+            x = batch["_v"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
+            count, total, square = count + len(x), total + x.sum(axis=0), square + x.T @ x
+        if count:
+            row = np.concatenate([[count], total, square.ravel()])
+            yield pa.record_batch({"at": pa.array(np.arange(len(row))), "s": pa.array(row)})
+
+    rows = df.where(F.size(vector) == dim).select(F.col(vector).cast("array<double>").alias("_v"))
+    found = rows.mapInArrow(sums, "at long, s double").groupBy("at").agg(
+        F.sum("s").alias("s")).collect()
+    if not found:
+        raise ValueError("no vector of that dimension")
+    row = np.array([r["s"] for r in sorted(found, key=lambda r: r["at"])])
+    mean = row[1:dim + 1] / row[0]
+    spread = row[dim + 1:].reshape(dim, dim) / row[0] - np.outer(mean, mean)
+    return mean, np.linalg.eigh(spread)[1][:, ::-1][:, :rank].T
+
+
+def reconstruction_quantile(df: DataFrame, keys: Sequence[str], vector: str, mean: np.ndarray,
+                            components: np.ndarray, prob: float = 0.95) -> DataFrame:
+    """Exact linear quantile, per key, of the distance between vectors and their projections.
+
+    Vectors that are NULL or of another dimension do not count.
+    """
+    dim = len(mean)
+    rows = df.where(F.size(vector) == dim).select(
+        *keys, F.col(vector).cast("array<double>").alias("_v"))
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
+                       if f.name != "_v"] + ["_error double"])
+
+    def errors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch["_v"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim) - mean
+            left = x - (x @ components.T) @ components
+            kept = [c for c in batch.schema.names if c != "_v"]
+            yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [pa.array(np.sqrt(
+                np.einsum("ij,ij->i", left, left)))], [*kept, "_error"])
+
+    out = exact_quantiles(rows.mapInArrow(errors, kinds), keys, "_error", [prob])
+    return out.select(*keys, F.col("quantile").alias("reconstruction_error"), "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules
@@ -236,3 +237,33 @@ def quota_selection(t: Tables):
         (F.col("doc_id") * 53 % 97 / 97.0).alias("uncertainty_score"))
     out = lifecycle.quota_selection(rows, "doc_id", "cluster", 100)
     return rounded(out.drop("cluster"), "score")
+
+
+_TURN, _PHASE = lifecycle.random_features(64, 8, 0.5, 5)
+_WAVES = ", ".join(f"({k}, [{', '.join(repr(float(w)) + '::DOUBLE' for w in _TURN[k])}], "
+                   f"{float(_PHASE[k])!r}::DOUBLE)" for k in range(len(_PHASE)))
+
+
+@query(f"""WITH waves(k, w, b) AS (VALUES {_WAVES}),
+z AS (SELECT label, vec_id % 2 = 0 AS ref, k, sqrt(2e0 / 8) * cos(b + list_sum(list_transform(
+  list_zip(w, embedding), lambda t: t[1] * t[2]::DOUBLE))) AS z FROM embeddings, waves),
+m AS (SELECT label, k, avg(z) FILTER (ref) AS a, avg(z) FILTER (NOT ref) AS c FROM z GROUP BY 1, 2),
+n AS (SELECT label, count(*) FILTER (vec_id % 2 = 0) AS n_reference,
+  count(*) FILTER (vec_id % 2 <> 0) AS n_current FROM embeddings GROUP BY 1)
+SELECT label, n_reference, n_current, round(sum((a - c) * (a - c)), 6) AS mmd
+FROM n LEFT JOIN m USING (label) GROUP BY 1, 2, 3""")
+def kernel_discrepancy(t: Tables):
+    """Even against odd vectors of each label."""
+    out = lifecycle.kernel_discrepancy(t.embeddings, ["label"], "embedding", F.col("vec_id") % 2 == 0,
+                                       dim=64, features=8, scale=0.5)
+    return rounded(out, "mmd")
+
+
+@query("""SELECT label, round(quantile_cont(sqrt(list_sum(list_transform(embedding[17:],
+    lambda x: x::DOUBLE * x::DOUBLE))), 95e-2), 6) AS reconstruction_error, count(*) AS n
+  FROM embeddings GROUP BY 1""")
+def reconstruction_error(t: Tables):
+    """Projection on the first sixteen axes; fitted directions have no SQL form."""
+    out = lifecycle.reconstruction_quantile(t.embeddings, ["label"], "embedding", np.zeros(64),
+                                            np.eye(64)[:16])
+    return rounded(out, "reconstruction_error")

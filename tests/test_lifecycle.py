@@ -59,3 +59,40 @@ def test_quota_selection(spark):
     assert lifecycle.quota_selection(df, "i", "c", 0).count() == 0
     with pytest.raises(ValueError):
         lifecycle.quota_selection(df, "i", "c", 10, {"drift": 1.5})
+
+
+def test_kernel_discrepancy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [("same", i % 2 == 0, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 4)))]
+    rows += [("moved", i % 2 == 0, (v + 2 * (i % 2)).tolist()) for i, v in enumerate(rng.normal(size=(400, 4)))]
+    rows += [("one", True, [0.0] * 4), ("one", False, None), ("one", False, [1.0])]
+    df = spark.createDataFrame(rows, "k string, ref boolean, v array<double>")
+    got = {r.k: r for r in lifecycle.kernel_discrepancy(df, ["k"], "v", F.col("ref"), dim=4, scale=2.0).collect()}
+    x = {k: np.array([v for kk, _, v in rows if kk == k]) for k in ("same", "moved")}
+    for k, m in x.items():
+        a, b = m[::2], m[1::2]
+        kernel = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(2) / 8.0).mean()
+        want = kernel(a, a) + kernel(b, b) - 2 * kernel(a, b)
+        assert got[k].mmd == pytest.approx(want, abs=0.05 + 0.2 * want)
+    assert got["moved"].mmd > 10 * got["same"].mmd
+    assert got["one"].mmd is None and got["one"].n_reference == 1 and got["one"].n_current == 0
+
+
+def test_reconstruction(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    basis = np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    x = rng.normal(size=(500, 6)) * [9, 7, 5, 0.3, 0.2, 0.1] @ basis.T + 3
+    df = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)] + [(0, None), (1, [1.0])],
+                               "k int, v array<double>").repartition(4)
+    mean, parts = lifecycle.principal_components(df, "v", 6, 3)
+    np.testing.assert_allclose(mean, x.mean(axis=0))
+    np.testing.assert_allclose(parts @ parts.T, np.eye(3), atol=1e-9)
+    left = (x - mean) - (x - mean) @ parts.T @ parts
+    err = np.sqrt((left ** 2).sum(axis=1))
+    assert err.max() < 2
+    for r in lifecycle.reconstruction_quantile(df, ["k"], "v", mean, parts).collect():
+        assert r.reconstruction_error == pytest.approx(np.quantile(err[r.k::2], 0.95)) and r.n == 250
