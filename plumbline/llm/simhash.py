@@ -22,7 +22,7 @@ an empty result. Only id and text are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +37,7 @@ from plumbline.session import materialize
 
 BITS = 64
 _CHUNK = 1 << 15  # shingles whose bits are unpacked at once
+_LOT = 1 << 21  # shingles of the documents that a task compares exactly
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -133,10 +134,12 @@ def _bit_vector(flags: np.ndarray) -> int:
     return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
-def block_links(fps: np.ndarray, bins: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def block_links(fps: np.ndarray, bins: np.ndarray, radius: int,
+                confirm: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (as pairs of rows) that span the near fingerprints of each bin.
 
     ``fps`` has a fingerprint's bytes per row; ``bins`` numbers the bins from 0 in sorted order.
+    With ``confirm`` a near pair is a link only if that holds for its rows.
     """
     count = len(fps)
     bits = np.unpackbits(fps, axis=1, bitorder="little")
@@ -168,7 +171,7 @@ def block_links(fps: np.ndarray, bins: np.ndarray, radius: int) -> tuple[np.ndar
         found = lane_rows[np.flatnonzero(np.unpackbits(raw, bitorder="little")[:len(lane_rows)])]
         for i in found:
             a, b = root[i], root[i + shift]
-            if a != b:
+            if a != b and (confirm is None or confirm(i, i + shift)):
                 low, high = (a, b) if a < b else (b, a)
                 start, end = np.searchsorted(bins, [bins[i], bins[i] + 1])
                 own = root[start:end]
@@ -178,8 +181,12 @@ def block_links(fps: np.ndarray, bins: np.ndarray, radius: int) -> tuple[np.ndar
     return np.array(lefts, np.int64), np.array(rights, np.int64)
 
 
-def _compare(keys: list[str], radius: int, block: int, kind: pa.DataType):
-    """Streams rows sorted by ``keys`` and compares whole bins, as many as fill a block."""
+def _compare(keys: list[str], radius: int, block: int, kind: pa.DataType, name: str = "fp",
+             similarity: float | None = None):
+    """Streams rows sorted by ``keys`` and compares whole bins, as many as fill a block.
+
+    The links are pairs of ``name``. With ``similarity`` the rows' ``shingles`` decide on them.
+    """
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -195,12 +202,17 @@ def _compare(keys: list[str], radius: int, block: int, kind: pa.DataType):
                 raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8)
             else:
                 raw = fps.to_numpy().view(np.uint8)
-            left, right = block_links(raw.reshape(len(rows), -1), np.cumsum(numbers), radius)
-            return pa.record_batch({"a": fps.take(pa.array(left)), "b": fps.take(pa.array(right))})
+            confirm = None
+            if similarity is not None:
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+                confirm = lambda i, j: similar(sets[i], sets[j], similarity)
+            left, right = block_links(raw.reshape(len(rows), -1), np.cumsum(numbers), radius, confirm)
+            names = rows[name].combine_chunks()
+            return pa.record_batch({"a": names.take(pa.array(left)), "b": names.take(pa.array(right))})
 
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) >= block:
+            if sum(map(len, held)) >= block or sum(b.nbytes for b in held) >= 16 * _LOT:
                 rows = pa.Table.from_batches(held)
                 ends = edges(rows)
                 if len(ends):
@@ -258,6 +270,22 @@ def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    found = list(_shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity at least."""
+    small, large = (one, other) if len(one) <= len(other) else (other, one)
+    if not len(small) or len(small) / len(large) < similarity:
+        return len(small) == len(large)
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = np.count_nonzero(large[place] == small)
+    return common / (len(small) + len(large) - common) >= similarity
+
+
 def wide_sketch(text: str, shingle: int, words: int, pairs: int) -> tuple[bytes, list[int]]:
     """A fingerprint of ``words`` 64-bit words and ``pairs`` bin keys.
 
@@ -282,10 +310,24 @@ def wide_sketch(text: str, shingle: int, words: int, pairs: int) -> tuple[bytes,
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets with that Jaccard similarity, and one deviation."""
+    """Differing bits expected of two shingle sets with that Jaccard similarity, and six deviations.
+
+    Sets of four and five shingles differ by 19 % of the bits in place of 15 %; the margin is for them
+    too.
+    """
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
-    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
+
+
+def _in_lots(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows by ``keys`` and a pair of lots: of ``parts`` lots, lot i meets j under (low, high)."""
+    lot = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    return rows.withColumn("lot", lot).select(*keys, *columns, F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda j: F.struct(F.least("lot", j).alias("low"), F.greatest("lot", j).alias("high")))
+    ).alias("pair")).select(*keys, "pair.low", "pair.high", *columns).repartition(
+        *keys, "low", "high").sortWithinPartitions(*keys, "low", "high", "node")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -293,10 +335,12 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   block: int = 8192) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the smallest id stays.
 
-    Documents are compared by wide fingerprints over shingles of five words; the radius is that of
-    the similarity, and a fingerprint of 512 bits places the border within some 0.03. Bins beyond
-    a block are cut in blocks, and each pair of blocks is a bin of its own. Of rows that repeat id
-    and text one stays; a null id is larger than any other. All columns are kept.
+    Two documents are linked if the sets of their shingles' hashes have the similarity. Wide
+    fingerprints only choose which documents are compared: those within a radius that similar sets
+    exceed hardly ever are chained to clusters, and within a cluster sets are compared exactly, also
+    of documents that shared no bin. Bins and clusters beyond a block are cut in lots, and each pair
+    of lots is a bin of its own. Of rows that repeat id and text one stays; a null id is larger than
+    any other. All columns are kept.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).withColumn(
@@ -304,34 +348,55 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_sketch(t.as_py(), shingle, words, pairs) for t in batch["_text"]]
+            found = []
+            for t in batch["_text"]:
+                own = shingle_set(t.as_py(), shingle)
+                found.append((xxhash.xxh3_128_digest(own.tobytes()), len(own),
+                              *wide_sketch(t.as_py(), shingle, words, pairs)))
             yield pa.record_batch({"_id": batch["_id"], "_version": batch["_version"],
-                                   "fp": pa.array([f for f, _ in found], pa.binary()),
-                                   "keys": pa.array([k for _, k in found], pa.list_(pa.int64()))})
+                                   "node": pa.array([f[0] for f in found], pa.binary()),
+                                   "size": pa.array([f[1] for f in found], pa.int64()),
+                                   "fp": pa.array([f[2] for f in found], pa.binary()),
+                                   "keys": pa.array([f[3] for f in found], pa.list_(pa.int64()))})
 
     rows = materialize(spark, read.mapInArrow(
-        sketched, f"_id {dict(read.dtypes)['_id']}, _version long, fp binary, keys array<long>"),
-        "sketches")
-    bins = rows.groupBy("fp").agg(F.min("keys").alias("keys")).select(
-        "fp", F.posexplode("keys").alias("part", "key"))
-    sizes = bins.groupBy("part", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    parts = F.ceil(F.col("size") / block).cast("int")
-    lot = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # lot i meets lot j under the key (smaller, larger)
-    met = bins.join(sizes.withColumn("parts", parts), ["part", "key"]).withColumn("lot", lot).select(
-        "part", "key", "fp", F.explode(F.transform(
-            F.sequence(F.lit(0), F.col("parts") - 1),
-            lambda j: F.struct(F.least("lot", j).alias("low"), F.greatest("lot", j).alias("high")))
-        ).alias("pair")).select("part", "key", "pair.low", "pair.high", "fp")
-    keys = ["part", "key", "low", "high"]
-    links = met.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(
-        _compare(keys, radius_for(similarity, words * BITS), block, pa.binary()),
-        "a binary, b binary")
-    linked = components(links)
+        sketched, f"_id {dict(read.dtypes)['_id']}, _version long, node binary, size long, "
+        "fp binary, keys array<long>"), "sketches")  # a node is a digest of the set
+    bins = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys")).select(
+        "node", "fp", F.posexplode("keys").alias("part", "key"))
+    sizes = bins.groupBy("part", "key").agg(F.count("*").alias("rows")).filter("rows > 1").select(
+        "part", "key", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
+    radius = radius_for(similarity, words * BITS)
+    near = components(_in_lots(bins.join(sizes, ["part", "key"]), ["part", "key"], [
+        "node", "fp"]).mapInArrow(_compare(["part", "key", "low", "high"], radius, block,
+                                           pa.binary(), "node"), "a binary, b binary"))
+
     best = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_version"))
-    first = rows.groupBy("fp").agg(best.alias("best"))
-    staying = first.join(linked, first.fp == linked.node, "left").groupBy(
-        F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(
+    first = rows.groupBy("node").agg(best.alias("best"), F.min("fp").alias("fp"),
+                                     F.min("size").alias("size"))
+    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    members = materialize(spark, members.join(first, "node").select(
+        F.xxhash64("root").alias("cluster"), "node", "fp", "size", F.col("best._id").alias("_own"),
+        F.col("best._version").alias("_its")), "near-documents")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / _LOT, F.lit(1))).cast("int")
+    members = members.join(members.groupBy("cluster").agg(parts.alias("parts")), "cluster")
+    texts = read.join(members, read["_id"].eqNullSafe(members["_own"])
+                      & (read["_version"] == members["_its"])).select(
+        "cluster", "node", "fp", "parts", "_text").dropDuplicates(["node"])
+
+    def in_full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle).tobytes() for t in batch["_text"]]
+            yield pa.record_batch({c: batch[c] for c in ("cluster", "node", "fp", "parts")} | {
+                "shingles": pa.array(found, pa.binary())})
+
+    sets = texts.mapInArrow(
+        in_full, "cluster long, node binary, fp binary, parts int, shingles binary")
+    linked = components(_in_lots(sets, ["cluster"], ["node", "fp", "shingles"]).mapInArrow(
+        _compare(["cluster", "low", "high"], radius, block, pa.binary(), "node", similarity),
+        "a binary, b binary"))
+    staying = first.join(linked, "node", "left").groupBy(
+        F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(
             "best._id", "best._version")
     staying = materialize(spark, staying, "staying")
     marked = docs.withColumn("_version_", F.xxhash64(whole(text_col)))

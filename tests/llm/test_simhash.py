@@ -133,3 +133,25 @@ def test_one_per_group(spark, block):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [6 * f for f in range(25)]
     assert len(got) == 26  # texts without words are one group
     assert one_per_group(docs.limit(0)).count() == 0
+
+
+def test_one_per_group_has_its_border_at_the_similarity(spark):
+    rows, want = [], []
+
+    def add(words, stays):
+        if stays:
+            want.append(len(rows))
+        rows.append((len(rows), " ".join(words)))
+
+    for pair in range(40):
+        for common, own, apart in ((400, 50, False), (399, 51, True), (4, 0, False)):
+            shared = [f"c{pair}-{common}-{x}" for x in range(common)]
+            sides = [[f"{side}{pair}-{common}-{x}" for x in range(own)] for side in "ab"]
+            add(shared + sides[0], True)
+            add(shared + (sides[1] or ["e"]), apart)  # 400 of 500, 399 of 501, 4 of 5
+    for member in range(60):  # a template: 360 of 480 between any two
+        add([f"t{x}" for x in range(360)] + [f"m{member}-{x}" for x in range(60)], True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (8192, 16):
+        got = one_per_group(docs, shingle=1, similarity=0.8, block=block)
+        assert sorted(r.doc_id for r in got.collect()) == want
