@@ -18,6 +18,11 @@ with ``_mix`` and an input column of such a name is refused.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,19 @@ def temperature_weights(sizes: DataFrame, exponent: float) -> DataFrame:
         F.col("size").cast("double"), F.lit(exponent))).otherwise(0.0))
 
 
+def poisson_steps(rate: float) -> np.ndarray:
+    """Cumulated probabilities of 0, 1, 2, ..., beyond which the tail is below a double's precision.
+
+    Probabilities are built outward from the most likely count, as multiples of its own, and
+    normalised at the end: exp(-rate) is no double for rates above 745.
+    """
+    mode, last = int(rate), int(rate + 12 * math.sqrt(rate) + 40)
+    above = np.cumprod(rate / np.arange(mode + 1, last + 1))
+    below = np.cumprod(np.arange(mode, 0, -1) / rate) if mode else np.empty(0)
+    steps = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return steps / steps[-1]
+
+
 def repetition_rates(sizes: DataFrame, target_size: float | None = None) -> DataFrame:
     """``source``, ``rate`` and the Poisson distribution's ``steps`` from ``size`` and ``weight``.
 
@@ -49,14 +67,15 @@ def repetition_rates(sizes: DataFrame, target_size: float | None = None) -> Data
     weights, size = float(total["_w"] or 0), target_size or float(total["_s"] or 0)
     rate = F.when((F.col("size") > 0) & F.lit(weights > 0),
                   F.col("weight") / F.lit(weights or 1.0) * F.lit(size) / F.col("size")).otherwise(0.0)
-    # long enough for the tail beyond a double's precision
-    length = (F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
-    steps = F.expr("""transform(aggregate(sequence(1, _length),
-        array(named_struct('p', exp(-rate), 'c', exp(-rate))),
-        (a, k) -> array_append(a, named_struct('p', element_at(a, -1).p * rate / k,
-          'c', element_at(a, -1).c + element_at(a, -1).p * rate / k))), x -> x.c)""")
-    return sizes.withColumn("rate", rate).withColumn("_length", length).withColumn(
-        "steps", steps).select("source", "rate", "steps")
+    rated = sizes.select("source", rate.alias("rate"))
+
+    def stepped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = pa.array([poisson_steps(r.as_py()) for r in batch["rate"]], pa.list_(pa.float64()))
+            yield pa.record_batch({"source": batch["source"], "rate": batch["rate"], "steps": steps})
+
+    return rated.mapInArrow(
+        stepped, f"source {dict(rated.dtypes)['source']}, rate double, steps array<double>")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

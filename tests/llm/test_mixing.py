@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from plumbline.llm.mixing import mix_sources
+from plumbline.llm.mixing import mix_sources, poisson_steps
 
 
 def unit(text):
@@ -63,3 +63,20 @@ def test_edges(spark):
     assert mix_sources(same).count() % 3 == 0
     with pytest.raises(ValueError):
         mix_sources(docs.withColumn("_mix_u", docs.doc_id))
+
+
+def test_rates_beyond_the_range_of_exp(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "'x' AS text", "'s' AS source")
+    counts = [r.n for r in mix_sources(docs, target_size=400 * 1200.0).groupBy("doc_id").count()
+              .withColumnRenamed("count", "n").collect()]
+    assert len(counts) == 400
+    mean = sum(counts) / 400
+    assert mean == pytest.approx(1200, abs=4 * math.sqrt(1200 / 400))
+    assert sum((c - mean) ** 2 for c in counts) / 399 == pytest.approx(1200, rel=0.3)
+    for rate in (0.0, 0.3, 1.0, 7.5, 700.0, 745.0, 3000.5, 60_000.0):
+        steps = poisson_steps(rate)
+        chance = [b - a for a, b in zip([0.0, *steps], steps)]
+        middle = sum(k * p for k, p in enumerate(chance))
+        assert middle == pytest.approx(rate, rel=1e-9, abs=1e-9)
+        assert sum((k - middle) ** 2 * p for k, p in enumerate(chance)) == pytest.approx(
+            rate, rel=1e-6, abs=1e-9)
