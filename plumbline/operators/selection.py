@@ -6,9 +6,9 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,25 +138,99 @@ def hash_group(item: Column, groups: int) -> Column:
     return (head % groups).cast("int")
 
 
+def _grouped_directions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            units = _scaled(_matrix(batch["vector"]))
+            yield pa.record_batch({
+                "_g": batch["_g"], "item": batch["item"],
+                "unit": pa.array(list(units), pa.list_(pa.float64())),
+                "gap": pa.array(np.full(len(units), np.inf)),
+                "open": pa.array(np.ones(len(units), bool))})
+
+
+def _closer_in_groups(new: dict[int, tuple[list, np.ndarray]]):
+    """Lower the stored gaps by the new picks of each row's group and close the picked rows."""
+    def lower(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                units, group = _matrix(batch["unit"]), batch["_g"].to_numpy()
+                gaps = batch["gap"].to_numpy().copy()
+                free = batch["open"].to_numpy(zero_copy_only=False).copy()
+                for g, (items, picks) in new.items():
+                    own = np.flatnonzero(group == g)
+                    gaps[own] = np.minimum(gaps[own], _squared_gap(units[own], picks))
+                    free[own] &= ~pc.is_in(batch["item"].take(pa.array(own)), pa.array(
+                        items, batch["item"].type)).to_numpy(zero_copy_only=False)
+                yield pa.record_batch({"_g": batch["_g"], "item": batch["item"],
+                                       "unit": batch["unit"], "gap": pa.array(gaps),
+                                       "open": pa.array(free)})
+    return lower
+
+
+def _spread_out_in_groups(rows: DataFrame, share: int, pool: int) -> list:
+    """Items of the greedy choice of ``share`` rows in every group ``_g`` of item and vector.
+
+    As in ``diverse_top_k`` a pass over the stored gaps returns only the ``pool`` farthest rows of a
+    group, found by a ranking that tasks cut to ``pool`` before rows meet, and serves all groups.
+    """
+    spark = rows.sparkSession
+    columns = f"_g int, item {dict(rows.dtypes)['item']}, unit array<double>, gap double, open boolean"
+    state = materialize(spark, rows.mapInArrow(_grouped_directions, columns), "thinned")
+
+    def farthest(order: Column, most: int) -> dict[int, list]:
+        rank = F.row_number().over(Window.partitionBy("_g").orderBy(order.desc(), "item"))
+        out: dict[int, list] = {}
+        for r in state.where("open").withColumn("rank", rank).where(
+                F.col("rank") <= most).orderBy("_g", "rank").collect():
+            out.setdefault(r["_g"], []).append(r)
+        return out
+
+    new = {g: ([r[0]["item"]], np.array([r[0]["unit"]]))
+           for g, r in farthest(F.get("unit", F.lit(0)), 1).items()}
+    chosen = {g: list(items) for g, (items, _) in new.items()}
+    while new:
+        if all(len(chosen[g]) >= share for g in chosen):
+            break
+        state = materialize(spark, state.mapInArrow(_closer_in_groups(new), columns), "thinned")
+        new = {}
+        for g, far in farthest(F.col("gap"), pool + 1).items():
+            outside = far[pool]["gap"] if len(far) > pool else -np.inf
+            choice = _Choice([r["item"] for r in far[:pool]], np.array([r["unit"] for r in far[:pool]]),
+                             np.array([r["gap"] for r in far[:pool]]))
+            picks = []
+            while len(chosen[g]) < share and choice.open.any():
+                best = choice.farthest()
+                if picks and choice.gaps[best] <= outside:
+                    break
+                choice.take(best)
+                chosen[g].append(choice.ids[best])
+                picks.append(best)
+            if picks:
+                new[g] = [choice.ids[i] for i in picks], choice.units[picks]
+    return [item for items in chosen.values() for item in items]
+
+
 def thin_bank(df: DataFrame, item: str, vector: str, keep: int, groups: int,
-              oversample: int = 2) -> DataFrame:
+              oversample: int = 2, pool: int = 256) -> DataFrame:
     """A diverse core-set of ``keep`` vectors: greedy in groups, then greedy on their union.
 
-    Items are spread over ``groups`` groups by a hash of their id; choose enough groups for one to
-    fit a task. Every group keeps its own ``oversample * keep / groups`` picks, and the final
-    choice is made among those. The result depends on the arguments and the ids only.
+    Items are spread over ``groups`` groups by a hash of their id. Every group keeps its own
+    ``oversample * keep / groups`` picks, and the final choice is made among those. A group may be
+    of any size, as its rows stay in Spark; the driver holds the picks and ``pool`` vectors a group.
+    The result depends on the arguments and the ids only.
     """
     if min(keep, groups, oversample) < 1:
         raise ValueError("keep, groups and oversample must be at least 1")
+    spark = df.sparkSession
     share = math.ceil(oversample * keep / groups)
-    rows = df.select(item, vector, hash_group(F.col(item), groups).alias("_g"))
-    schema = T.StructType([df.schema[item], df.schema[vector]])
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        picks = spread_out(pdf[item].tolist(), np.stack(pdf[vector].to_numpy()).astype(float), share)
-        return pdf.iloc[picks][[item, vector]]
-
-    union = materialize(df.sparkSession, rows.groupBy("_g").applyInPandas(pick, schema), "core-set")
+    rows = df.select(hash_group(F.col(item), groups).alias("_g"), F.col(item).alias("item"),
+                     F.col(vector).alias("vector")).where("item is not null")
+    picks = spark.createDataFrame([(i,) for i in _spread_out_in_groups(rows, share, pool)],
+                                  T.StructType([df.schema[item]]))
+    # `share` picks of each group at most
+    union = materialize(spark, df.select(item, vector).join(F.broadcast(picks), item, "left_semi"),
+                        "core-set")
     final = diverse_top_k(union, item, vector, keep)
     return union.join(F.broadcast(final.select(item)), item, "left_semi")  # `keep` rows at most
 

@@ -71,6 +71,29 @@ def test_thin_bank_is_greedy_on_the_union_of_groups(spark):
     assert thin.select("i").exceptAll(again.select("i")).count() == 0
 
 
+@pytest.mark.parametrize("pool", [1, 3, 256])
+def test_thin_bank_holds_no_group_in_a_task(spark, monkeypatch, pool):
+    x = np.random.default_rng(5).normal(size=(90, 6)).astype("float32")
+    x[40:70] = x[40]
+    df = vectors(spark, x)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a group becomes one frame")
+
+    for name in ("applyInPandas", "applyInArrow"):
+        monkeypatch.setattr(type(df.groupBy("i")), name, refuse)
+    group = {r.i: r.g for r in df.select("i", selection.hash_group(F.col("i"), 2).alias("g")).collect()}
+    union = []
+    for g in range(2):
+        own = [i for i in range(90) if group[i] == g]
+        union += [own[j] for j in greedy(x[own], 8)]
+    union.sort()
+    thin = selection.thin_bank(df, "i", "v", keep=8, groups=2, pool=pool)
+    assert thin.dtypes == df.dtypes
+    assert sorted(r.i for r in thin.collect()) == sorted(union[j] for j in greedy(x[union], 8))
+    assert selection.thin_bank(df, "i", "v", keep=90, groups=2, pool=pool).count() == 90
+
+
 def test_knn_equals_brute_force_for_any_block(spark):
     rng = np.random.default_rng(3)
     for shift in (0.0, 1e6):
