@@ -2,14 +2,17 @@
 
 Each round counts the neighbouring pairs of the sequence, makes nonterminals of the most frequent
 ones and replaces their occurrences from left to right; the next round sees the shorter sequence.
+Rounds with hashed counters come first. When one gains little, rounds with exact counts follow until
+no pair is left that occurs ``least`` times.
 The end mark of a document is in no pair, so documents begin and end at symbol borders. A shard
 stores its rules, the length of every rule's expansion, and where each document begins among
 symbols and among tokens; so a document, or a range of its tokens, is decoded by itself.
 
 Layout, little-endian: ``MAGIC``; 9 unsigned 64-bit counts (terminals, end id, rounds, rules,
-documents, symbols, bytes per symbol, null ids, 0); then rules per round, left and right symbols
+documents, symbols, bits per symbol, null ids, 0); then rules per round, left and right symbols
 and expansion lengths of rules (unsigned 32-bit), document ids (signed 64-bit), positions of null
-ids, document starts among symbols and tokens (unsigned 64-bit, one more than documents), symbols.
+ids, document starts among symbols and tokens (unsigned 64-bit, one more than documents), symbols (the low
+16 bits of each, then a bit vector for every further bit).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"REPAIR01"
+MAGIC = b"REPAIR02"
 _HEAD = "<8s9Q"
 _BUCKETS = 18  # log2 of the pair counters of a round
 
@@ -50,7 +53,13 @@ def replace_pairs(seq: np.ndarray, end: int, free: int, most: int, least: int):
     exact = np.bincount(here, minlength=1 << _BUCKETS)
     chosen = np.flatnonzero(exact >= least)
     chosen = chosen[np.lexsort((owner[chosen], -exact[chosen]))][:most]
-    symbol = np.zeros(1 << _BUCKETS, np.int64)
+    return _replaced(seq, at, here, chosen, owner, free)
+
+
+def _replaced(seq: np.ndarray, at: np.ndarray, here: np.ndarray, chosen: np.ndarray,
+              pairs: np.ndarray, free: int):
+    """The sequence with the ``chosen`` of ``pairs`` replaced at ``at``, and their rules."""
+    symbol = np.zeros(len(pairs), np.int64)
     symbol[chosen] = free + np.arange(len(chosen))
     used = symbol[here] > 0
     at, here = at[used], here[used]
@@ -58,11 +67,48 @@ def replace_pairs(seq: np.ndarray, end: int, free: int, most: int, least: int):
     out[at] = symbol[here]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
-    rules = owner[chosen]
+    rules = pairs[chosen]
     return out[keep], np.column_stack([rules & np.uint64(0xFFFFFFFF), rules >> np.uint64(32)]).astype(
         np.uint32)
 
 
+def replace_exactly(seq: np.ndarray, end: int, free: int, most: int, least: int):
+    """A round that makes no rule only if no pair occurs ``least`` times without overlap.
+
+    Pairs are taken by frequency unless their occurrences could share a symbol with those of one
+    taken before: a symbol stands either left or right in the pairs of a round.
+    """
+    pair = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))
+    bucket = pair * np.uint64(0x9E3779B97F4A7C15)
+    bucket >>= np.uint64(64 - _BUCKETS)
+    bucket = bucket.view(np.int64)
+    at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= least)[bucket])
+    at = at[(seq[at] != end) & (seq[at + 1] != end)]
+    pairs, here = np.unique(pair[at], return_inverse=True)
+    # occurrences overlap only in a run of one symbol, of which every other one counts
+    opens = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(here, prepend=-1) != 0))
+    run = np.repeat(opens, np.diff(opens, append=len(at)))
+    apart = (np.arange(len(at)) - run) % 2 == 0
+    at, here = at[apart], here[apart]
+    counts = np.bincount(here, minlength=len(pairs))
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    chosen, side = [], {}
+    for i, pair_of in zip(often.tolist(), pairs[often].tolist()):
+        left, right = pair_of & 0xFFFFFFFF, pair_of >> 32
+        own = ("both", "both") if left == right else ("left", "right")
+        if left == right and left in side:
+            continue
+        if side.get(left, own[0]) == own[0] and side.get(right, own[1]) == own[1]:
+            side[left], side[right] = own
+            chosen.append(i)
+            if len(chosen) == most:
+                break
+    if not chosen:
+        return seq, np.empty((0, 2), np.uint32)
+    return _replaced(seq, at, here, np.array(chosen), pairs, free)
+
+
 def gather(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
            flat: np.ndarray) -> np.ndarray:
     """The expansions of ``symbols`` one after another."""
@@ -73,32 +119,37 @@ def gather(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def encode_shard(ids: list[int | None], seq: np.ndarray, terminals: int, end_id: int, *,
-                 rounds: int = 4, most: int = 4000, least: int = 6) -> bytes:
+                 rounds: int | None = None, most: int = 4000, least: int = 6) -> bytes:
     """A shard from its documents' ids and their tokens.
 
     ``seq`` has every document's tokens followed by the mark ``terminals``, which decodes to
-    ``end_id``; tokens are below ``terminals``.
+    ``end_id``; tokens are below ``terminals``. Without ``rounds`` no pair is left that occurs
+    ``least`` times.
     """
     seq = np.ascontiguousarray(seq, "<i4")
     tokens = np.concatenate([[0], np.flatnonzero(seq == terminals) + 1]).astype(np.uint64)
-    per_round, rules, free = [], [], terminals + 1
-    while len(per_round) < rounds and len(seq) > 1:
-        shorter, made = replace_pairs(seq, terminals, free, most, least)
-        if len(seq) - len(shorter) < len(seq) / 50:
+    per_round, rules, free, replace = [], [], terminals + 1, replace_pairs
+    while (rounds is None or len(per_round) < rounds) and len(seq) > 1:
+        shorter, made = replace(seq, terminals, free, most, least)
+        if replace is replace_pairs and len(seq) - len(shorter) < len(seq) / 50:
+            replace = replace_exactly
+            continue
+        if not len(made):
             break
         seq, free = shorter, free + len(made)
         per_round.append(len(made))
         rules.append(made)
     rules = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     lengths = _tables(terminals, end_id, rules, per_round)[1][terminals + 1:].astype(np.uint32)
-    width = 2 if free <= 1 << 16 else 4
+    width = max(16, (free - 1).bit_length())
     nulls = np.array([i for i, x in enumerate(ids) if x is None], np.uint64)
     starts = np.concatenate([[0], np.flatnonzero(seq == terminals) + 1]).astype(np.uint64)
     head = struct.pack(_HEAD, MAGIC, terminals, end_id, len(per_round), len(rules), len(ids), len(seq), width,
                       len(nulls), 0)
     parts = [np.array(per_round, "<u4"), rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"),
              lengths.astype("<u4"), np.array([x or 0 for x in ids], "<i8"), nulls.astype("<u8"),
-             starts.astype("<u8"), tokens.astype("<u8"), seq.astype(f"<u{width}")]
+             starts.astype("<u8"), tokens.astype("<u8"), (seq & 0xFFFF).astype("<u2"),
+             *[np.packbits(seq >> bit & 1, bitorder="little") for bit in range(16, width)]]
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -143,7 +194,10 @@ class Shard:
         self.ids = [None if i in null else x for i, x in enumerate(ids.tolist())]
         self.symbol_starts = take("<u8", self.documents + 1).astype(np.int64)
         self.token_starts = take("<u8", self.documents + 1).astype(np.int64)
-        self.symbols = take(f"<u{width}", symbols)
+        self.symbols = take("<u2", symbols).astype(np.uint32)
+        for bit in range(16, width):
+            self.symbols |= np.unpackbits(take("u1", (symbols + 7) // 8), count=symbols,
+                                          bitorder="little").astype(np.uint32) << np.uint32(bit)
         self._starts, self._lengths, self._flat = _tables(
             self.terminals, self.end_id, np.column_stack([left, right]), per_round)
 

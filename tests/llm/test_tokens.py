@@ -56,6 +56,30 @@ def test_frequent_pairs_are_replaced():
     assert len(shard.symbols) < len(seq) / 8 and shard.rule_lengths.max() >= 8
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=80), max_size=8), st.integers(2, 6))
+def test_no_frequent_pair_is_left(documents, least):
+    seq = np.array([t for d in documents for t in [*d, 4]], np.int32)
+    shard = Shard(encode_shard(list(range(len(documents))), seq, 4, 2, most=3, least=least))
+    assert shard.all_tokens().tolist() == np.where(seq == 4, 2, seq).tolist()
+    left, last, counts = shard.symbols.tolist(), None, {}
+    for i, pair in enumerate(zip(left, left[1:])):
+        if 4 in pair or last == (i - 1, pair):  # of a run every other one counts
+            last = None
+            continue
+        counts[pair], last = counts.get(pair, 0) + 1, (i, pair)
+    assert max(counts.values(), default=0) < least
+
+
+def test_long_copies_become_single_symbols():
+    passage = np.random.default_rng(1).integers(0, 1000, 1000)
+    seq = np.append(np.tile(np.append(passage, 1000), 64), np.arange(5)).astype(np.int32)
+    seq = np.append(seq, 1000).astype(np.int32)
+    shard = Shard(encode_shard(list(range(65)), seq, 1000, 2))
+    assert len(shard.symbols) <= 64 * 2 + 6 and shard.rule_lengths.max() == 1000
+    assert shard.tokens(63).tolist() == [*passage.tolist(), 2]
+
+
 @pytest.mark.parametrize("tokens", [3, 1 << 20])
 def test_index(spark, monkeypatch, tokens):
     monkeypatch.setattr(token_files.write_token_files, "__kwdefaults__", {"shard_tokens": tokens})
