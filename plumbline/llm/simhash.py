@@ -286,25 +286,22 @@ def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
     return common / (len(small) + len(large) - common) >= similarity
 
 
-def wide_sketch(text: str, shingle: int, words: int, pairs: int) -> tuple[bytes, list[int]]:
-    """A fingerprint of ``words`` 64-bit words and ``pairs`` bin keys.
+def wide_sketch(shingles: np.ndarray, words: int, pairs: int) -> tuple[bytes, list[int]]:
+    """A fingerprint of ``words`` 64-bit words and ``pairs`` bin keys of a shingle set.
 
     A bin key hashes two shingles with the smallest hashes, so documents meet in a bin with the
     square of their shingle sets' similarity, and in one of many bins almost surely.
     """
-    ones, count = np.zeros(words * BITS, np.int64), 0
+    ones = np.zeros(words * BITS, np.int64)
     least = np.full(2 * pairs, np.iinfo(np.uint64).max, np.uint64)
-    for hashes in _shingle_hashes(text, shingle):
-        hashes = np.unique(hashes)  # similarity is that of sets
-        for begin in range(0, len(hashes), 4096):
-            some = hashes[begin:begin + 4096]
-            count += len(some)
-            wide = np.column_stack([_mixed(some, k) for k in range(words)])
-            bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int32)
-            for k in range(2 * pairs):
-                least[k] = min(least[k], _mixed(some, words + k).min())
-    major = np.packbits((ones * 2 > count).astype(np.uint8), bitorder="little").tobytes()
+    for begin in range(0, len(shingles), 4096):
+        some = shingles[begin:begin + 4096]
+        wide = np.column_stack([_mixed(some, k) for k in range(words)])
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+        for k in range(2 * pairs):
+            least[k] = min(least[k], _mixed(some, words + k).min())
+    major = np.packbits((ones * 2 > len(shingles)).astype(np.uint8), bitorder="little").tobytes()
     keys = _mixed(least[::2] ^ (least[1::2] >> np.uint64(1)), 99)
     return major, keys.view(np.int64).tolist()
 
@@ -352,7 +349,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for t in batch["_text"]:
                 own = shingle_set(t.as_py(), shingle)
                 found.append((xxhash.xxh3_128_digest(own.tobytes()), len(own),
-                              *wide_sketch(t.as_py(), shingle, words, pairs)))
+                              *wide_sketch(own, words, pairs)))
             yield pa.record_batch({"_id": batch["_id"], "_version": batch["_version"],
                                    "node": pa.array([f[0] for f in found], pa.binary()),
                                    "size": pa.array([f[1] for f in found], pa.int64()),

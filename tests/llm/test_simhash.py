@@ -8,7 +8,7 @@ import xxhash
 
 from plumbline.llm.components import components
 from plumbline.llm.simhash import (block_links, fingerprint, fingerprint_links, near_duplicates,
-                                   one_per_group)
+                                   one_per_group, shingle_set, wide_sketch)
 
 
 def brute_fingerprint(text, n):
@@ -155,3 +155,20 @@ def test_one_per_group_has_its_border_at_the_similarity(spark):
     for block in (8192, 16):
         got = one_per_group(docs, shingle=1, similarity=0.8, block=block)
         assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_repeated_passages_vote_once():
+    words = [f"w{x}" for x in range(40_000)]
+    often = words[:3000] * 30
+    sketches = [wide_sketch(shingle_set(" ".join(text), 1), 8, 12)
+                for text in (words, words + often, often + words, words[::-1] + often)]
+    assert len(shingle_set(" ".join(words + often), 1)) == 40_000
+    assert all(s == sketches[0] for s in sketches)
+
+
+def test_long_texts_with_repeated_passages_are_one_group(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.permutation(34_000)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + words[:1500] * 660))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in one_per_group(docs).collect()] == [0]
