@@ -181,7 +181,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     cuts = shard_cuts(pages.select(F.col(id_col).cast("long").alias("_id")), shards)
     rows = plan_records(pages, id_col, url_col, html_col, min_bytes).withColumn(
         "_shard", shard_of(F.col("_id"), cuts))
-    ordered = rows.repartitionByRange(len(cuts) + 1, "_shard").sortWithinPartitions(
+    ordered = rows.repartitionById(len(cuts) + 1, "_shard").sortWithinPartitions(
         "_shard", "_id", "_kind", "_digest", "_url", "_html")
     files = ordered.mapInArrow(_write(folder, min_bytes, file_bytes, date, level), _FILES)
     files.write.parquet(f"{folder}/manifest")
@@ -189,19 +189,19 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of an archive."""
-    data = gzip.decompress(content)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "")
-                    for line in lines[1:])
-        start = end + 4
-        at = start + int(head["Content-Length"]) + 4
-        yield head, data[start:at - 4]
+    """Headers and block of every record of an archive, unpacked as it is read."""
+    with io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 17) as stream:
+        while first := stream.readline():
+            if not first.startswith(b"WARC/"):
+                raise ValueError("not a WARC record")
+            head = {}
+            while line := stream.readline().rstrip(b"\r\n"):
+                name, _, value = line.decode().partition(":")
+                head[name] = value[1:]
+            block = stream.read(int(head["Content-Length"]))
+            if stream.read(4) != b"\r\n\r\n":
+                raise ValueError("a WARC record is cut short")
+            yield head, block
 
 
 def _number(text: str) -> int | None:

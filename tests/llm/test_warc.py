@@ -5,8 +5,11 @@ import gzip
 import hashlib
 import os
 
-from plumbline.llm.warc import (archive_round_trip, parse_records, read_warc, shard_cuts, shard_of,
-                                write_warc)
+import pytest
+
+from plumbline.llm.warc import (_record, archive_round_trip, parse_records, read_warc, shard_cuts,
+                                shard_of, write_warc)
+from plumbline.session import scratch_path
 from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, html string, _kind string"
@@ -75,6 +78,39 @@ def test_files_do_not_depend_on_the_partitioning(spark, tmp_path):
     assert found[0] == found[1]
 
 
+def test_reading_is_linear_in_the_records():
+    """An archive of many members is unpacked once, not once for every member."""
+    import time
+
+    def seconds(n):
+        body = os.urandom(600).hex()
+        content = b"".join(gzip.compress(_record("response", i, "u", f"{i}{body}".encode(), "d", None,
+                                                 "2020"), 1, mtime=0) for i in range(n))
+        begin = time.process_time()
+        assert [int(h["X-Page-Id"]) for h, _ in parse_records(content)] == list(range(n))
+        return time.process_time() - begin
+
+    few, many = min(seconds(2_000) for _ in range(3)), seconds(20_000)
+    assert many < 30 * few
+
+
+def test_damaged_archives_are_refused():
+    record = gzip.compress(_record("response", 1, "u", b"x" * 500, "d", None, "2020"))
+    assert len(list(parse_records(record * 3))) == 3
+    for content in (record + record[:-30], gzip.compress(b"HTTP/1.1 200\r\n\r\n"),
+                    gzip.compress(gzip.decompress(record)[:-4])):
+        with pytest.raises((ValueError, EOFError)):
+            list(parse_records(content))
+
+
+def test_every_shard_is_a_partition(spark):
+    rows = [(i, f"u{i}", f"{i}" * 50) for i in range(400)]
+    manifest = write_warc(pages(spark, rows), scratch_path(spark, "shards"), shard_bytes=5_000)
+    shards = manifest.count()
+    assert shards > 4
+    assert len(manifest.inputFiles()) == shards  # a task wrote one shard only
+
+
 def test_cuts(spark):
     ids = spark.range(1000).select(F.col("id").alias("_id"))
     cuts = shard_cuts(ids, 7)
