@@ -4,20 +4,54 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm.neighbours import encode, nearest, rotation
+from plumbline.llm.neighbours import (_lanes_in_reach, build_index, decode, encode, nearest,
+                                       plan_lanes, rotation, usable_vectors)
 
 
-def test_estimates_are_within_the_bound():
+@pytest.mark.parametrize("steps", [1, 3])
+def test_estimates_are_within_the_bound(steps):
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(3000, 64)) * 3, rng.normal(size=(20, 64))
-    turn = rotation(64, 5)
-    np.testing.assert_allclose(turn @ turn.T, np.eye(64), atol=1e-12)
-    codes, scale, bound = encode(x, turn, 3.0)
-    assert codes.shape == (3000, 8)
-    signs = np.unpackbits(codes, axis=1, bitorder="little") * 2.0 - 1
-    guess = signs @ (q @ turn.T).T * scale[:, None]
-    miss = np.abs(guess - x @ q.T) / np.linalg.norm(q, axis=1)
+    turns = [rotation(64, 5 + i) for i in range(steps)]
+    np.testing.assert_allclose(turns[0] @ turns[0].T, np.eye(64), atol=1e-12)
+    codes, scales, bound = encode(x, turns, 3.0)
+    assert codes.shape == (3000, 8 * steps) and scales.shape == (3000, steps)
+    miss = np.abs(decode(codes, scales, turns) @ q.T - x @ q.T) / np.linalg.norm(q, axis=1)
     assert (miss <= bound[:, None]).mean() > 0.995 and miss.std() > bound.mean() / 20
+    assert abs((decode(codes, scales, turns) @ q.T - x @ q.T).mean()) < miss.std() / 5
+    still = encode(np.zeros((2, 64)), turns, 3.0)
+    assert not still[1].any() and not still[2].any()
+
+
+def test_lanes_hold_all_cells():
+    plan = plan_lanes(np.array([5, 0, 7, 100, 3, 8, 1]), 10)
+    assert [c for c, _, _ in plan] == list(range(7))
+    assert plan[3] == (3, 2, 10) and plan[0][1] == plan[1][1] == 0 and plan[2][1] == 1
+    assert plan[4][1] == 12 and plan[5][1] == 13 and plan[6][1] == 13
+
+
+def test_clustered_queries_meet_few_lanes(spark):
+    """Cells out of reach are never met, and the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    means = np.eye(32)[:16] * 10
+    x = np.repeat(means, 250, axis=0) + rng.normal(size=(4000, 32)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>")
+    index = build_index(df, "vec_id", "embedding", cell_rows=100)
+    lanes = {32: plan_lanes(index.counts[32], 250)}
+    parts = max(a + n for _, a, n in lanes[32])
+    queries = usable_vectors(df.filter("vec_id % 20 = 0"), "vec_id", "embedding").select(
+        F.lit(32).alias("dim"), "_id", "_v", F.lit(60.0).alias("bound"))
+    asked = queries.mapInArrow(_lanes_in_reach(index, lanes, False),
+                               "dim int, lane int, _id long, _v array<double>, bound double").count()
+    assert parts >= 16 and asked < 200 * parts / 4
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0, cell_rows=100, lane_rows=250).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in range(0, 4000, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert len(got[i] & set(np.argsort(-s)[:20].tolist())) >= 19
 
 
 @pytest.mark.parametrize("dim,sets,lanes", [(64, 4096, 8192), (7, 5, 60), (1, 4096, 8192)])
