@@ -9,22 +9,26 @@ stores its rules, the length of every rule's expansion, and where each document
 symbols and among tokens; so a document, or a range of its tokens, is decoded by itself.
 
 Layout, little-endian: ``MAGIC``; 9 unsigned 64-bit counts (terminals, end id, rounds, rules,
-documents, symbols, bits per symbol, null ids, 0); then rules per round, left and right symbols
-and expansion lengths of rules (unsigned 32-bit), document ids (signed 64-bit), positions of null
-ids, document starts among symbols and tokens (unsigned 64-bit, one more than documents), symbols (the low
-16 bits of each, then a bit vector for every further bit).
+documents, symbols, bits per symbol, null ids, bytes per expansion length); then rules per round
+(unsigned 32-bit), left and right symbols of rules, their expansion lengths, document ids (signed
+64-bit), positions of null ids, document starts among symbols and tokens (unsigned 64-bit, one more
+than documents), symbols. Symbols, those of rules too, are stored as the low 16 bits of each, then a
+bit vector for every further bit. A rule so takes five to eight bytes and a pair that occurs
+``least`` = 6 times saves at least twelve.
 """
 
 from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
-MAGIC = b"REPAIR02"
+MAGIC = b"REPAIR03"
 _HEAD = "<8s9Q"
 _BUCKETS = 18  # log2 of the pair counters of a round
+_LITTLE = 50  # a round with hashed counters has to shorten the sequence by this share
 
 
 def replace_pairs(seq: np.ndarray, end: int, free: int, most: int, least: int):
@@ -72,30 +76,17 @@ def _replaced(seq: np.ndarray, at: np.ndarray, here: np.ndarray, chosen: np.ndar
         np.uint32)
 
 
-def replace_exactly(seq: np.ndarray, end: int, free: int, most: int, least: int):
-    """A round that makes no rule only if no pair occurs ``least`` times without overlap.
+def _choose(pairs: np.ndarray, counts: np.ndarray, most: int, least: int) -> list[int]:
+    """The pairs of a round, by frequency, and of equal ones the smaller first.
 
-    Pairs are taken by frequency unless their occurrences could share a symbol with those of one
-    taken before: a symbol stands either left or right in the pairs of a round.
+    A pair waits if its occurrences could share a symbol with those of one taken before: a symbol
+    stands either left or right in the pairs of a round.
     """
-    pair = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))
-    bucket = pair * np.uint64(0x9E3779B97F4A7C15)
-    bucket >>= np.uint64(64 - _BUCKETS)
-    bucket = bucket.view(np.int64)
-    at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= least)[bucket])
-    at = at[(seq[at] != end) & (seq[at + 1] != end)]
-    pairs, here = np.unique(pair[at], return_inverse=True)
-    # occurrences overlap only in a run of one symbol, of which every other one counts
-    opens = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(here, prepend=-1) != 0))
-    run = np.repeat(opens, np.diff(opens, append=len(at)))
-    apart = (np.arange(len(at)) - run) % 2 == 0
-    at, here = at[apart], here[apart]
-    counts = np.bincount(here, minlength=len(pairs))
     often = np.flatnonzero(counts >= least)
     often = often[np.argsort(-counts[often], kind="stable")]
     chosen, side = [], {}
-    for i, pair_of in zip(often.tolist(), pairs[often].tolist()):
-        left, right = pair_of & 0xFFFFFFFF, pair_of >> 32
+    for i, pair in zip(often.tolist(), pairs[often].tolist()):
+        left, right = pair & 0xFFFFFFFF, pair >> 32
         own = ("both", "both") if left == right else ("left", "right")
         if left == right and left in side:
             continue
@@ -104,9 +95,49 @@ def replace_exactly(seq: np.ndarray, end: int, free: int, most: int, least: int)
             chosen.append(i)
             if len(chosen) == most:
                 break
-    if not chosen:
-        return seq, np.empty((0, 2), np.uint32)
-    return _replaced(seq, at, here, np.array(chosen), pairs, free)
+    return chosen
+
+
+def exact_rounds(seq: np.ndarray, end: int, free: int, most: int, least: int):
+    """Rounds until no pair occurs ``least`` times without overlap: sequence and rules after each.
+
+    The whole sequence is counted once. From then on a pair can only become frequent beside a symbol
+    just made, so a round looks at the places of pairs that waited and at those beside new symbols.
+    """
+    pair = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))
+    bucket = pair * np.uint64(0x9E3779B97F4A7C15)
+    bucket >>= np.uint64(64 - _BUCKETS)
+    bucket = bucket.view(np.int64)
+    at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= least)[bucket])
+    while True:
+        at = at[(seq[at] != end) & (seq[at + 1] != end)]
+        key = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))[at]
+        pairs, here = np.unique(key, return_inverse=True)
+        # occurrences overlap only in a run of one symbol, of which every other one counts
+        opens = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(here, prepend=-1) != 0))
+        run = np.repeat(opens, np.diff(opens, append=len(at)))
+        apart = (np.arange(len(at)) - run) % 2 == 0
+        counts = np.bincount(here[apart], minlength=len(pairs))
+        chosen = _choose(pairs, counts, most, least)
+        if not chosen:
+            return
+        symbol = np.zeros(len(pairs), np.int64)
+        symbol[chosen] = free + np.arange(len(chosen))
+        made = apart & (symbol[here] > 0)
+        places, waits = at[made], at[(counts >= least)[here]]
+        touched = np.zeros(len(seq), bool)
+        touched[places] = touched[places + 1] = True
+        waits = waits[~(touched[waits] | touched[waits + 1])]
+        seq[places] = symbol[here[made]]
+        keep = np.ones(len(seq), bool)
+        keep[places + 1] = False
+        seq, free = seq[keep], free + len(chosen)
+        waits = waits - np.searchsorted(places, waits)
+        fresh = places - np.arange(len(places))
+        at = np.unique(np.concatenate([waits, fresh[fresh > 0] - 1, fresh[fresh < len(seq) - 1]]))
+        rules = pairs[chosen]
+        yield seq, np.column_stack([rules & np.uint64(0xFFFFFFFF), rules >> np.uint64(32)]).astype(
+            np.uint32)
 
 
 def gather(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
@@ -128,31 +159,40 @@ def encode_shard(ids: list[int | None], seq: np.ndarray, terminals: int, end_id:
     """
     seq = np.ascontiguousarray(seq, "<i4")
     tokens = np.concatenate([[0], np.flatnonzero(seq == terminals) + 1]).astype(np.uint64)
-    per_round, rules, free, replace = [], [], terminals + 1, replace_pairs
-    while (rounds is None or len(per_round) < rounds) and len(seq) > 1:
-        shorter, made = replace(seq, terminals, free, most, least)
-        if replace is replace_pairs and len(seq) - len(shorter) < len(seq) / 50:
-            replace = replace_exactly
-            continue
-        if not len(made):
+    rules: list[np.ndarray] = []
+    free = terminals + 1
+    while (rounds is None or len(rules) < rounds) and len(seq) > 1:
+        shorter, made = replace_pairs(seq, terminals, free, most, least)
+        if len(seq) - len(shorter) < len(seq) / _LITTLE:
             break
         seq, free = shorter, free + len(made)
-        per_round.append(len(made))
         rules.append(made)
+    if len(seq) > 1:
+        more = exact_rounds(seq.copy(), terminals, free, most, least)
+        for seq, made in more if rounds is None else islice(more, rounds - len(rules)):
+            free += len(made)
+            rules.append(made)
+    per_round = [len(made) for made in rules]
     rules = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     lengths = _tables(terminals, end_id, rules, per_round)[1][terminals + 1:].astype(np.uint32)
     width = max(16, (free - 1).bit_length())
     nulls = np.array([i for i, x in enumerate(ids) if x is None], np.uint64)
     starts = np.concatenate([[0], np.flatnonzero(seq == terminals) + 1]).astype(np.uint64)
+    size = next(b for b in (1, 2, 4) if lengths.max(initial=0) < 1 << 8 * b)
     head = struct.pack(_HEAD, MAGIC, terminals, end_id, len(per_round), len(rules), len(ids), len(seq), width,
-                      len(nulls), 0)
-    parts = [np.array(per_round, "<u4"), rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"),
-             lengths.astype("<u4"), np.array([x or 0 for x in ids], "<i8"), nulls.astype("<u8"),
-             starts.astype("<u8"), tokens.astype("<u8"), (seq & 0xFFFF).astype("<u2"),
-             *[np.packbits(seq >> bit & 1, bitorder="little") for bit in range(16, width)]]
+                      len(nulls), size)
+    parts = [np.array(per_round, "<u4"), *_packed(rules[:, 0], width), *_packed(rules[:, 1], width),
+             lengths.astype(f"<u{size}"), np.array([x or 0 for x in ids], "<i8"), nulls.astype("<u8"),
+             starts.astype("<u8"), tokens.astype("<u8"), *_packed(seq, width)]
     return head + b"".join(p.tobytes() for p in parts)
 
 
+def _packed(symbols: np.ndarray, width: int) -> list[np.ndarray]:
+    """Symbols at ``width`` bits: 16 of each, then a bit vector for every further one."""
+    return [(symbols & 0xFFFF).astype("<u2"), *[np.packbits((symbols >> bit & 1).astype(
+        np.uint8), bitorder="little") for bit in range(16, width)]]
+
+
 def _tables(terminals: int, end_id: int, rules: np.ndarray, per_round) -> tuple:
     """Starts, lengths and the text of every symbol's expansion; rules build on earlier rounds."""
     flat = np.append(np.arange(terminals, dtype=np.uint32), np.uint32(end_id))
@@ -175,7 +215,7 @@ class Shard:
 
     def __post_init__(self) -> None:
         (magic, self.terminals, self.end_id, rounds, rules, self.documents, symbols, width, nulls,
-         _) = struct.unpack_from(_HEAD, self.content)
+         size) = struct.unpack_from(_HEAD, self.content)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
         at = struct.calcsize(_HEAD)
@@ -186,18 +226,22 @@ class Shard:
             at += out.nbytes
             return out
 
+        def unpack(count: int) -> np.ndarray:
+            out = take("<u2", count).astype(np.uint32)
+            for bit in range(16, width):
+                out |= np.unpackbits(take("u1", (count + 7) // 8), count=count,
+                                     bitorder="little").astype(np.uint32) << np.uint32(bit)
+            return out
+
         per_round = take("<u4", rounds)
-        left, right = take("<u4", rules), take("<u4", rules)
-        self.rule_lengths = take("<u4", rules)
+        left, right = unpack(rules), unpack(rules)
+        self.rule_lengths = take(f"<u{size}", rules)
         ids = take("<i8", self.documents)
         null = set(take("<u8", nulls).tolist())
         self.ids = [None if i in null else x for i, x in enumerate(ids.tolist())]
         self.symbol_starts = take("<u8", self.documents + 1).astype(np.int64)
         self.token_starts = take("<u8", self.documents + 1).astype(np.int64)
-        self.symbols = take("<u2", symbols).astype(np.uint32)
-        for bit in range(16, width):
-            self.symbols |= np.unpackbits(take("u1", (symbols + 7) // 8), count=symbols,
-                                          bitorder="little").astype(np.uint32) << np.uint32(bit)
+        self.symbols = unpack(symbols)
         self._starts, self._lengths, self._flat = _tables(
             self.terminals, self.end_id, np.column_stack([left, right]), per_round)
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -36,6 +38,7 @@ from plumbline.llm.text import whole
 from plumbline.session import materialize, scratch_path
 
 _PIECES = 900_000
+_CACHE = "_plumbline_worker"
 #: Two blanks together, and all white space but the blank and the line feed.
 _HARD_BLANKS = ["  ", " \n", "\n ", "\n\n"] + [
     chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
@@ -66,6 +69,15 @@ class _Numbering(dict):
         return number
 
 
+def worker_cache() -> dict:
+    """What a worker process keeps between tasks.
+
+    This package reaches a task by value, with new globals, so the cache is in a module of its own.
+    """
+    module = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE))
+    return vars(module).setdefault("kept", {})
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer, each distinct piece once."""
 
@@ -78,8 +90,10 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # byte-level splitting keeps runs of letters, with the blank before them, and runs of signs
         # apart; other tokenizers get whole pieces
-        splitter = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        self.by_word = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True)
+        parts = json.loads(self.tokenizer.to_str())
+        splitter = parts["pre_tokenizer"] or {}
+        self.by_word = splitter.get("type") == "ByteLevel" and splitter.get(
+            "use_regex", True) and not splitter.get("add_prefix_space") and not parts["normalizer"]
         self.table = byte_characters()
         # number 0 is the end mark
         self.number = _Numbering()
@@ -90,9 +104,7 @@ class PieceEncoder:
     @classmethod
     def of_worker(cls, tokenizer_file: str) -> PieceEncoder:
         """The encoder of this worker process, which outlives a task with all it remembers."""
-        import tokenizers
-
-        kept = vars(tokenizers).setdefault("_piece_encoders", {})
+        kept = worker_cache()
         if tokenizer_file not in kept:
             kept[tokenizer_file] = cls(tokenizer_file)
         return kept[tokenizer_file]

@@ -36,6 +36,26 @@ def test_special_names_and_forgetting(monkeypatch):
             text, add_special_tokens=False).ids
 
 
+def test_words_of_a_normalizing_tokenizer_go_through_it(tmp_path):
+    """The short cut for words is taken only where the tokenizer changes no character before."""
+    import json
+
+    parts = json.loads(PLAIN.to_str()) | {"normalizer": {"type": "Lowercase"}}
+    (tmp_path / "t.json").write_text(json.dumps(parts))
+    encoder, plain = PieceEncoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert ENCODER.by_word and not encoder.by_word
+    text = "Some WORDS, and More.\nLines"
+    assert encoder.encode([text])[:-1].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_rules_are_stored_narrow():
+    """Rules cost what symbols cost, so that a shard with few frequent pairs is no larger."""
+    rng = np.random.default_rng(3)
+    seq = np.append(rng.integers(0, 300, 60_000), 300).astype(np.int32)
+    plain = encode_shard([1], seq, 300, 2, rounds=0)
+    assert len(encode_shard([1], seq, 300, 2)) < len(plain)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=60), max_size=8), st.integers(2, 4))
 def test_shard_round_trip(documents, least):
