@@ -222,16 +222,18 @@ def pending_queue(queue: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def drift_window_record(rollup: DataFrame, model: Column, metric: Column, created_at: Column,
-                        psi: Column | None = None) -> DataFrame:
-    """Rows for the drift_windows table out of a window rollup."""
+                        psi: Column | None = None, mmd: Column | None = None,
+                        error: Column | None = None) -> DataFrame:
+    """Rows for the drift_windows table out of a window rollup; what is not measured is NULL."""
     none = F.lit(None)
+    psi, mmd, error = (none if c is None else c for c in (psi, mmd, error))
     return rollup.select(
         derived_id("win", model, metric, F.col("window_start"), F.col("window_end")
                    ).alias("window_id"),
         model.alias("model_id"), none.cast("string").alias("threshold_id"),
         metric.alias("metric_name"), "window_start", "window_end", "metric_value", "ewma_value",
-        "cusum_value", (none.cast("double") if psi is None else psi).alias("psi_value"),
-        none.cast("double").alias("bbsd_mmd"), none.cast("double").alias("uae_p95_error"),
+        "cusum_value", psi.cast("double").alias("psi_value"),
+        mmd.cast("double").alias("bbsd_mmd"), error.cast("double").alias("uae_p95_error"),
         "trend_status", "drift_pattern", none.cast("string").alias("source_manifest_sha256"),
         created_at.alias("created_at"))
 

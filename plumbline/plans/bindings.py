@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rules
 from plumbline.operators import series
+from plumbline.operators.lifecycle import random_features
 from plumbline.plans.registry import Tables
 
 DAY = 86400
@@ -136,12 +137,97 @@ unumbered AS (
 {scan_sql("user_id", "ts", "value", "unumbered")}"""
 
 
+def event_vectors(t: Tables) -> DataFrame:
+    """Events as vectors of value and hundredths of the day; ``ref`` marks the baseline."""
+    ts = F.col("ts").cast("timestamp")
+    clock = F.unix_micros(ts) % (DAY * 1_000_000) / (DAY * 10_000.0)
+    return t.events.select("event_id", "user_id", "event_type", "value", F.array("value", clock).alias(
+        "x"), (ts < F.to_timestamp(F.lit(BASELINE_END))).alias("ref"))
+
+
+VECTORS = f"""ev AS (
+  SELECT event_id, user_id, event_type, value, ts < TIMESTAMP '{BASELINE_END}' AS ref,
+    [value, epoch_us(ts) % {DAY * 1_000_000} / {DAY * 10_000}e0] AS x FROM events)"""
+
+
+def two_sample_sql(name: str, source: str, key: str, row_id: str, dim: int, features: int,
+                   replicates: int, seed: int = 5, sample: int = 256) -> str:
+    """The two-sample test over rows of ``key, row_id, ref`` and a list ``x``, as CTE ``name``."""
+    turn, phase = random_features(dim, features, 1.0, seed)
+    waves = ", ".join(f"({k}, [{', '.join(repr(float(w)) + '::DOUBLE' for w in turn[k])}], "
+                      f"{float(phase[k])!r}::DOUBLE)" for k in range(features))
+    return f"""{name}_hash AS (SELECT {row_id} AS id, x, sha256('{seed}|' || {row_id}) AS h FROM {source}),
+{name}_few AS (SELECT x, row_number() OVER (ORDER BY h) AS i FROM {name}_hash
+  QUALIFY row_number() OVER (ORDER BY h) <= {sample}),
+{name}_scale AS (SELECT quantile_cont(list_distance(p.x::DOUBLE[], q.x::DOUBLE[]), 5e-1) AS s
+  FROM {name}_few p JOIN {name}_few q ON p.i < q.i),
+{name}_wave(k, w, ph) AS (VALUES {waves}),
+{name}_z AS (SELECT {key} AS key, {row_id} AS id, k, sqrt({2 / features!r}::DOUBLE) * cos(ph + list_sum(
+    list_transform(list_zip(w, x), lambda t: t[1] * t[2]::DOUBLE)) / s) AS z
+  FROM {source}, {name}_wave, {name}_scale),
+{name}_side AS (SELECT id, r, (strpos('0123456789abcdef', substr(h, 1 + (r // 4)::INT, 1)) - 1
+    >> (3 - r % 4)::INT) & 1 = 1 AS one FROM {name}_hash, range({replicates}) AS t(r)
+  UNION ALL SELECT {row_id}, {replicates}, ref FROM {source}),
+{name}_sum AS (SELECT key, r, k, coalesce(sum(z) FILTER (one), 0) AS s, count(*) FILTER (one) AS n,
+    sum(z) AS st, count(*) FILTER (NOT one) AS m
+  FROM {name}_z JOIN {name}_side USING (id) GROUP BY 1, 2, 3),
+{name}_d AS (SELECT key, r, n, m, CASE WHEN n > 0 AND m > 0 THEN
+    sum(pow(s / n - (st - s) / m, 2)) END AS d FROM {name}_sum GROUP BY 1, 2, 3, 4),
+{name}_o AS (SELECT *, d / (1 / n + 1 / m) AS o FROM {name}_d),
+{name} AS (SELECT a.key, a.n AS n_reference, a.m AS n_current, a.d AS mmd, CASE WHEN a.d IS NOT NULL
+    THEN (1 + count(*) FILTER (b.o >= a.o * (1 - 1e-9))) / (1 + count(b.o))::DOUBLE END AS p_value
+  FROM {name}_o a LEFT JOIN {name}_o b ON b.key = a.key AND b.r < {replicates}
+  WHERE a.r = {replicates} GROUP BY 1, 2, 3, 4)"""
+
+
+def reference_sql(name: str, key: str) -> str:
+    """Mean, strongest direction and error quantiles of the marked vectors in ``ev``, and the errors of
+    the others, in two dimensions, where the direction has a closed form."""
+    return f"""{name}_sum AS (SELECT {key} AS key, count(*) AS n, avg(x[1]) AS m1, avg(x[2]) AS m2,
+    var_pop(x[1]) AS a, var_pop(x[2]) AS d, covar_pop(x[1], x[2]) AS b FROM ev WHERE ref GROUP BY 1),
+{name}_dir AS (SELECT *, (a + d) / 2 + sqrt(pow((a - d) / 2, 2) + b * b) AS l FROM {name}_sum),
+{name}_turn AS (SELECT *, CASE WHEN b <> 0 THEN l - d WHEN a >= d THEN 1 ELSE 0 END AS v1,
+    CASE WHEN b <> 0 THEN b WHEN a >= d THEN 0 ELSE 1 END AS v2 FROM {name}_dir),
+{name}_err AS (SELECT t.key, ref, abs((x[1] - m1) * v2 - (x[2] - m2) * v1) / sqrt(v1 * v1 + v2 * v2)
+    AS e FROM ev JOIN {name}_turn t ON t.key = ev.{key}),
+{name}_ref AS (SELECT key, quantile_cont(e, 95e-2) AS p95, quantile_cont(e, 99e-2) AS p99
+  FROM {name}_err WHERE ref GROUP BY 1),
+{name} AS (SELECT t.key, n, l / (a + d) AS captured, p95, p99, w.e AS uae_p95_error,
+    w.e > p99 AS uae_above_p99
+  FROM {name}_turn t JOIN {name}_ref USING (key) LEFT JOIN (SELECT key, quantile_cont(e, 95e-2) AS e
+    FROM {name}_err WHERE NOT ref GROUP BY 1) w USING (key))"""
+
+
+def psi_sql(name: str, key: str, bins: int) -> str:
+    """Stability index of the other values in ``ev`` against the marked ones."""
+    probs = ", ".join(f"{i / bins!r}" for i in range(1, bins))
+    return f"""{name}_q AS (SELECT {key} AS key, quantile_cont(value, [{probs}]) AS edges FROM ev
+  WHERE ref GROUP BY 1),
+{name}_c AS (SELECT key, len(list_filter(edges, lambda e: e <= value)) AS bin,
+    count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c
+  FROM ev JOIN {name}_q q ON q.key = ev.{key} GROUP BY 1, 2),
+{name}_t AS (SELECT key, sum(r) AS rn, sum(c) AS cn FROM {name}_c GROUP BY 1),
+{name}_p AS (SELECT key, coalesce(r, 0) / rn::DOUBLE + 1e-6 AS pr, coalesce(c, 0) / cn::DOUBLE + 1e-6 AS pc
+  FROM (SELECT key, rn, cn, bin FROM {name}_t, range(0, {bins}) AS g(bin)) LEFT JOIN {name}_c USING (key, bin)),
+{name} AS (SELECT key, sum((pc - pr) * ln(pc / pr)) AS psi FROM {name}_p GROUP BY 1)"""
+
+
+#: Settings of the evidence on users, of whom each has few events.
+USER_SPLITS, USER_WAVES, USER_BINS = 39, 6, 4
+
+
 def user_evidence(t: Tables) -> DataFrame:
-    """Six signals per user window."""
-    facts = t.events.groupBy("user_id").agg(
-        F.max("value").alias("top"), F.count_if(F.col("event_type") == "error").alias("errors"),
-        F.count_if(F.col("event_type") == "purchase").alias("purchases"),
-        F.count(F.lit(1)).alias("n"))
+    """Six signals per user window, each computed from the user's events."""
+    from plumbline.operators import metrics, reference_model, two_sample
+
+    ev = event_vectors(t)
+    test = two_sample.two_sample_test(ev, ["user_id"], "event_id", "x", F.col("ref"), dim=2,
+                                      features=USER_WAVES, replicates=USER_SPLITS)
+    models = reference_model.fit_reference(ev.where("ref"), ["user_id"], "x", dim=2, rank=1, version="1")
+    errors = reference_model.window_errors(ev.where("not ref"), models, ["user_id"], "x", dim=2)
+    psi = metrics.population_stability(ev, ["user_id"], "value", F.col("ref"), USER_BINS)
+    facts = test.select("user_id", "significant").join(errors.select(
+        "user_id", "uae_above_p99"), "user_id", "left").join(psi.select("user_id", "psi"), "user_id", "left")
     s = F.col("trend_status")
     return user_windows(t).join(facts, "user_id").select(
         "user_id", "window_start", "window_end", "metric_value", "ewma_value", "cusum_value",
@@ -151,24 +237,24 @@ def user_evidence(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("threshold_id"),
         s.isin("EWMA_ALERT", "BOTH_ALERT").alias("ewma_alert"),
         s.isin("CUSUM_ALERT", "BOTH_ALERT").alias("cusum_alert"),
-        (F.col("top") >= 150).alias("psi_high"),
-        (F.col("errors") * 5 > F.col("n")).alias("bbsd_significant"),
-        (F.col("purchases") * 5 > F.col("n")).alias("uae_above_p99"),
+        F.coalesce(F.col("psi") >= 0.25, F.lit(False)).alias("psi_high"),
+        F.coalesce("significant", F.lit(False)).alias("bbsd_significant"),
+        F.coalesce("uae_above_p99", F.lit(False)).alias("uae_above_p99"),
         (F.col("metric_value") < 10).alias("labeled_metric_confirmed"))
 
 
-USER_EVIDENCE = f"""{USER_SCAN},
-facts AS (
-  SELECT user_id, max(value) AS top, count(*) FILTER (event_type = 'error') AS errors,
-    count(*) FILTER (event_type = 'purchase') AS purchases, count(*) AS n
-  FROM events GROUP BY 1),
+USER_EVIDENCE = f"""{USER_SCAN}, {VECTORS},
+{two_sample_sql("test", "ev", "user_id", "event_id", 2, USER_WAVES, USER_SPLITS)},
+{reference_sql("model", "user_id")},
+{psi_sql("stable", "user_id", USER_BINS)},
 signals AS (
   SELECT w.*, 'user_' || w.user_id AS window_id, 'model_' || w.user_id AS model_id,
     trend_status IN ('EWMA_ALERT', 'BOTH_ALERT') AS ewma_alert,
-    trend_status IN ('CUSUM_ALERT', 'BOTH_ALERT') AS cusum_alert, top >= 150 AS psi_high,
-    errors * 5 > n AS bbsd_significant, purchases * 5 > n AS uae_above_p99,
+    trend_status IN ('CUSUM_ALERT', 'BOTH_ALERT') AS cusum_alert, coalesce(psi >= 25e-2, false) AS psi_high,
+    coalesce(p_value <= 5e-2, false) AS bbsd_significant, coalesce(uae_above_p99, false) AS uae_above_p99,
     metric_value < 10 AS labeled_metric_confirmed
-  FROM windows w JOIN facts USING (user_id)),
+  FROM windows w JOIN test ON test.key = w.user_id LEFT JOIN model ON model.key = w.user_id
+  LEFT JOIN stable ON stable.key = w.user_id),
 evidence AS (
   SELECT *, CAST(ewma_alert AS INT) + CAST(cusum_alert AS INT) + CAST(psi_high AS INT)
     + CAST(bbsd_significant AS INT) + CAST(uae_above_p99 AS INT)

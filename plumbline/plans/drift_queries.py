@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules
-from plumbline.operators import governance, lifecycle, metrics, series
+from plumbline.operators import (
+    governance, lifecycle, metrics, reference_model, series, two_sample,
+)
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query, rounded
 
@@ -106,21 +108,45 @@ def psi(t: Tables):
     return rounded(out, "psi")
 
 
-@query(f"""WITH RECURSIVE {b.DAILY_SCAN}, {_PSI}
+def _shift_test(t: Tables):
+    return two_sample.two_sample_test(b.event_vectors(t), ["event_type"], "event_id", "x", F.col("ref"),
+                                      dim=2, features=16, replicates=99)
+
+
+def _reference(t: Tables):
+    return reference_model.fit_reference(b.event_vectors(t).where("ref"), ["event_type"], "x", dim=2,
+                                         rank=1, version="2024-01")
+
+
+def _window_errors(t: Tables):
+    return reference_model.window_errors(b.event_vectors(t).where("not ref"), _reference(t),
+                                         ["event_type"], "x", dim=2)
+
+
+@query(f"""WITH RECURSIVE {b.DAILY_SCAN}, {_PSI}, {b.VECTORS},
+{b.two_sample_sql("test", "ev", "event_type", "event_id", 2, 16, 99)},
+{b.reference_sql("model", "event_type")}
 SELECT 'win_' || substr(sha256('model_' || event_type || '|value_mean|' || window_start || '|'
     || window_end), 1, 12) AS window_id, 'model_' || event_type AS model_id,
   'value_mean' AS metric_name, window_start, window_end, round(metric_value, 6) AS metric_value,
   round(ewma_value, 6) AS ewma_value, round(cusum_value, 6) AS cusum_value, trend_status,
-  drift_pattern, round(psi, 6) AS psi_value, TIMESTAMP '{b.STAMP}' AS created_at
-FROM windows LEFT JOIN psi USING (event_type)""")
+  drift_pattern, round(psi, 6) AS psi_value, round(mmd, 6) AS bbsd_mmd,
+  round(uae_p95_error, 6) AS uae_p95_error, TIMESTAMP '{b.STAMP}' AS created_at
+FROM windows LEFT JOIN psi USING (event_type) LEFT JOIN test ON test.key = event_type
+LEFT JOIN model ON model.key = event_type""")
 def run_window(t: Tables):
+    """The window of each series with all its measures: chart, stability, shift and reconstruction."""
     rollup = series.window_rollup(b.daily_points(t), ["event_type"], "metric", "day")
-    rollup = rollup.join(_psi_frame(t).select("event_type", "psi"), "event_type", "left")
+    test, errors = _shift_test(t), _window_errors(t)
+    for part in (_psi_frame(t).select("event_type", "psi"), test.select("event_type", "mmd"),
+                 errors.select("event_type", "uae_p95_error")):
+        rollup = rollup.join(part, "event_type", "left")
     out = governance.drift_window_record(
         rollup, F.concat(F.lit("model_"), "event_type"), F.lit("value_mean"), b.stamp(),
-        F.col("psi"))
-    return rounded(out, "metric_value", "ewma_value", "cusum_value", "psi_value").select(
-        "psi_value", "window_id", "model_id", "metric_name", "window_start", "window_end", "metric_value",
+        F.col("psi"), F.col("mmd"), F.col("uae_p95_error"))
+    return rounded(out, "metric_value", "ewma_value", "cusum_value", "psi_value", "bbsd_mmd",
+                   "uae_p95_error").select(
+        "psi_value", "bbsd_mmd", "uae_p95_error", "window_id", "model_id", "metric_name", "window_start", "window_end", "metric_value",
         "ewma_value", "cusum_value", "trend_status", "drift_pattern", "created_at")
 
 
@@ -267,3 +293,37 @@ def reconstruction_error(t: Tables):
     out = lifecycle.reconstruction_quantile(t.embeddings, ["label"], "embedding", np.zeros(64),
                                             np.eye(64)[:16])
     return rounded(out, "reconstruction_error")
+
+
+@query(f"""WITH {b.VECTORS}, {b.two_sample_sql("test", "ev", "event_type", "event_id", 2, 16, 99)}
+SELECT key AS event_type, n_reference, n_current, round(mmd, 6) AS mmd, round(p_value, 6) AS p_value,
+  p_value <= 5e-2 AS significant FROM test""")
+def two_sample_events(t: Tables):
+    """Events of each type after the baseline against those in it."""
+    return rounded(_shift_test(t), "mmd", "p_value")
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, vec_id % 2 = 0 AS ref, CASE WHEN label < 3 AND vec_id % 2 = 0
+  THEN list_transform(embedding, lambda e: e + 4e-2::DOUBLE) ELSE embedding END AS x FROM embeddings),
+{b.two_sample_sql("test", "v", "label", "vec_id", 64, 8, 60)}
+SELECT key AS label, n_reference, n_current, round(mmd, 6) AS mmd, round(p_value, 6) AS p_value,
+  p_value <= 5e-2 AS significant FROM test""")
+def two_sample_vectors(t: Tables):
+    """Even against odd vectors of each label; the even ones of three labels are moved."""
+    moved = (F.col("label") < 3) & (F.col("vec_id") % 2 == 0)
+    rows = t.embeddings.select("vec_id", "label", F.when(moved, F.transform(
+        "embedding", lambda e: e.cast("double") + 0.04)).otherwise(
+        F.col("embedding").cast("array<double>")).alias("x"))
+    out = two_sample.two_sample_test(rows, ["label"], "vec_id", "x", F.col("vec_id") % 2 == 0, dim=64,
+                                     features=8, replicates=60)
+    return rounded(out, "mmd", "p_value")
+
+
+@query(f"""WITH {b.VECTORS}, {b.reference_sql("model", "event_type")}
+SELECT key AS event_type, n, round(captured, 6) AS captured, round(p95, 6) AS p95, round(p99, 6) AS p99,
+  round(uae_p95_error, 6) AS uae_p95_error, uae_above_p99 FROM model""")
+def reference_errors(t: Tables):
+    """Directions fitted on the baseline; what does not depend on their signs."""
+    model = _reference(t).select("event_type", "n", "captured", "p95", "p99")
+    out = model.join(_window_errors(t).drop("n"), "event_type", "left")
+    return rounded(out, "captured", "p95", "p99", "uae_p95_error")
