@@ -8,7 +8,8 @@ shorter context predicts among the bytes the longer one did not have; after the
 remaining bytes are alike. The language with the shortest code is predicted, and the score is its
 share of ``2 ** -bits`` over all languages.
 
-A language keeps its ``nodes`` most frequent counts over all orders. A shorter context counts at least
+A language keeps its most frequent counts over all orders, ``nodes`` at most; of equally frequent
+ones it keeps all or none. A shorter context counts at least
 as often, so what is kept is a tree again, deeper where there is more to tell. Code lengths of the
 ``cells`` most frequent pairs of context and byte are worked out once for all languages; those of other
 pairs are worked out where they occur, by the same function.
@@ -96,7 +97,8 @@ def _count(order: int):
 
 
 def context_counts(texts: DataFrame, order: int, nodes: int) -> DataFrame:
-    """``lang``, ``size``, ``key`` and ``n``: the most frequent (context, byte) pairs per language.
+    """``lang``, ``size``, ``key`` and ``n``: the most frequent (context, byte) pairs per language, as
+    many as fit in ``nodes`` with all that are as frequent.
 
     ``size`` is the number of context bytes and ``key`` has context and byte. ``texts`` has ``lang``
     and ``text``.
@@ -109,8 +111,13 @@ def context_counts(texts: DataFrame, order: int, nodes: int) -> DataFrame:
     pairs = full.select("lang", "n", "gram", sizes.alias("s")).groupBy(
         "lang", F.col("s.size").alias("size"), F.col("gram").bitwiseAND(F.col("s.mask")).alias(
             "key")).agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "size", "key"))
-    return pairs.withColumn("_rank", rank).filter(F.col("_rank") <= nodes).drop("_rank")
+    pairs = materialize(texts.sparkSession, pairs, "language-pairs")
+    # few counts differ, so how many pairs have at least each count is a small table
+    down = Window.partitionBy("lang").orderBy(F.desc("n"))
+    least = pairs.groupBy("lang", "n").agg(F.count("*").alias("m")).withColumn(
+        "_upto", F.sum("m").over(down)).filter(F.col("_upto") <= nodes).groupBy("lang").agg(
+            F.min("n").alias("_least"))
+    return pairs.join(least, "lang").filter("n >= _least").drop("_least")
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -14,14 +14,16 @@ from plumbline.llm.language_queries import op13_language
 
 
 def plain_counts(texts, order, nodes):
-    """Counts of (context, byte) for contexts of up to ``order`` bytes; the most frequent ones."""
+    """Counts of (context, byte) for contexts of up to ``order`` bytes; the most frequent ones, of
+    which equally frequent ones stay or go together."""
     found = Counter()
     for text in texts:
         data = b"\n" * order + text.encode()
         for i in range(order, len(data)):
             for k in range(order + 1):
                 found[data[i - k:i], data[i]] += 1
-    best = sorted(found.items(), key=lambda x: (-x[1], len(x[0][0]), x[0]))[:nodes]
+    least = min((n for n in found.values() if sum(m >= n for m in found.values()) <= nodes), default=1 << 60)
+    best = [x for x in found.items() if x[1] >= least]
     tree = {}
     for (context, byte), n in best:
         tree.setdefault(context, {})[byte] = n
