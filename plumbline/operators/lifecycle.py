@@ -64,12 +64,14 @@ def retraining_gate(models: DataFrame, requests: DataFrame, key: str, now: Colum
 
 
 def quota_selection(candidates: DataFrame, item: str, cluster: str, budget: int,
-                    quotas: dict[str, float] | None = None, floor: float = 0.5) -> DataFrame:
+                    quotas: dict[str, float] | None = None, floor: float = 0.5,
+                    distance: str | None = None) -> DataFrame:
     """Items to label: one per cluster, at most ``share * budget`` per stratum.
 
     ``candidates`` has disagreement and critical (booleans), drift_score and uncertainty_score. A
     cluster sends its most urgent item: critical first, then disagreement, drift, uncertainty and
-    the smallest id. Strata are tried in that order; what is left goes, by a hash of the id, to
+    the smallest id. With ``distance``, the distance to the cluster's centre, it sends the medoid of
+    its critical items, else of those in disagreement, else of all; items without one come last. Strata are tried in that order; what is left goes, by a hash of the id, to
     diversity or random. Within a stratum the greatest score wins, ties to the smallest id.
     """
     quotas = QUOTAS if quotas is None else quotas
@@ -77,8 +79,10 @@ def quota_selection(candidates: DataFrame, item: str, cluster: str, budget: int,
         raise ValueError("need a budget and shares that add up to one at most")
     flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("critical", "disagreement")]
     scores = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("drift_score", "uncertainty_score")]
+    within = scores if distance is None else [
+        F.coalesce(-F.col(distance).cast("double"), F.lit(float("-inf")))]
     urgency = F.struct(*[f.cast("int").alias(f"_f{i}") for i, f in enumerate(flags)],
-                       *[s.alias(f"_s{i}") for i, s in enumerate(scores)], (-F.col(item)).alias("_i"))
+                       *[s.alias(f"_s{i}") for i, s in enumerate(within)], (-F.col(item)).alias("_i"))
     one = candidates.groupBy(cluster).agg(F.max_by(F.struct(
         F.col(item), *[c.alias(n) for c, n in zip(flags + scores, (
             "critical", "disagreement", "drift_score", "uncertainty_score"))]), urgency).alias("_b"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import scoring, selection
+from plumbline.operators import clusters, lifecycle, scoring, selection
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query, rounded
 
@@ -115,3 +115,35 @@ def knn_score_thinned(t: Tables):
     """Scores against a core-set: greedy in two groups, then greedy on their union."""
     bank = selection.thin_bank(t.embeddings, "vec_id", "embedding", keep=8, groups=2)
     return rounded(scoring.knn_score(t.embeddings, bank, "vec_id", "embedding", k=3), "score")
+
+
+@query("""WITH m AS (SELECT label, list(a ORDER BY i) AS m FROM (SELECT label, i, avg(embedding[i]::DOUBLE)
+    AS a FROM embeddings, range(1, 65) AS r(i) GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT vec_id, label, sqrt(list_sum(list_transform(list_zip(embedding, m),
+    lambda z: pow(z[1]::DOUBLE - z[2], 2)))) AS d FROM embeddings JOIN m USING (label))
+SELECT label, arg_min(vec_id, d) AS vec_id, round(min(d), 6) AS distance, count(*) AS members
+FROM d GROUP BY 1""")
+def group_medoids(t: Tables):
+    """The vector nearest to the mean of each label."""
+    rows = clusters.group_distances(t.embeddings, "vec_id", "label", "embedding", 64)
+    return rounded(clusters.medoids(rows, "vec_id", "label"), "distance")
+
+
+def _clustered(t: Tables):
+    cols = {"critical": F.col("label") == 9, "disagreement": F.col("vec_id") % 7 == 0,
+            "drift_score": F.col("vec_id") * 37 % 101 / 101.0,
+            "uncertainty_score": F.col("vec_id") * 53 % 97 / 97.0}
+    return clusters.clustered_candidates(t.embeddings, "vec_id", "embedding", dim=64, k=64,
+                                         keep=[c.alias(n) for n, c in cols.items()])
+
+
+@query()
+def cluster_medoids(t: Tables):
+    """Found clusters, their medoids and sizes; moving centres have no SQL form."""
+    return clusters.medoids(_clustered(t), "vec_id")
+
+
+@query()
+def cluster_quota_selection(t: Tables):
+    """A budget of 100 over found clusters, of which each sends one medoid."""
+    return lifecycle.quota_selection(_clustered(t), "vec_id", "cluster", 100, distance="distance")
