@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import kernels
+from plumbline.operators import clusters
 from plumbline.operators.images import _plane
+from plumbline.session import materialize
 
 
 def score_images(images: DataFrame, scorer: Callable, keep: list[str]) -> DataFrame:
@@ -53,7 +57,7 @@ def residual_scorer(size: int = 15, quantile: float = 0.995, scale: float = 255.
 
 
 def _nearest(queries: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest Euclidean distances of each query to the bank, ascending.
+    """The k smallest squared distances of each query to the bank, in no order.
 
     Differences are taken before they are squared, so far-off origins cost no digits.
     """
@@ -67,48 +71,183 @@ def _nearest(queries: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
         best = np.concatenate([best, squares], axis=1)
         if best.shape[1] > k:
             best = np.partition(best, k - 1, axis=1)[:, :k]
-    return np.sqrt(np.sort(best, axis=1))
+    return best
+
+
+@dataclass
+class Cells:
+    """Cells of a bank: centres, radii (no row is farther from its centre) and rows in each."""
+
+    centres: np.ndarray
+    radii: np.ndarray
+    rows: np.ndarray
+
+    def lanes(self, lane_rows: int) -> list[tuple[int, int]]:
+        """Per cell its first lane and how many it has; small neighbours share one."""
+        plan, lane, filled = [], -1, lane_rows
+        for n in self.rows.tolist():
+            if filled + n > lane_rows:
+                lane, filled = lane + 1, 0
+            parts = max(1, -(-n // lane_rows))
+            plan.append((lane, parts))
+            filled += n
+            if parts > 1:
+                lane, filled = lane + parts - 1, lane_rows
+        return plan
+
+
+def bank_cells(bank: DataFrame, dim: int, cell_rows: int = 2048, most: int = 1024,
+               sample: int = 16_384) -> tuple[DataFrame, Cells]:
+    """Rows of the bank (``_i``, ``_v``) with their cell, and the cells.
+
+    Centres are fitted on about ``sample`` rows chosen by a hash; every row is in a cell.
+    """
+    count = bank.count()
+    share = F.pmod(F.xxhash64(F.lit("cells"), "_i"), F.lit(1 << 32)) / float(1 << 32)
+    drawn = bank.where(share < sample / max(count, 1)).orderBy("_i").select("_v").collect()
+    few = np.array([r["_v"] for r in drawn] or [[0.0] * dim])
+    even = np.unique(few[np.linspace(0, len(few) - 1, min(
+        len(few), most, -(-count // cell_rows) or 1)).astype(int)], axis=0)
+    centres = clusters.lloyd(few, np.ones(len(few)), even, 8)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, gap = clusters.to_centres(clusters.matrix(batch["_v"]), centres)
+            yield pa.record_batch({"_i": batch["_i"], "_v": batch["_v"], "cell": pa.array(
+                which, pa.int32()), "away": pa.array(gap)})
+
+    kind = dict(bank.dtypes)["_i"]
+    placed = materialize(bank.sparkSession, bank.mapInArrow(
+        place, f"_i {kind}, _v array<double>, cell int, away double"), "bank-cells")
+    cells = Cells(centres, np.full(len(centres), -np.inf), np.zeros(len(centres), np.int64))
+    for r in placed.groupBy("cell").agg(F.max("away").alias("far"), F.count(F.lit(1)).alias("n")).collect():
+        cells.radii[r["cell"]], cells.rows[r["cell"]] = r["far"], r["n"]
+    return placed.select("_i", "_v", "cell"), cells
+
+
+def lanes_met(cells: Cells, lane_rows: int, home: bool):
+    """Every query once per lane it meets: first that of its nearest cell, then all others in reach.
+
+    ``bound`` is the k-th best distance known. By the triangle inequality no row of a cell is nearer
+    than the centre's distance less the radius.
+    """
+    plan = cells.lanes(lane_rows)
+    used = np.flatnonzero(cells.rows)
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = clusters.matrix(batch["_v"])
+            near = used[clusters.to_centres(rows, cells.centres[used])[0]]
+            at_home = np.array([plan[c][0] for c in near.tolist()], np.int32)
+            if home:
+                yield batch.append_column("lane", pa.array(at_home))
+                continue
+            bound, met = batch["bound"].to_numpy(), {}
+            for c in used.tolist():
+                step = rows - cells.centres[c]
+                gap = np.sqrt(np.einsum("ij,ij->i", step, step))
+                reach = gap - cells.radii[c] <= bound + 1e-9 * (gap + cells.radii[c])
+                for lane in range(plan[c][0], plan[c][0] + plan[c][1]):
+                    met[lane] = met.get(lane, False) | reach
+            for lane, asks in met.items():
+                own = batch.filter(pa.array(asks & (at_home != lane)))
+                if len(own):
+                    yield own.append_column("lane", pa.array(np.full(len(own), lane, np.int32)))
+
+    return meet
+
+
+def _meet_lanes(k: int):
+    """Streams groups by ``place``: queries first, then rows of the bank, a batch at a time."""
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, ids, rows, best = None, [], None, None, None
+
+        def result() -> pa.RecordBatch:
+            lists = [np.sort(b[np.isfinite(b)]) for b in best]
+            return pa.RecordBatch.from_arrays([ids, pa.array(
+                [np.sqrt(x) for x in lists], pa.list_(pa.float64()))], ["_i", "near"])
+
+        for batch in batches:
+            keys = np.column_stack([batch[c].to_numpy() for c in ("place", "_kind")])
+            edges = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for begin, end in zip([0, *edges], [*edges, len(keys)]):
+                if keys[begin][0] != group:
+                    if best is not None:
+                        yield result()
+                    group, asked, best = keys[begin][0], [], None
+                own = batch.slice(begin, end - begin)
+                if keys[begin][1] == 0:
+                    asked.append(own)
+                    continue
+                if not asked:
+                    continue
+                if best is None:
+                    ids = pa.chunked_array([a["_i"] for a in asked]).combine_chunks()
+                    rows = np.concatenate([clusters.matrix(a["_v"]) for a in asked])
+                    best = np.full((len(rows), k), np.inf)
+                held = clusters.matrix(own["_v"])
+                for at in range(0, len(rows), 128):
+                    both = np.concatenate([best[at:at + 128], _nearest(rows[at:at + 128], held, k)], axis=1)
+                    best[at:at + 128] = np.partition(both, k - 1, axis=1)[:, :k]
+        if best is not None:
+            yield result()
+
+    return meet
 
 
 def knn_score(queries: DataFrame, bank: DataFrame, item: str, vector: str, k: int = 9,
-              block_rows: int = 32_768) -> DataFrame:
+              block_rows: int = 32_768, cell_rows: int = 2048) -> DataFrame:
     """Mean distance to the k nearest bank vectors: rows (item, score).
 
-    ``bank`` has the same two columns. Bank and queries are counted and cut, by hashes, in blocks
-    of about ``block_rows``. Every block meets every slice of the queries in a task of its own, in
-    doubles, and the k best distances per query are merged. A bank that is large beside the queries
-    should be thinned first.
+    ``bank`` has the same two columns. Its rows are filed in cells of about ``cell_rows``, and cells
+    in lanes of about ``block_rows``. A query first meets the lane of its nearest cell, whose k-th
+    best distance bounds the rest: of the other lanes it meets those with a cell in reach. The k
+    best distances, in doubles, are exact; data without clusters has all cells in reach. A bank that
+    is large beside the queries should be thinned first. Vectors that are NULL, not finite or of
+    another dimension than the bank's, and rows without id, take no part.
     """
-    size = bank.count()
-    if not size:
+    spark = queries.sparkSession
+    first = bank.where(F.size(vector) > 0).select(F.size(vector).alias("n")).limit(1).collect()
+    if not first:
         raise ValueError("the bank is empty")
-    blocks = math.ceil(size / block_rows)
-    slices = max(1, math.ceil(queries.count() / block_rows))
-
-    def spread(n: int):
-        return F.pmod(F.xxhash64(item), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    double = F.col(vector).cast("array<double>").alias(vector)
-    # both sides need the same key types: a long and an int of equal value hash differently
-    left = queries.select(item, double, spread(slices).alias("_s"), every(blocks).alias("_b"))
-    right = bank.select(double, every(slices).alias("_s"), spread(blocks).alias("_b"))
-    schema = T.StructType([queries.schema[item],
-                           T.StructField("near", T.ArrayType(T.DoubleType()))])
-
-    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(b):
-            return pd.DataFrame({item: q[item].iloc[:0], "near": pd.Series([], dtype=object)})
-        held, asked = np.stack(b[vector].to_numpy()), np.stack(q[vector].to_numpy())
-        near = [row for at in range(0, len(asked), 128)
-                for row in _nearest(asked[at:at + 128], held, k)]
-        return pd.DataFrame({item: q[item].to_numpy(), "near": near})
-
-    lists = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(meet, schema)
-    # at most `blocks` short lists per query
-    merged = lists.groupBy(item).agg(
+    dim = first[0]["n"]
+    placed, cells = bank_cells(clusters.usable(bank, item, vector, dim), dim, cell_rows)
+    plan = spark.createDataFrame([(c, *lane) for c, lane in enumerate(cells.lanes(block_rows))],
+                                 "cell int, first int, parts int")
+    held = placed.join(plan, "cell").withColumn("lane", (F.col("first") + F.pmod(
+        F.xxhash64("_i"), "parts")).cast("int")).select("lane", "_v")
+    asked = materialize(spark, clusters.usable(queries, item, vector, dim).withColumn(
+        "bound", F.lit(float("inf"))), "bank-queries")
+    kind = dict(asked.dtypes)["_i"]
+    found = None
+    lanes = max(lane + parts for lane, parts in cells.lanes(block_rows))
+    for home in (True, False)[:lanes]:  # a single lane is every query's home
+        met = materialize(spark, asked.mapInArrow(
+            lanes_met(cells, block_rows, home), f"_i {kind}, _v array<double>, bound double, lane int"),
+            "lane-queries")
+        sets = [(r["lane"], math.ceil(r["count"] / block_rows)) for r in met.groupBy(
+            "lane").count().orderBy("lane").collect()]
+        if not sets:
+            continue
+        places = np.cumsum([0] + [n for _, n in sets])
+        known = spark.createDataFrame([(lane, n, int(at)) for (lane, n), at in zip(sets, places)],
+                                      "lane int, sets int, base int")
+        groups = met.join(known, "lane").select(
+            (F.col("base") + F.pmod(F.xxhash64("_i"), "sets")).cast("int").alias("place"),
+            F.lit(0).alias("_kind"), "_i", "_v").unionByName(held.join(known, "lane").select(
+                F.explode(F.sequence("base", F.col("base") + F.col("sets") - 1)).alias("place"),
+                F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_i"), "_v"))
+        own = materialize(spark, groups.repartitionById(int(places[-1]), "place").sortWithinPartitions(
+            "place", "_kind").mapInArrow(_meet_lanes(k), f"_i {kind}, near array<double>"), "lane-near")
+        found = own if found is None else found.unionByName(own)
+        bounds = own.select("_i", F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))).otherwise(
+            float("inf")).alias("bound")).groupBy("_i").agg(F.max("bound").alias("bound"))
+        asked = asked.drop("bound").join(bounds, "_i")
+    if found is None:
+        return spark.createDataFrame([], T.StructType([queries.schema[item], T.StructField(
+            "score", T.DoubleType())]))
+    # a short list per lane a query met
+    merged = found.groupBy("_i").agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("_d"))
-    return merged.select(item, (F.aggregate("_d", F.lit(0.0), lambda a, v: a + v)
-                                / F.size("_d")).alias("score"))
+    return merged.select(F.col("_i").alias(item), (F.aggregate("_d", F.lit(0.0), lambda a, v: a + v)
+                                                   / F.size("_d")).alias("score"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import scoring, selection
+from plumbline.operators import clusters, scoring, selection
 from plumbline.plans.bindings import stamp
 
 
@@ -110,3 +110,32 @@ def test_knn_equals_brute_force_for_any_block(spark):
     assert len(few) == 150
     with pytest.raises(ValueError):
         scoring.knn_score(frames[0], frames[1].where("i < 0"), "i", "v")
+
+
+def test_clustered_queries_meet_few_lanes(spark):
+    """Cells out of reach are never met; a third of the bank is one vector; scores are exact."""
+    rng = np.random.default_rng(6)
+    middles = rng.normal(0, 10, (20, 5))
+    bank = np.concatenate([np.repeat(middles, 100, axis=0) + rng.normal(0, 0.1, (2000, 5)), np.tile(
+        middles[:1], (1000, 1))])
+    asked = np.repeat(middles, 10, axis=0) + rng.normal(0, 0.1, (200, 5))
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+              for x in (asked, bank)]
+    placed, cells = scoring.bank_cells(clusters.usable(frames[1], "i", "v", 5), 5, cell_rows=60)
+    lanes = max(lane + parts for lane, parts in cells.lanes(150))
+    assert lanes >= 15 and max(parts for _, parts in cells.lanes(150)) > 5  # the hot cell is split
+    rows = clusters.usable(frames[0], "i", "v", 5).withColumn("bound", F.lit(2.0))
+    met = rows.mapInArrow(scoring.lanes_met(cells, 150, False), "_i long, _v array<double>, bound double, lane int")
+    assert met.groupBy("_i").count().agg(F.avg("count")).first()[0] < lanes / 2
+    assert placed.count() == 3000
+    got = scoring.knn_score(*frames, "i", "v", 9, 150, 60).orderBy("i").toPandas()
+    gaps = np.sort(np.sqrt(((asked[:, None] - bank[None]) ** 2).sum(axis=2)), axis=1)[:, :9].mean(axis=1)
+    np.testing.assert_allclose(got["score"], gaps, rtol=1e-12)
+
+
+def test_knn_leaves_out_unusable_rows(spark):
+    rows = [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    got = {r.i: r.score for r in scoring.knn_score(df, df, "i", "v", 2).collect()}
+    assert got == {1: 2.5, 2: 2.5}
+    assert scoring.knn_score(df.limit(0), df, "i", "v").count() == 0
