@@ -117,7 +117,8 @@ def context_counts(texts: DataFrame, order: int, nodes: int) -> DataFrame:
     least = pairs.groupBy("lang", "n").agg(F.count("*").alias("m")).withColumn(
         "_upto", F.sum("m").over(down)).filter(F.col("_upto") <= nodes).groupBy("lang").agg(
             F.min("n").alias("_least"))
-    return pairs.join(least, "lang").filter("n >= _least").drop("_least")
+    # one row per language, of which the model holds a tree each
+    return pairs.join(F.broadcast(least), "lang").filter("n >= _least").drop("_least")
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
