@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontaminate import keep_clean
-from plumbline.llm.mixing import mix_sources
+from plumbline.llm.mixing import mixed_rows
 from plumbline.llm.quality import keep_quality
 from plumbline.llm.registry import table
 from plumbline.llm.simhash import one_per_group
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources weigh as the square root of their sizes, shuffled."""
-    return mix_sources(docs).drop("_mix")
+    return mixed_rows(docs).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,9 @@ def window_hits(docs: DataFrame, windows: DataFrame, *, shingle: int = SHINGLE,
     """
     spark = docs.sparkSession
     size = F.least(F.size("words"), F.lit(shingle))
-    sizes = sorted(r[0] for r in windows.select(size).distinct().collect())  # at most `shingle`
+    kinds = windows.select(size.alias("n"), F.size("words").alias("long")).groupBy("n").agg(
+        F.max("long").alias("long")).collect()  # at most `shingle`
+    sizes, longest = sorted(r["n"] for r in kinds), max((r["long"] for r in kinds), default=0)
     if not sizes:
         return docs.select("_id", "_version", F.lit("").alias("window_key"),
                            F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
@@ -95,23 +97,28 @@ def window_hits(docs: DataFrame, windows: DataFrame, *, shingle: int = SHINGLE,
                 "offset", "shingle"))
         tokens = own if tokens is None else tokens.unionByName(own)
     tokens = materialize(spark, tokens, "window-shingles")
-    runs = _runs(docs, sizes)  # outer generators: others would evaluate the runs in a filter too
-
-    vocabulary = _bounded(tokens.select("shingle").distinct(), broadcast_rows)
-    seen = runs.select(F.explode_outer("_runs").alias("shingle")).join(vocabulary, "shingle").groupBy(
-        "shingle").agg(F.count("*").alias("count"))
+    runs = _runs(docs, sizes)
+
+    # one pass over the documents: every place of a benchmark shingle, and the words around it
+    vocabulary = _bounded(tokens.select("shingle", "n").distinct(), broadcast_rows)
+    # an outer generator: others would evaluate the runs in a filter too
+    places = runs.select("_id", "_version", "_words", F.posexplode_outer("_runs").alias(
+        "_at", "shingle")).join(vocabulary, "shingle").withColumn("_place", _position(sizes)).withColumn(
+            "_from", F.greatest(F.col("_place") - longest, F.lit(0)))
+    places = materialize(spark, places.select(
+        "_id", "_version", "shingle", "_place", "_from", F.size("_words").alias("_size"),
+        F.slice("_words", F.col("_from") + 1, F.lit(2 * longest)).alias("_near")), "shingle-places")
+    seen = places.groupBy("shingle").agg(F.count("*").alias("count"))
     ranked = tokens.join(seen, "shingle", "left").withColumn(
         "count", F.coalesce("count", F.lit(0)))
     prefix = ranked.groupBy("window_key").agg(F.min(F.struct(
-        "count", "offset", "shingle", "n", "words")).alias("_rarest")).select(
+        "count", "offset", "shingle", "words")).alias("_rarest")).select(
             "window_key", "_rarest.*").filter("count > 0").drop("count")
     prefix = _bounded(materialize(spark, prefix, "window-prefix"), broadcast_rows)
 
-    found = runs.select("_id", "_version", "_words", F.posexplode_outer("_runs").alias(
-        "_at", "shingle")).join(prefix, "shingle").withColumn(
-            "start", _position(sizes) - F.col("offset"))
-    fits = (F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.size("_words"))
-    same = F.slice("_words", F.col("start") + 1, F.size("words")) == F.col("words")
+    found = places.join(prefix, "shingle").withColumn("start", F.col("_place") - F.col("offset"))
+    fits = (F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.col("_size"))
+    same = F.slice("_near", F.col("start") - F.col("_from") + 1, F.size("words")) == F.col("words")
     return found.filter(F.when(fits, same).otherwise(False)).select(
         "_id", "_version", "window_key", "start", (F.col("start") + F.size("words")).alias("end"))
 

@@ -2,8 +2,9 @@
 
 Lines become 128-bit hashes. The hashes are range-partitioned together with the document, so that a
 line which fills a third of all rows lies in as many ranges as its share asks for, and are sorted
-by document and position. Each range streams its lines once and leaves one row per line key: its
-first place and its number of documents. Those rows add up to one verdict per key. Verdicts go
+by document and position. Each range streams the first occurrence of a line in each document and
+leaves one row per line key: its first place and its number of documents. Those rows add up to one
+verdict per key. Verdicts go
 back to the lines, and lines that go become 64-bit words of a bitmap.
 
 Cases: null and empty texts are one empty line. A document is an (id, text) pair, so repeated rows
@@ -42,16 +43,12 @@ def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
 def line_verdicts(lines: DataFrame, min_docs: int) -> DataFrame:
     """One row per line key found in at least ``min_docs`` documents, with its first place."""
     ranged = lines.repartitionByRange("_h1", "_h2", "_id", "_version").sortWithinPartitions(
-        "_h1", "_h2", "_id", "_version", "_pos").withColumn("_range", F.spark_partition_id())
-    order = Window.partitionBy("_range", "_h1", "_h2").orderBy("_id", "_version", "_pos")
-    before = F.lag(F.struct("_id", "_version")).over(order)
-    streamed = ranged.withColumn("_opens", (~before.eqNullSafe(F.struct("_id", "_version"))).cast(
-        "long"))
-    in_range = streamed.groupBy("_range", "_h1", "_h2").agg(
-        F.sum("_opens").alias("_docs"), F.min(F.struct("_id", "_version", "_pos")).alias("_first"))
-    return in_range.groupBy("_h1", "_h2").agg(
-        F.sum("_docs").alias("_docs"), F.min("_first").alias("_first")).filter(
-            F.col("_docs") >= min_docs)
+        "_h1", "_h2", "_id", "_version", "_pos")
+    # partitioning and order are those of the ranges, so first occurrences stream by
+    nth = F.row_number().over(Window.partitionBy("_h1", "_h2", "_id", "_version").orderBy("_pos"))
+    return ranged.withColumn("_nth", nth).filter("_nth = 1").groupBy("_h1", "_h2").agg(
+        F.count("*").alias("_docs"), F.min(F.struct("_id", "_version", "_pos")).alias(
+            "_first")).filter(F.col("_docs") >= min_docs)
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,

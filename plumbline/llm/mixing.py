@@ -4,7 +4,7 @@ Every source gets a repetition rate: its target share of the mixture's size over
 document's count is drawn from a Poisson distribution with that rate by inverting it at a uniform
 number, which is a hash of the seed and the document, so a rerun draws the same counts and a split
 of the work changes nothing. Documents are exploded by their counts, and all copies are ordered by
-another hash: a global shuffle as a range-partitioned sort.
+another hash: a global shuffle as a sort in ranges of that hash.
 
 The rates are one row per source. They are broadcast while there are at most ``broadcast_sources``,
 which is counted first; beyond that Spark joins by shuffle and splits skewed sources.
@@ -12,8 +12,8 @@ which is counted first; beyond that Spark joins by shuffle and splits skewed sou
 Cases: sizes are code points of the text, so null and empty texts add nothing; a source of size 0
 has rate 0 unless all sources have, then nothing is drawn. A null source is a source. Rows that
 repeat an id and text draw equal counts and stay distinct rows; equal shuffle keys are ordered by
-id and copy. An empty table gives an empty result. All columns are kept; the working columns begin
-with ``_mix`` and an input column of such a name is refused.
+id and copy. An empty table gives an empty result. All columns are kept, whatever their names;
+only ``mix_sources``, which puts ``_mix`` beside them, refuses a column of that name.
 """
 
 from __future__ import annotations
@@ -78,34 +78,42 @@ def repetition_rates(sizes: DataFrame, target_size: float | None = None) -> Data
         stepped, f"source {dict(rated.dtypes)['source']}, rate double, steps array<double>")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                source_col: str = "source", *, seed: int = 7, exponent: float = 0.5,
-                target_size: float | None = None, broadcast_sources: int = 10_000) -> DataFrame:
-    """All copies in shuffled order: the columns of ``docs`` and ``_mix`` (copy, copies, rate, key).
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               source_col: str = "source", *, seed: int = 7, exponent: float = 0.5,
+               target_size: float | None = None, broadcast_sources: int = 10_000) -> DataFrame:
+    """All copies in shuffled order: ``_row``, a struct of all columns of ``docs``, and ``_mix``.
 
-    A copy's number runs from 0; ``key`` is its place on the unit interval, the sort key.
+    ``_mix`` has copy, copies, rate and key. A copy's number runs from 0; ``key`` is its place on the
+    unit interval, the sort key. Keys are uniform, so equal parts of the interval are the partitions
+    of the sort and no row is drawn twice to find its cuts.
     """
-    taken = [c for c in docs.columns if c.lower().startswith("_mix")]
-    if taken:
-        raise ValueError(f"columns {taken} clash with the operator's own")
     spark = docs.sparkSession
     # the sum by source is small and decides the rates, so it is stored before it is used twice
     sizes = materialize(spark, docs.groupBy(F.col(source_col).alias("source")).agg(
         F.sum(F.char_length(whole(text_col)).cast("long")).alias("size")), "source-sizes")
     rates = materialize(spark, repetition_rates(temperature_weights(sizes, exponent), target_size),
                         "source-rates")
-    small = rates.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"),
-                         F.col("steps").alias("_mix_steps"))
+    small = rates.select(F.col("source").alias("_of"), F.col("rate").alias("_rate"), "steps")
     if rates.count() <= broadcast_sources:
         small = F.broadcast(small)
-    drawn = uniform(F.lit(seed), F.col(id_col), F.lit("count"))
-    counted = docs.join(small, F.col(source_col).eqNullSafe(F.col("_mix_source"))).withColumn(
-        "_mix_u", drawn).withColumn("_mix_count", F.expr(
-            "size(filter(_mix_steps, c -> c <= _mix_u))")).filter("_mix_count > 0")
-    copies = counted.withColumn("_mix_copy", F.explode(F.sequence(
-        F.lit(0), F.col("_mix_count") - 1)))
-    keyed = copies.withColumn("_mix", F.struct(
-        F.col("_mix_copy").alias("copy"), F.col("_mix_count").alias("copies"),
-        F.col("_mix_rate").alias("rate"),
-        uniform(F.lit(seed), F.col(id_col), F.col("_mix_copy"), F.lit("place")).alias("key")))
-    return keyed.select(*docs.columns, "_mix").orderBy("_mix.key", id_col, "_mix.copy")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(
+        source_col).alias("_source"))
+    counted = rows.join(small, F.col("_source").eqNullSafe(F.col("_of"))).withColumn(
+        "_u", uniform(F.lit(seed), F.col("_id"), F.lit("count"))).withColumn(
+            "_count", F.expr("size(filter(steps, c -> c <= _u))")).filter("_count > 0")
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    keyed = copies.select("_row", "_id", F.struct(
+        F.col("_copy").alias("copy"), F.col("_count").alias("copies"), F.col("_rate").alias("rate"),
+        uniform(F.lit(seed), F.col("_id"), F.col("_copy"), F.lit("place")).alias("key")).alias("_mix"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartitionById(parts, F.floor(F.col("_mix.key") * parts).cast("int")
+                                 ).sortWithinPartitions("_mix.key", "_id", "_mix.copy").select(
+        "_row", "_mix")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                source_col: str = "source", **options) -> DataFrame:
+    """``mixed_rows`` as the columns of ``docs`` and ``_mix``."""
+    if any(c.lower() == "_mix" for c in docs.columns):
+        raise ValueError("_mix is already a column; mixed_rows keeps rows apart from it")
+    return mixed_rows(docs, id_col, text_col, source_col, **options).select("_row.*", "_mix")

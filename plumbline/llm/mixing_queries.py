@@ -13,16 +13,18 @@ _PLACE_U = _U.format("'7|' || coalesce(doc_id::VARCHAR, '') || '|' || copy || '|
 
 
 @query("op7_mixing", f"""
-WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS size
+WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS size
   FROM documents GROUP BY source),
 weights AS (SELECT source, size, CASE WHEN size > 0 THEN pow(size::DOUBLE, 5e-1) ELSE 0e0 END AS w
   FROM sizes),
 total AS (SELECT sum(w ORDER BY source) AS w, sum(size)::DOUBLE AS s FROM weights),
 rates AS (SELECT source, CASE WHEN size > 0 THEN weights.w / total.w * total.s / size ELSE 0e0 END
   AS rate FROM weights, total),
-steps AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
-  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps
-  WHERE k < floor(rate + 12 * sqrt(rate) + 40)),
+chance AS (SELECT source, rate, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1))
+    WHEN k = 0 THEN 1e0 ELSE 0e0 END AS p
+  FROM (SELECT source, rate, unnest(range(floor(rate + 12 * sqrt(rate) + 41)::BIGINT)) AS k FROM rates)),
+steps AS (SELECT source, rate, sum(p) OVER (PARTITION BY source ORDER BY k) / sum(p) OVER (
+    PARTITION BY source) AS c FROM chance),
 drawn AS (SELECT doc_id, source, {_COUNT_U} AS u FROM documents),
 counted AS (SELECT doc_id, d.source, rate, count(*) FILTER (c <= u) AS copies
   FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL)

@@ -168,6 +168,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
                  text_col: str = "text", label_col: str = "quality", *,
                  least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with all their columns."""
-    table = materialize(docs.sparkSession, with_statistics(docs, text_col), "scored-documents")
-    model = _learn(table, labels, learn, id_col, label_col)
-    return table.filter(model.score() >= least).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_kept"), F.col(id_col).alias("_id"), F.col(text_col).alias(
+        "_read"))
+    table = materialize(docs.sparkSession, with_statistics(rows, "_read").drop("_read"),
+                        "scored-documents")
+    model = _learn(table.select(F.col("_id").alias(id_col), "stats"), labels, learn, id_col, label_col)
+    return table.filter(model.score() >= least).select("_kept.*")

@@ -396,13 +396,14 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(
             "best._id", "best._version")
     staying = materialize(spark, staying, "staying")
-    marked = docs.withColumn("_version_", F.xxhash64(whole(text_col)))
-    kept = marked.join(staying, marked[id_col].eqNullSafe(staying["_id"])
-                       & (marked["_version_"] == staying["_version"]), "left_semi")
+    marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(
+        whole(text_col)).alias("_its"))
+    kept = marked.join(staying, marked["_own"].eqNullSafe(staying["_id"])
+                       & (marked["_its"] == staying["_version"]), "left_semi")
     again = rows.groupBy("_id", "_version").count().filter("count > 1")
     if again.isEmpty():
-        return kept.drop("_version_")
+        return kept.select("_row.*")
     again = materialize(spark, again, "repeated-rows")
-    same = kept[id_col].eqNullSafe(again["_id"]) & (kept["_version_"] == again["_version"])
+    same = kept["_own"].eqNullSafe(again["_id"]) & (kept["_its"] == again["_version"])
     return kept.join(again, same, "left_anti").unionByName(kept.join(
-        again, same, "left_semi").dropDuplicates([id_col, "_version_"])).drop("_version_")
+        again, same, "left_semi").dropDuplicates(["_own", "_its"])).select("_row.*")

@@ -6,7 +6,8 @@ weights)``, and the text is toxic if any sentence is (noisy-or):
 those; the sentence scores then say where a toxic text offends. Features are a sentence's words and
 their first four and five characters, so that unseen endings of a known stem still count.
 
-The fit reads at most about ``sample`` labelled texts, and uses the ``vocabulary`` features that are
+The fit reads at most about ``sample`` labelled texts of ``longest`` characters at most and about
+``sample_chars`` together, drawn by hashes of their ids, and uses the ``vocabulary`` features that are
 most surely commoner in toxic texts (chi-square). Scoring reads every text whole.
 
 Cases: null and empty texts have no sentence and score 0. Labels that are null, or whose id is null,
@@ -204,6 +205,7 @@ def fit_toxicity(examples: DataFrame, *, vocabulary: int = 4000, min_texts: int
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
                    text_col: str = "text", label_col: str = "toxic", *, sample: int = 20_000,
+                   sample_chars: int = 64_000_000, longest: int = 1_000_000,
                    offends: float = 0.5) -> DataFrame:
     """Id, ``score`` and ``offending`` sentences (start, end, score) per row of ``docs``.
 
@@ -212,9 +214,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("text"))
     known = bounded_sample(labels.filter(learn & F.col(label_col).isin(0, 1)), id_col, sample)
-    examples = read.join(known.select(F.col(id_col).alias("_id"), F.col(label_col).cast(
-        "int").alias("label")), "_id").select("text", "label")
-    model = fit_toxicity(materialize(spark, examples, "toxicity-examples"))
+    examples = materialize(spark, read.join(known.select(F.col(id_col).alias("_id"), F.col(
+        label_col).cast("int").alias("label")), "_id").filter(F.char_length("text") <= longest).select(
+            "text", "label", F.pmod(F.xxhash64(F.lit("length"), "_id"), F.lit(1 << 32)).alias("_draw")),
+        "toxicity-examples")
+    chars = examples.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if chars > sample_chars:
+        examples = examples.filter(F.col("_draw") < int(sample_chars / chars * (1 << 32)))
+    model = fit_toxicity(examples.select("text", "label"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = model.scorer()

@@ -64,3 +64,13 @@ def test_bitmap_words_are_sparse(spark):
     assert got[3].keep_bitmap is None and got[2].kept == ""
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(F.lit(""), 256)).head()[0]
     assert drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_travel_once(spark):
+    """The range partitioning serves the search for first occurrences; only small rows move again."""
+    from plumbline.llm.line_dedup import _documents, _lines, line_verdicts
+
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "a")], "doc_id long, text string")
+    plan = line_verdicts(_lines(_documents(docs, "doc_id", "text"), 1), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Exchange hashpartitioning(_h1") < plan.index("Window") < plan.index("Exchange rangepartitioning")

@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from plumbline.llm.mixing import mix_sources, poisson_steps
+from plumbline.llm.mixing import mix_sources, mixed_rows, poisson_steps
 
 
 def unit(text):
@@ -62,7 +62,15 @@ def test_edges(spark):
     same = spark.createDataFrame([(1, "xx", "a")] * 3, "doc_id long, text string, source string")
     assert mix_sources(same).count() % 3 == 0
     with pytest.raises(ValueError):
-        mix_sources(docs.withColumn("_mix_u", docs.doc_id))
+        mix_sources(docs.withColumn("_MIX", docs.doc_id))
+    own = same.selectExpr("*", "1 AS _mix", "2 AS _mix_u", "3 AS _row", "4 AS _id", "5 AS steps", "6 AS _u")
+    assert mixed_rows(own).select("_row.*").columns == own.columns
+
+
+def test_rows_are_drawn_once(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "'s' AS source")
+    plan = mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1
 
 
 def test_rates_beyond_the_range_of_exp(spark):

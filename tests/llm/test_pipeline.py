@@ -96,3 +96,18 @@ def test_token_files(steps):
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4"))))
         start += len(ids)
     assert sorted(map(tuple, steps[5])) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "decontamination", "mixing"])
+def test_columns_of_any_name_pass_unchanged(spark, name):
+    """Rows come back with their extra columns, whatever those are called."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = {"Stats": "1", "_version_": "2", "_version": "3", "_id": "4", "_mix_u": "5", "_mix": "6", "_row": "7",
+             "_kept": "8", "_own": "9", "_its": "10", "_text": "11", "_read": "12", "label": "13", "score": "14"}
+    own = docs.selectExpr("*", *[f"doc_id * {n} AS {c}" for c, n in extra.items()])
+    stage = dict(pipeline.STAGES)[name]
+    got, plain = stage(spark, own, FOLDER), stage(spark, docs, FOLDER)
+    assert got.columns == own.columns
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect())
+    assert all(r[c] == r.doc_id * int(n) for r in rows for c, n in extra.items())
