@@ -10,6 +10,7 @@ from plumbline.operators import audit, metrics
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query
 from plumbline.session import materialize, scratch_path
+from plumbline.sources.versions import VersionedTable
 from plumbline.sources import files as source
 from plumbline.sources import sinks
 
@@ -389,12 +390,14 @@ def json_report(t: Tables):
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def append_events(t: Tables):
-    """Two appends to one audit table: purchases, then all other events."""
+    """Two batches added to one audit table, purchases and then all other events; the first comes
+    again, as after a lost answer, and changes nothing."""
     path = scratch_path(t.spark, "events-log")
     rows = t.events.select("event_id", "user_id", "event_type", "value")
-    sinks.append(rows.where("event_type = 'purchase'"), path)
-    sinks.append(rows.where("NOT event_type <=> 'purchase'"), path)
-    return t.spark.read.schema(rows.schema).parquet(path)
+    for batch, kind in enumerate(["event_type = 'purchase'", "NOT event_type <=> 'purchase'"]):
+        sinks.append(rows.where(kind), path, "events", batch)
+    sinks.append(rows.where("event_type = 'purchase'"), path, "events", 0)
+    return VersionedTable(t.spark, path).read()
 
 
 @query(f"""WITH {b.FILES}

@@ -9,6 +9,8 @@ from plumbline.operators import compare, governance
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query, rounded
 from plumbline.policy import DriftPolicy
+from plumbline.session import scratch_path
+from plumbline.sources.versions import VersionedTable
 
 
 @query("""SELECT event_id, user_id, event_type, value FROM (
@@ -33,6 +35,20 @@ def upsert(t: Tables):
                              "event_id").drop("ts")
 
 
+@query("""SELECT event_id, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id
+    ORDER BY event_type = 'purchase' DESC, event_type = 'error' DESC, ts DESC, event_id DESC) AS r
+  FROM events) WHERE r = 1""")
+def upsert_table(t: Tables):
+    """A stored table of the last event per user; errors and then purchases replace its rows."""
+    table = VersionedTable(t.spark, scratch_path(t.spark, "last-events"), ["user_id"], buckets=16)
+    ev = t.events.select("event_id", "user_id", "event_type", "value", "ts")
+    table.upsert(ev, "ts", "event_id")
+    for kind in ("error", "purchase"):
+        table.upsert(ev.where(F.col("event_type") == kind), "ts", "event_id")
+    return table.read().drop("ts")
+
+
 @query("""WITH new AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders
   WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') GROUP BY 1)
 SELECT * FROM new WHERE o_custkey NOT IN (SELECT o_custkey FROM orders

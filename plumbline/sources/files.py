@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import file_stem
 from plumbline.operators.audit import pair_masks, set_fingerprint
+from plumbline.sources.versions import VersionedTable
 
 # fixed values: image file suffixes that are read
 SUFFIXES = ["bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp"]
@@ -170,18 +171,21 @@ def manifest_fingerprint(rows: DataFrame) -> DataFrame:
 def write_manifest(rows: DataFrame, path: str, fingerprint: str | None = None) -> None:
     """Write manifest rows with their fingerprint; refuse when a given fingerprint differs.
 
-    Spark's commit protocol shows the folder's new files only after the whole job succeeded.
+    The rows become a new version of the folder's table, so a manifest that is there stays readable
+    until the new one is complete.
     """
     found = manifest_fingerprint(rows)
     if fingerprint is not None and found.where(F.col("fingerprint") != fingerprint).limit(1).count():
         raise ValueError("the manifest does not match its fingerprint")
-    rows.join(found.select("dataset_id", F.col("fingerprint").alias("manifest_sha256")),
-              "dataset_id").write.mode("overwrite").json(path)
+    VersionedTable(rows.sparkSession, path, layout="json").overwrite(rows.join(found.select(
+        "dataset_id", F.col("fingerprint").alias("manifest_sha256")), "dataset_id"))
 
 
 def read_manifest(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Read manifest rows and verify the fingerprint they carry."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Read manifest rows and verify the fingerprint they carry; a plain folder of JSON is read too."""
+    table = VersionedTable(spark, path, layout="json")
+    rows = table.read().select(*[f.name for f in schema]) if table.latest() else spark.read.schema(
+        schema).option("mode", "FAILFAST").json(path)
     if mismatched_manifests(rows).limit(1).count():
         raise ValueError("a manifest does not match its fingerprint")
     return rows

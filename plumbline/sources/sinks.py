@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import spreadsheet_safe
+from plumbline.sources.versions import VersionedTable
 
 # fixed values: columns of the flat report, in order
 REPORT_COLUMNS = {
@@ -45,6 +46,6 @@ def write_json_report(results: DataFrame, path: str) -> None:
     results.write.mode("errorifexists").option("timestampFormat", TIMESTAMP_FORMAT).json(path)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add rows to an audit table; existing rows are never touched."""
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, writer: str, batch: int) -> bool:
+    """Add a batch to an audit table once; existing rows are never touched. Whether it was added."""
+    return VersionedTable(rows.sparkSession, path).append(rows, writer, batch)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from plumbline.operators import governance, images, scoring
 from plumbline.sources import files, sinks
+from plumbline.sources.versions import VersionedTable
 
 
 def png(path, rgb):
@@ -133,6 +134,6 @@ def test_run_artifacts_and_append(spark, tmp_path):
     out = files.read_run_artifacts(spark, str(tmp_path / "runs/*/thresholds*.json"), schema)
     assert {r.run_id: r.threshold for r in out.collect()} == {"run0": 0.0, "run1": 0.1, "run2": 0.2}
     path = str(tmp_path / "log")
-    sinks.append(spark.range(2), path)
-    sinks.append(spark.range(3), path)
-    assert spark.read.parquet(path).count() == 5
+    assert sinks.append(spark.range(2), path, "test", 0) and sinks.append(spark.range(3), path, "test", 1)
+    assert not sinks.append(spark.range(3), path, "test", 1)  # a replay changes nothing
+    assert VersionedTable(spark, path).read().count() == 5
