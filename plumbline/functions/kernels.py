@@ -55,6 +55,14 @@ def laplacian_variance(gray: np.ndarray) -> float:
     return float(total.var())
 
 
+def tile_weights(height: int, width: int) -> np.ndarray:
+    """Weights of a tile's pixels: a Hann window that never quite reaches zero."""
+    def hann(n: int) -> np.ndarray:
+        return np.ones(n) if n <= 2 else 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+
+    return np.maximum(np.outer(hann(height), hann(width)), 1e-3)
+
+
 def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Connected components: every set pixel gets the flat index of its first pixel, others -1.
 

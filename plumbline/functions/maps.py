@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,15 +91,6 @@ def occluded(pixels: Column, height: Column, width: Column, share: Column) -> Co
     return bind(box, paint)
 
 
-def hann(i: Column, n: Column) -> Column:
-    """Hann window value; sides of at most two pixels get weight one."""
-    return F.when(n > 2, 0.5 - 0.5 * F.cos(2.0 * math.pi * i / (n - 1))).otherwise(1.0)
-
-
-def tile_weight(y: Column, x: Column, height: Column, width: Column) -> Column:
-    return F.greatest(hann(y, height) * hann(x, width), F.lit(1e-3))
-
-
 def map_mean(pixels: Column) -> Column:
     total = F.aggregate(pixels, F.lit(0.0), lambda a, v: a + v.cast("double"))
     return total / F.size(pixels)

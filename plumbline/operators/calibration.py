@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import is_finite
 from plumbline.operators.metrics import best_row, cumulative_counts
-from plumbline.operators.ordered import count_at_most, exact_quantiles, join_same
+from plumbline.operators.ordered import count_at_most, exact_quantiles, join_same, join_spread
 
 
 def only_split(df: DataFrame, split: str, wanted: str) -> DataFrame:
@@ -113,7 +113,8 @@ def pixel_f1_threshold(pixels: DataFrame, keys: Sequence[str], label: str, score
     # n_candidates entries per key, in the order of their probabilities
     lists = exact_quantiles(pixels, keys, score, probs, slices=slices).groupBy(*keys).agg(
         F.sort_array(F.collect_list("quantile")).alias("_a"))
-    reached = join_same(pixels, lists, keys).withColumn(
+    # scores are many, so a hot key goes to many tasks
+    reached = join_spread(pixels, lists, keys, score).withColumn(
         "_i", count_at_most(F.col("_a"), n_candidates, F.col(score)))
     counts = reached.groupBy(*keys, "_i").agg(
         F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))

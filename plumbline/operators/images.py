@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import kernels, maps, rules
 from plumbline.policy import DEFAULT_GATE, GatePolicy
+from plumbline.session import materialize
 
 REGION = T.StructType([
     T.StructField("region_id", T.IntegerType()),
@@ -49,17 +51,57 @@ def pixel_arrays(images: DataFrame) -> DataFrame:
     return images
 
 
+def merge_maps(tile_maps: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Weighted mean of overlapping tile maps: one row per image (keys, height, width, pixels).
+
+    A tile moves as one row, and an image, which fits in a row by definition, is put together as its
+    tiles stream by. Pixels that no tile covers are NULL.
+    """
+    keys = list(keys)
+    kinds = [f"`{k}` {tile_maps.schema[k].dataType.simpleString()}" for k in keys]
+    rows = tile_maps.select(*keys, *[F.col(c).cast("int").alias(c) for c in ("y0", "x0", "y1", "x1")],
+                            F.col("tile_pixels").cast("array<double>").alias("_v"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, types = None, [], {}
+
+        def whole() -> pa.RecordBatch:
+            height, width = (max(p[i] for p in parts) for i in (2, 3))
+            weight, total = np.zeros((height, width)), np.zeros((height, width))
+            for y0, x0, y1, x1, values in parts:
+                w = kernels.tile_weights(y1 - y0, x1 - x0)
+                weight[y0:y1, x0:x1] += w
+                total[y0:y1, x0:x1] += w * values.reshape(y1 - y0, x1 - x0)
+            flat = (total / np.where(weight > 0, weight, 1)).ravel()
+            pixels = pa.array(flat, mask=(weight == 0).ravel())
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array([v], types[k]) for k, v in zip(keys, now)], pa.array([height], pa.int32()),
+                 pa.array([width], pa.int32()), pa.ListArray.from_arrays([0, len(flat)], pixels)],
+                [*keys, "height", "width", "pixels"])
+
+        for batch in batches:
+            types.update({k: batch.schema.field(k).type for k in keys})
+            names = list(zip(*[batch[k].to_pylist() for k in keys]))
+            places = np.column_stack([batch[c].to_numpy() for c in ("y0", "x0", "y1", "x1")]).tolist()
+            for i, (name, place) in enumerate(zip(names, places)):
+                if name != now:
+                    if parts:
+                        yield whole()
+                    now, parts = name, []
+                parts.append((*place, batch["_v"][i].values.to_numpy(zero_copy_only=False)))
+        if parts:
+            yield whole()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "y0", "x0").mapInArrow(merge, ", ".join(
+        [*kinds, "height int", "width int", "pixels array<double>"]))
+
+
 def merge_tiles(tile_maps: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Weighted mean of overlapping tile maps, one row per pixel (keys, y, x, value)."""
-    h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    rows = tile_maps.select(*keys, "x0", "y0", h.alias("_h"), w.alias("_w"),
-                            F.posexplode("tile_pixels").alias("_i", "_v"))
-    y, x = F.floor(F.col("_i") / F.col("_w")), F.col("_i") % F.col("_w")
-    weight = maps.tile_weight(y, x, F.col("_h"), F.col("_w"))
-    return rows.select(
-        *keys, (F.col("y0") + y).cast("int").alias("y"), (F.col("x0") + x).cast("int").alias("x"),
-        weight.alias("_g"), (weight * F.col("_v")).alias("_gv")
-    ).groupBy(*keys, "y", "x").agg((F.sum("_gv") / F.sum("_g")).alias("value"))
+    """`merge_maps` as one row per covered pixel (keys, y, x, value)."""
+    rows = merge_maps(tile_maps, keys).select(*keys, "width", F.posexplode("pixels").alias("_i", "value"))
+    return rows.where(F.col("value").isNotNull()).select(
+        *keys, F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"),
+        (F.col("_i") % F.col("width")).cast("int").alias("x"), "value")
 
 
 def require_covered(images: DataFrame, merged: DataFrame) -> None:
@@ -142,14 +184,15 @@ def with_gate(images: DataFrame, gate: GatePolicy = DEFAULT_GATE) -> DataFrame:
 
 def extract_regions(images: DataFrame, threshold: float, min_area: int = 16,
                     keep: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Per image the regions of its map at the threshold and the filled area ratio."""
+    """Per image the regions of its map at the threshold and the filled area ratio; an image without
+    a map has none."""
     fields = [images.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("regions", T.ArrayType(REGION)),
                            T.StructField("area_ratio", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [kernels.regions(_plane(h, w, px), threshold, min_area)
+            found = [([], 0.0) if px is None else kernels.regions(_plane(h, w, px), threshold, min_area)
                      for h, w, px in zip(pdf["height"], pdf["width"], pdf["pixels"])]
             out = pdf[list(keep)].copy()
             out["regions"] = [f[0] for f in found]
@@ -265,25 +308,28 @@ def analyze_images(images: DataFrame, scorer: Callable, image_threshold: float,
     from plumbline.operators.scoring import score_images
 
     gated = with_gate(quality_metrics(images), gate)
-    rejected = gated.where(F.col("quality_status") == "ABSTAIN").drop("pixels").withColumns({
-        "score": F.lit(0.0), "area_ratio": F.lit(0.0),
-        "regions": F.array().cast(T.ArrayType(REGION))})
-    passed = gated.where(F.col("quality_status") != "ABSTAIN")
     keep = [c for c in gated.columns if c != "pixels"]
+    abstains = F.col("quality_status") == "ABSTAIN"
     if tile is None:
-        scored = score_images(passed, scorer, keep)
+        # one pass: rejected images have no pixels left, and what has none is neither scored nor cut
+        blank = gated.withColumn("pixels", F.when(~abstains, F.col("pixels")))
+        scored = score_images(blank, scorer, keep).withColumn("score", F.coalesce("score", F.lit(0.0)))
     else:
+        # stored, so that the gate is worked out once for the tiles and for the result
+        gated = materialize(images.sparkSession, gated, "gated-images")
+        passed = gated.where(~abstains)
         cut = tiles(passed, *tile, overlap).select(
             "image_id", "x0", "y0", "x1", "y1", (F.col("y1") - F.col("y0")).alias("height"),
             (F.col("x1") - F.col("x0")).alias("width"), F.col("tile_pixels").alias("pixels"))
-        parts = score_images(cut, scorer, ["image_id", "x0", "y0", "x1", "y1"])
-        whole = assemble_maps(merge_tiles(parts.withColumnRenamed("anomaly_map", "tile_pixels")))
-        scored = passed.select(*keep).join(
-            image_score(parts.withColumnRenamed("score", "tile_score")), "image_id").join(
-            whole.withColumnRenamed("pixels", "anomaly_map"), "image_id")
-    cut_out = extract_regions(scored.withColumnRenamed("anomaly_map", "pixels"), pixel_threshold,
-                              min_area, [*keep, "score"])
-    result = cut_out.unionByName(rejected)
+        parts = materialize(images.sparkSession, score_images(
+            cut, scorer, ["image_id", "x0", "y0", "x1", "y1"]), "scored-tiles")
+        whole = merge_maps(parts.withColumnRenamed("anomaly_map", "tile_pixels")).select(
+            "image_id", F.col("pixels").alias("anomaly_map"))
+        best = image_score(parts.withColumnRenamed("score", "tile_score"))
+        scored = gated.select(*keep).join(best, "image_id", "left").join(
+            whole, "image_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    result = extract_regions(scored.withColumnRenamed("anomaly_map", "pixels"), pixel_threshold,
+                             min_area, [*keep, "score"])
     thr = F.lit(float(image_threshold))
     decision = rules.decide(F.col("score"), thr, F.col("quality_status"))
     return (result.withColumn("decision", decision)

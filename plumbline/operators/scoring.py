@@ -20,7 +20,7 @@ from plumbline.session import materialize
 
 
 def score_images(images: DataFrame, scorer: Callable, keep: list[str]) -> DataFrame:
-    """Apply a scorer to every image: adds score and anomaly_map.
+    """Apply a scorer to every image: adds score and anomaly_map, NULL for an image without pixels.
 
     ``scorer`` is a factory that Spark ships to the tasks. It is called once per task and returns
     a function image -> (score, map), so a model is loaded once and not per row.
@@ -32,11 +32,12 @@ def score_images(images: DataFrame, scorer: Callable, keep: list[str]) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = scorer()
         for pdf in batches:
-            done = [model(_plane(h, w, px))
+            done = [(None, None) if px is None else model(_plane(h, w, px))
                     for h, w, px in zip(pdf["height"], pdf["width"], pdf["pixels"])]
             out = pdf[keep].copy()
-            out["score"] = [float(s) for s, _ in done]
-            out["anomaly_map"] = [np.asarray(m, dtype=np.float64).ravel() for _, m in done]
+            out["score"] = pd.Series([None if s is None else float(s) for s, _ in done], pdf.index, "Float64")
+            out["anomaly_map"] = [None if m is None else np.asarray(m, dtype=np.float64).ravel()
+                                  for _, m in done]
             yield out
 
     needed = list(dict.fromkeys([*keep, "height", "width", "pixels"]))

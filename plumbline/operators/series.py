@@ -95,19 +95,19 @@ def _charts(df: DataFrame, keys: list[str], order: Sequence[str], value: str, ch
         F.expr("max_by(_e, _r) AS _end"))
     ends = ends.selectExpr("*", f"coalesce(sum(_n) OVER {past}, 0L) AS _pos0",
                            f"coalesce(sum(_sum) OVER {past}, 0D) AS _s0")
-    # a chunk maps e to _f * e + _end; doubling the reach composes it with the chunks before, until
-    # the factors of what is left out are below 1e-17 (every chunk holds a row)
-    ends = ends.selectExpr("*", f"coalesce(min(_s0 + _low) OVER {past}, 0D) AS _m0",
-                           f"pow({keep}, _n) AS _f")
-    order = f"(PARTITION BY {by} ORDER BY {_CHUNK})"
-    for k in range(max(1, reach).bit_length()):
-        rest = [c for c in ends.columns if c not in ("_f", "_end")]
-        ends = ends.selectExpr(
-            *[f"`{c}`" for c in rest],
-            f"_end + _f * coalesce(lag(_end, {1 << k}) OVER {order}, 0D) AS _end",
-            f"_f * coalesce(lag(_f, {1 << k}) OVER {order}, 0D) AS _f")
+    ends = ends.selectExpr("*", f"coalesce(min(_s0 + _low) OVER {past}, 0D) AS _m0", "_pos0 + _n AS _at")
+    if w < 1.0:
+        # the EWMA after a chunk is a sum of earlier ends, each times keep ^ rows since; counted from the
+        # start of a block of ``reach`` rows the powers stay in range, and what lies before the block
+        # in front weighs less than 1e-17
+        ends = ends.selectExpr("*", f"_at div {reach} AS _blk", f"pow({keep}, _at % {reach}) AS _p").selectExpr(
+            "*", "_end / _p AS _g").selectExpr(
+            "*", f"sum(_g) OVER (PARTITION BY {by}, _blk ORDER BY {_CHUNK} ROWS UNBOUNDED PRECEDING) AS _own",
+            f"""sum(_g) OVER (PARTITION BY {by} ORDER BY _blk RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)
+                AS _front""")
+        ends = ends.withColumn("_end", F.expr(f"_p * (_own + pow({keep}, {reach}) * coalesce(_front, 0D))"))
     carry = ends.selectExpr(*[f"`{k}`" for k in keys], _CHUNK, "_pos0", "_s0", "_m0",
-                            f"coalesce(lag(_end) OVER {order}, 0D) AS _e0")
+                            f"coalesce(lag(_end) OVER (PARTITION BY {by} ORDER BY {_CHUNK}), 0D) AS _e0")
 
     out = join_same(rows, carry, [*keys, _CHUNK]).selectExpr(
         *[f"`{c}`" for c in df.columns], "_pos0 + _r AS position",
