@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.maps import bind
+from plumbline.session import materialize
 
 SPLITS = ("train", "validation", "test")
 
@@ -146,6 +147,37 @@ def hash_groups(df: DataFrame, item: str, digest: str) -> DataFrame:
         F.min(item).alias("item"), F.count(F.lit(1)).alias("copies"))
 
 
+def _filed(rows: DataFrame, segments: int, hot_rows: int) -> DataFrame:
+    """Rows of (choice, key) bins, hot bins filed again under one more segment of their ``rest``.
+
+    ``skipped`` collects the segments before the one that joined a key: a pair that shares one of those
+    meets in that segment's bin.
+    """
+    def cut(name: str, i: str) -> str:
+        start, end = f"int({i} * length({name}) div {segments})", f"int(({i} + 1) * length({name}) div {segments})"
+        return f"substring({name}, {start} + 1, {end} - {start})"
+
+    def outside(name: str, i: str) -> str:
+        start, end = f"int({i} * length({name}) div {segments})", f"int(({i} + 1) * length({name}) div {segments})"
+        return f"concat(substring({name}, 1, {start}), substring({name}, {end} + 1))"
+
+    again = f"""inline(transform(sequence(0, {segments - 1}), i -> struct(
+        concat(key, '/', i, ':', {cut("rest", "i")}) AS key, {outside("rest", "i")} AS rest,
+        concat(skipped, transform(filter(sequence(0, {segments - 1}), j -> j < i), j -> {cut("rest", "j")}))
+          AS skipped)))"""
+    done = None
+    while True:
+        hot = rows.where(f"length(rest) >= {segments}").groupBy("choice", "key").agg(
+            F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select("choice", "key")
+        if hot.isEmpty():
+            return rows if done is None else done.unionByName(rows)
+        hot = materialize(rows.sparkSession, hot, "hot-keys")
+        cold = rows.join(hot, ["choice", "key"], "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        rows = materialize(rows.sparkSession, rows.join(hot, ["choice", "key"], "left_semi").selectExpr(
+            "hash", "item", "copies", "choice", again), "filed-again")
+
+
 def near_duplicates(groups: DataFrame, max_distance: int = 3, blocks: int | None = None,
                     digits: int = 16, hot_rows: int = 10_000) -> DataFrame:
     """Pairs of distinct hashes at most ``max_distance`` bits apart.
@@ -155,10 +187,11 @@ def near_duplicates(groups: DataFrame, max_distance: int = 3, blocks: int | None
     choice of that many blocks is one join key (Manku et al. 2007). With 6 blocks and d = 3 a key
     has about 32 of the 64 bits.
 
-    A key shared by more than ``hot_rows`` hashes is split once more: the digits outside the key
-    fall into d + 1 segments, of which a close pair shares at least one, so the segment joins the
-    key. A pair that agrees in several ways is kept for the first way only, which needs no distinct
-    afterwards. No pair is lost by either step.
+    Hashes of a key that more than ``hot_rows`` share are filed again, as often as needed: the digits
+    outside the key fall into d + 1 segments, of which a close pair shares at least one, so each
+    segment in turn joins the key. That ends where fewer than d + 1 digits are left, when a key is
+    shared by 16 ** d hashes at most. A pair that agrees in several ways is kept for the first way
+    only, which needs no distinct afterwards. No pair is lost by any step.
     """
     d = max_distance
     blocks = blocks or min(digits, 2 * d)
@@ -177,37 +210,21 @@ def near_duplicates(groups: DataFrame, max_distance: int = 3, blocks: int | None
         f"struct({i} AS choice, {joined([cut('hash', b) for b in choice])} AS key, "
         f"{joined([cut('hash', b) for b in range(blocks) if b not in choice])} AS rest)"
         for i, choice in enumerate(choices))
-    keyed = groups.selectExpr("hash", "item", "copies", f"inline(array({keys}))")
-    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") > hot_rows).select("choice", "key", F.lit(True).alias("_hot"))
-    # the segments of a key that is not hot: one empty segment
-    n = d + 1
-
-    def segment(name: str, i: str) -> str:
-        start, end = f"int({i} * length({name}) div {n})", f"int(({i} + 1) * length({name}) div {n})"
-        return f"substring({name}, {start} + 1, {end} - {start})"
-
-    parts = f"""CASE WHEN _hot AND length(rest) >= {n}
-        THEN transform(sequence(0, {n - 1}), i -> struct(i AS seg, {segment("rest", "i")} AS part))
-        ELSE array(struct(-1 AS seg, '' AS part)) END"""
-    split = keyed.join(sizes, ["choice", "key"], "left").selectExpr(
-        "hash", "item", "copies", "choice", "key", "rest", f"inline({parts})")
-
-    pairs = split.alias("a").join(split.alias("b"), F.expr(
-        "a.choice = b.choice AND a.key = b.key AND a.seg = b.seg AND a.part = b.part "
-        "AND a.hash < b.hash"))
+    keyed = groups.selectExpr("hash", "item", "copies", f"inline(array({keys}))",
+                              "cast(array() AS array<string>) AS skipped")
+    filed = _filed(keyed, d + 1, hot_rows)
+    pairs = filed.alias("a").join(filed.alias("b"), F.expr(
+        "a.choice = b.choice AND a.key = b.key AND a.hash < b.hash"))
     same = [f"{cut('a.hash', i)} = {cut('b.hash', i)}" for i in range(blocks)]
     first_choice = " ".join(f"WHEN {' AND '.join(same[i] for i in c)} THEN {j}"
                             for j, c in enumerate(choices))
-    first_segment = " ".join(
-        f"WHEN {segment('a.rest', str(i))} = {segment('b.rest', str(i))} THEN {i}" for i in range(n))
     distance = " + ".join(
         f"bit_count(bigint(conv(substring(a.hash, {at + 1}, {min(8, digits - at)}), 16, 10)) ^ "
         f"bigint(conv(substring(b.hash, {at + 1}, {min(8, digits - at)}), 16, 10)))"
         for at in range(0, digits, 8))
     return (
         pairs.where(f"CASE {first_choice} END = a.choice")
-        .where(f"a.seg = -1 OR CASE {first_segment} END = a.seg")
+        .where("forall(zip_with(a.skipped, b.skipped, (x, y) -> x <> y), t -> t)")
         .selectExpr("a.hash AS hash_a", "b.hash AS hash_b", "a.item AS item_a", "b.item AS item_b",
                     "a.copies AS copies_a", "b.copies AS copies_b",
                     f"int({distance}) AS distance")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rules
 from plumbline.operators import (
-    governance, lifecycle, metrics, reference_model, series, two_sample,
+    governance, lifecycle, metrics, reference_model, series, stability, two_sample,
 )
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query, rounded
+from plumbline.session import scratch_path
+from plumbline.sources.versions import VersionedTable
 
 
 @query(f"""WITH RECURSIVE {b.DAILY_SCAN}
@@ -123,6 +125,42 @@ def _window_errors(t: Tables):
                                          ["event_type"], "x", dim=2)
 
 
+@query(f"""WITH {_PSI}
+SELECT event_type, n_reference, n_current, round(psi, 6) AS psi FROM psi""")
+def psi_incremental(t: Tables):
+    """The baseline is summarised and stored once; the window is compared with the stored rows."""
+    ev = t.events.select("event_type", "value", (F.col("ts").cast("timestamp") < F.to_timestamp(F.lit(
+        b.BASELINE_END))).alias("ref"))
+    store = VersionedTable(t.spark, scratch_path(t.spark, "psi-reference"), ["event_type"], buckets=4)
+    store.upsert(stability.reference_summary(ev.where("ref"), ["event_type"], "value"))
+    return rounded(stability.stability_index(store.read(), ev.where("NOT ref"), ["event_type"], "value"),
+                   "psi")
+
+
+@query(f"""WITH ev AS (SELECT event_type, value, CASE WHEN ts < TIMESTAMP '2024-01-06' THEN 0
+    WHEN ts < TIMESTAMP '{b.BASELINE_END}' THEN 1 ELSE 2 END AS part FROM events),
+q AS (SELECT event_type, quantile_cont(value, [{", ".join(f"{i / 10}" for i in range(1, 10))}]) AS edges
+  FROM ev WHERE part = 0 GROUP BY 1),
+c AS (SELECT event_type, len(list_filter(edges, lambda e: e <= value)) AS bin,
+    count(*) FILTER (part < 2) AS r, count(*) FILTER (part = 2) AS c
+  FROM ev JOIN q USING (event_type) GROUP BY 1, 2),
+s AS (SELECT event_type, sum(r) AS rn, sum(c) AS cn FROM c GROUP BY 1),
+p AS (SELECT event_type, rn, cn, coalesce(r, 0) / rn::DOUBLE + 1e-6 AS pr, coalesce(c, 0) / cn::DOUBLE + 1e-6 AS pc
+  FROM (SELECT * FROM s, range(0, 10) AS g(bin)) LEFT JOIN c USING (event_type, bin))
+SELECT event_type, rn::BIGINT AS n_reference, cn::BIGINT AS n_current,
+  round(sum((pc - pr) * ln(pc / pr)), 6) AS psi FROM p GROUP BY 1, 2, 3""")
+def psi_extended(t: Tables):
+    """A stored reference of five days, extended by the rows of five more."""
+    ev = t.events.select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    early, end = (F.to_timestamp(F.lit(x)) for x in ("2024-01-06 00:00:00", b.BASELINE_END))
+    keys = ["event_type"]
+    store = VersionedTable(t.spark, scratch_path(t.spark, "psi-reference"), keys, buckets=4)
+    store.upsert(stability.reference_summary(ev.where(F.col("ts") < early), keys, "value"))
+    store.upsert(stability.extend_summary(store.read(), ev.where((F.col("ts") >= early) & (
+        F.col("ts") < end)), keys, "value"))
+    return rounded(stability.stability_index(store.read(), ev.where(F.col("ts") >= end), keys, "value"), "psi")
+
+
 @query(f"""WITH RECURSIVE {b.DAILY_SCAN}, {_PSI}, {b.VECTORS},
 {b.two_sample_sql("test", "ev", "event_type", "event_id", 2, 16, 99)},
 {b.reference_sql("model", "event_type")}

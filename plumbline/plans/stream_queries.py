@@ -54,7 +54,7 @@ numbered AS (SELECT event_type, day, metric, mu, sd,
 {b.scan_sql("event_type", "day", "metric", "numbered")}
 SELECT event_type, d.day AS window_start, CASE WHEN event_type = 'error' THEN 'NO_BASELINE'
     WHEN day(d.day) IN (12, 20) THEN 'NO_VALUE' ELSE p.trend_status END AS trend_status,
-  p.i AS position, round(p.e, 6) AS ewma, round(p.c, 6) AS cusum_down
+  coalesce(p.i, 0)::BIGINT AS position, round(p.e, 6) AS ewma, round(p.c, 6) AS cusum_down
 FROM daily d LEFT JOIN numbered n USING (event_type, day) LEFT JOIN points p USING (event_type, i)
 WHERE {_CLOSED.replace("day +", "d.day +")}""")
 def stream_drift_gaps(t: Tables):
@@ -66,7 +66,8 @@ def stream_drift_gaps(t: Tables):
     base = b.daily_baseline(b.daily(t)).select("event_type", "baseline_mean", spread.alias("baseline_std"))
     charts = feeds.stream_drift_monitor(feed.join(base, "event_type"), "event_type")
     return rounded(feeds.run_to_table(charts, "stream-gaps").select(
-        "event_type", "window_start", "trend_status", "position", "ewma", "cusum_down"), "ewma", "cusum_down")
+        "event_type", "window_start", "trend_status", F.coalesce("position", F.lit(0)).alias("position"),
+        "ewma", "cusum_down"), "ewma", "cusum_down")
 
 
 @query("SELECT DISTINCT sha256(event_type || '|' || props) AS digest FROM events")

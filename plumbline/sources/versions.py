@@ -126,7 +126,9 @@ class VersionedTable:
         schema = T.StructType.fromJson(json.loads(before.schema))
         if sorted(schema.names) != sorted(rows.columns):
             raise ValueError("the columns are not those of the table")
-        return rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+        kinds = dict(rows.dtypes)
+        return rows.select(*[F.col(f.name) if kinds[f.name] == f.dataType.simpleString() else F.col(
+            f.name).cast(f.dataType) for f in schema])
 
     # --- reading ----------------------------------------------------------------------------
 

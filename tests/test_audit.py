@@ -124,6 +124,33 @@ def test_near_duplicates_finds_every_pair(spark, d, blocks, hot):
     assert sorted(pairs) == sorted(want) and len(pairs) > 5
 
 
+def test_a_dense_cluster_is_filed_until_its_bins_fit(spark):
+    """Four thousand hashes within three bits of one value: no bin stays hot and no pair is lost."""
+    rng = np.random.default_rng(8)
+    bits = np.zeros((4_000, 128), np.float32)
+    for row in bits:
+        row[rng.choice(128, rng.integers(0, 4), replace=False)] = 1
+    bits = np.unique(bits, axis=0)
+    centre = int.from_bytes(rng.bytes(16), "big")
+    packed = np.packbits(bits.astype(np.uint8), axis=1)
+    names = [f"{int.from_bytes(p.tobytes(), 'big') ^ centre:032x}" for p in packed]
+    groups = audit.hash_groups(spark.createDataFrame(list(enumerate(names)), "id long, h string"), "id", "h")
+    pairs = audit.near_duplicates(groups, 3, digits=32, hot_rows=400)
+    got = pairs.groupBy("distance").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(
+        F.concat("hash_a", "hash_b")).alias("m")).collect()
+    weight, want = bits.sum(axis=1), np.zeros(4, np.int64)
+    for at in range(0, len(bits), 2000):
+        d = weight[at:at + 2000, None] + weight[None] - 2 * bits[at:at + 2000] @ bits.T
+        want += np.bincount(d[d <= 3].astype(int), minlength=4)
+    assert {r.distance: r.n for r in got} == {i: n // 2 for i, n in enumerate(want.tolist()) if i and n}
+    assert all(r.n == r.m for r in got)  # every pair once
+    keyed = groups.selectExpr("hash", "item", "copies", "0 AS choice", "substring(hash, 1, 16) AS key",
+                              "substring(hash, 17) AS rest", "cast(array() AS array<string>) AS skipped")
+    largest = audit._filed(keyed, 4, 100).where("length(rest) >= 4").groupBy("choice", "key").count().agg(
+        F.max("count")).first()[0]
+    assert largest <= 100 < keyed.groupBy("key").count().agg(F.max("count")).first()[0]
+
+
 def test_closed_schema_and_contract(spark, tmp_path):
     row = dict(rollback_id="r", from_model_id="a", to_model_id="b", reason="LATENCY",
                triggered_by="me", incident_id=None, created_at=datetime.datetime(2024, 1, 1))
