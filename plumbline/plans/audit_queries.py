@@ -10,6 +10,7 @@ from plumbline.operators import audit, metrics
 from plumbline.plans import bindings as b
 from plumbline.plans.registry import Tables, query
 from plumbline.session import materialize, scratch_path
+from plumbline.sources.runs import read_runs
 from plumbline.sources.versions import VersionedTable
 from plumbline.sources import files as source
 from plumbline.sources import sinks
@@ -316,6 +317,19 @@ def run_artifacts(t: Tables):
     return found.withColumn("run_id", F.regexp_replace("run_id", "^run=", ""))
 
 
+@query(f"""WITH {b.SCORED}
+SELECT 'run=' || 'run_' || lang AS run_id, model_id, count(*) AS items, round(max(score), 6) AS top_score
+FROM scored GROUP BY lang, model_id""")
+def run_artifacts_source(t: Tables):
+    """The same records through the data source of run folders, a partition for each."""
+    rows = b.scored(t).groupBy("lang", "model_id").agg(
+        F.count(F.lit(1)).alias("items"), F.round(F.max("score"), 6).alias("top_score")).select(
+        F.concat(F.lit("run_"), "lang").alias("run"), "model_id", "items", "top_score")
+    path = scratch_path(t.spark, "runs")
+    rows.write.partitionBy("run").json(path)
+    return read_runs(t.spark, path, rows.drop("run").schema)
+
+
 @query(f"""WITH {b.SCORED}
 SELECT doc_id AS item_id, label AS true_label, CAST(score >= 5e-1 AS INT) AS predicted_label,
   round(score, 6) AS raw_score, 5e-1 AS threshold, CASE WHEN label = 1 AND score >= 5e-1
