@@ -8,7 +8,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NO_SQL: set[str] = set()
+#: Found clusters move by iteration; tests hold them against brute force instead.
+NO_SQL = {"cluster_medoids", "cluster_quota_selection"}
 
 
 def test_every_query_has_its_sql_twin():
